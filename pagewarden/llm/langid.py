@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_unit, small_batches
-from .ngrams import fit_logistic, softmax, sparse, trigram_counts, unit
+from .ngrams import fit_logistic, pack, softmax, trigram_counts, unit, unpack
 
 #: Documented bound of the sample to learn from: rows of all languages together.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 FEATURE_BITS = 12
 #: Scores under this are ambiguous.
 AMBIGUOUS = 0.6
@@ -65,8 +65,8 @@ class Model:
         return self.decode(x + self.b) if len(texts) else np.empty((0, len(self.langs)))
 
 
-def sample_features(rows: DataFrame, label: str, rows_bound: int, seed: str = "langid") -> list[tuple[str, np.ndarray]]:
-    """(label, counts) of a sample of rows(doc_id, text, label) that takes as many of each label, by a hash of doc_id.
+def sample_features(rows: DataFrame, label: str, rows_bound: int, seed: str = "langid") -> tuple[list[str], np.ndarray]:
+    """Labels and unit vectors of a sample of rows(doc_id, text, label) that takes as many of each label, by a hash of doc_id.
 
     Rare labels are taken whole; the expected number of rows is at most ``rows_bound``.  Each text
     is counted whole, and a snippet of it beside, so that short texts are learned as well.
@@ -74,42 +74,43 @@ def sample_features(rows: DataFrame, label: str, rows_bound: int, seed: str = "l
     small_batches(rows.sparkSession)
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(rows_bound).collect()}
     if not counts:
-        return []
+        return [], np.zeros((0, 1 << FEATURE_BITS), np.float32)
     each = max(1, rows_bound // len(counts))
     rate = F.coalesce(*[F.when(F.col(label) == k, F.lit(min(1.0, each / n))) for k, n in counts.items()])
 
-    @F.arrow_udf("array<struct<at:array<int>,n:array<double>>>")
+    @F.arrow_udf("struct<whole:binary,part:binary>")
     def count(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             s = t.as_py() or ""
             mid = max(0, len(s) // 2 - _SNIPPET // 2)
-            pairs = [sparse(trigram_counts(x, FEATURE_BITS)) for x in (s, s[mid : mid + _SNIPPET])]
-            out.append([{"at": a, "n": c} for a, c in pairs])
-        return pa.array(out, pa.list_(pa.struct([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float64()))])))
+            out.append([pack(trigram_counts(x, FEATURE_BITS)) for x in (s, s[mid : mid + _SNIPPET])])
+        return pa.StructArray.from_arrays([pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)], ["whole", "part"])
 
     taken = rows.where(hash_unit(F.col("doc_id"), F.lit(seed)) < rate)
-    out = []
-    for r in taken.select("doc_id", F.col(label).alias("label"), count.asNondeterministic()(F.col("text")).alias("c")).collect():
-        for c in r["c"]:
-            v = np.zeros(1 << FEATURE_BITS, np.float32)
-            v[c["at"]] = c["n"]
-            out.append((r["doc_id"], r["label"], v))
-    out.sort(key=lambda r: (r[0], r[1], r[2].sum()))  # the same model whatever the order of partitions
-    return [(lang, v) for _, lang, v in out]
-
-
-def train(sample: list[tuple[str, np.ndarray]]) -> Model | None:
-    if not sample:
+    found = taken.select("doc_id", F.col(label).alias("label"), count.asNondeterministic()(F.col("text")).alias("c")).select("doc_id", "label", "c.*").toArrow()
+    # The same model whatever the order of partitions.
+    order = sorted(zip(*(found.column(i).to_pylist() for i in range(4)), strict=True))
+    del found
+    x = np.zeros((2 * len(order), 1 << FEATURE_BITS), np.float32)
+    for n, (_, _, whole, part) in enumerate(order):
+        unpack(whole, x[2 * n])
+        unpack(part, x[2 * n + 1])
+    return [k for _, k, _, _ in order for _ in (0, 1)], x
+
+
+def train(labels: list[str], x: np.ndarray) -> Model | None:
+    """x holds a text's unit vector in each row."""
+    if not labels:
         return None
-    langs = sorted({k for k, _ in sample})
+    langs = sorted(set(labels))
     codes = code_matrix(len(langs))
-    y = np.array([langs.index(k) for k, _ in sample])
-    x = np.stack([unit(v) for _, v in sample]).astype(np.float32)
+    number = {k: i for i, k in enumerate(langs)}
+    y = np.array([number[k] for k in labels])
     share = np.bincount(y, minlength=len(langs))[y][:, None]
-    target = (codes[y] > 0).astype(float)
+    target = (codes[y] > 0).astype(np.float32)
     w, b = fit_logistic(x, target, np.broadcast_to(1.0 / share, target.shape), 1e-6)
-    right = ((x @ w + b > 0) == (target > 0)).astype(float)
+    right = ((x @ w.astype(np.float32) + b > 0) == (target > 0)).astype(float)
     trust = np.array([right[y == i].mean(axis=0) for i in range(len(langs))])
     trust = np.maximum(trust, 1e-3)
     return Model(langs, np.ascontiguousarray(w.T), b, codes, trust / trust.sum(axis=1, keepdims=True) * codes.shape[1])
@@ -118,7 +119,7 @@ def train(sample: list[tuple[str, np.ndarray]]) -> Model | None:
 def fit(docs: DataFrame, rows_bound: int = SAMPLE_ROWS) -> Model | None:
     """Learn from text and non-null lang of documents whose crc32(doc_id) mod 3 is not 1."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1)).select("doc_id", "text", "lang")
-    return train(sample_features(rows, "lang", rows_bound))
+    return train(*sample_features(rows, "lang", rows_bound))
 
 
 def has_letter(text: str | None) -> bool:

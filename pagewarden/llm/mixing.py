@@ -35,12 +35,13 @@ _SCALE = 30.0
 
 def fit_domains(labelled: DataFrame, rows_bound: int = SAMPLE_ROWS):
     """(domains, weights, bias) from labelled(doc_id, text, domain), or None."""
-    sample = sample_features(labelled.where(F.col("text").isNotNull() & F.col("domain").isNotNull()), "domain", rows_bound, "mixing")
-    if not sample:
+    labels, x = sample_features(labelled.where(F.col("text").isNotNull() & F.col("domain").isNotNull()), "domain", rows_bound, "mixing")
+    if not labels:
         return None
-    domains = sorted({k for k, _ in sample})
-    x = np.stack([unit(v) for _, v in sample]).astype(np.float32) * np.float32(_SCALE)
-    w, b = fit_softmax(x, np.array([domains.index(k) for k, _ in sample]), len(domains), 1e-5)
+    domains = sorted(set(labels))
+    number = {k: i for i, k in enumerate(domains)}
+    x *= np.float32(_SCALE)
+    w, b = fit_softmax(x, np.array([number[k] for k in labels]), len(domains), 1e-5)
     return domains, np.ascontiguousarray(w.T * _SCALE), b
 
 

@@ -37,19 +37,22 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / n) if n else counts
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def _longest(x: np.ndarray) -> float:
+    return max((float(np.einsum("ij,ij->i", p, p).max()) for k in range(0, len(x), 1024) if len(p := x[k : k + 1024])), default=0.0) + 1.0
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regressions, one for each column of y (0/1), by accelerated gradient descent with a bias."""
-    n, d = x.shape
-    w = np.zeros((d, y.shape[1]))
+    t = x.T
+    w = np.zeros((x.shape[1], y.shape[1]))
     b = np.zeros(y.shape[1])
     vw, vb, lw, lb = w.copy(), b.copy(), w, b
     total = weight.sum(axis=0)
-    top = 1.0 if n == 0 else float((x * x).sum(axis=1).max()) + 1.0
-    step = 1.0 / (0.25 * top + l2)
+    step = 1.0 / (0.25 * _longest(x) + l2)
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x @ vw.astype(x.dtype) + vb, -40, 40)))
         g = (p - y) * weight / total
-        w, b = vw - step * (x.T @ g + l2 * vw), vb - step * g.sum(axis=0)
+        w, b = vw - step * (t @ g.astype(x.dtype) + l2 * vw), vb - step * g.sum(axis=0)
         m = k / (k + 3)
         vw, vb, lw, lb = w + m * (w - lw), b + m * (b - lb), w, b
     return w, b
@@ -57,15 +60,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, ro
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, l2: float, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial regression with classes weighted evenly; y holds class numbers."""
-    n, d = x.shape
+    t = x.T
     hot = np.eye(k)[y]
     weight = (hot / np.maximum(hot.sum(axis=0), 1)).sum(axis=1, keepdims=True) / k
-    w, b = np.zeros((d, k)), np.zeros(k)
+    w, b = np.zeros((x.shape[1], k)), np.zeros(k)
     vw, vb, lw, lb = w.copy(), b.copy(), w, b
-    step = 1.0 / (0.5 * (float((x * x).sum(axis=1).max()) + 1.0) + l2)
+    step = 1.0 / (0.5 * _longest(x) + l2)
     for r in range(rounds):
-        g = (softmax(x @ vw + vb) - hot) * weight
-        w, b = vw - step * (x.T @ g + l2 * vw), vb - step * g.sum(axis=0)
+        g = (softmax(x @ vw.astype(x.dtype) + vb) - hot) * weight
+        w, b = vw - step * (t @ g.astype(x.dtype) + l2 * vw), vb - step * g.sum(axis=0)
         m = r / (r + 3)
         vw, vb, lw, lb = w + m * (w - lw), b + m * (b - lb), w, b
     return w, b
@@ -76,6 +79,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=-1, keepdims=True)
 
 
-def sparse(counts: np.ndarray) -> tuple[list[int], list[float]]:
+def pack(counts: np.ndarray) -> bytes:
+    """Places and counts of what is not zero."""
     at = np.flatnonzero(counts)
-    return at.tolist(), counts[at].tolist()
+    return at.astype("<u4").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def unpack(raw: bytes, row: np.ndarray) -> None:
+    """Fill a row of zeros with the unit vector of packed counts."""
+    n = len(raw) // 8
+    c = np.frombuffer(raw, "<f4", n, 4 * n)
+    row[np.frombuffer(raw, "<u4", n)] = np.sqrt(c / c.sum()) if n else 0
