@@ -80,7 +80,7 @@ def with_page_facts(pages: DataFrame) -> DataFrame:
             "noindex": F.concat_ws(" ", _meta("robots"), _header("x-robots-tag")).rlike("(?i)noindex"),
             "canonical_away": F.coalesce(~_none(F.col("canonical")) & (canon != F.regexp_replace(U.normalize_url("address", "address"), "/$", "")), F.lit(False)),
             "language": U.language_of(F.col("lang"), F.col("url")),
-            "h1_text": F.coalesce(F.filter("headings", lambda h: (h["tag"] == "h1") & (F.trim(h["text"]) != ""))[0]["text"], F.lit("")),
+            "h1_text": F.coalesce(F.get(F.filter("headings", lambda h: (h["tag"] == "h1") & (F.trim(h["text"]) != "")), 0)["text"], F.lit("")),
         }
     ).withColumns({"title_norm": T.norm_dup(F.col("title")), "desc_norm": T.norm_dup(_meta("description")), "h1_norm": T.norm_dup(F.col("h1_text"))})
     rows = rows.withColumn("eligible", ~F.col("noindex") & ~F.col("canonical_away"))
