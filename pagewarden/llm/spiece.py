@@ -62,10 +62,6 @@ class Vocabulary:
         self.apart = not any(SPACE in p[1:] for p, _, _ in normal)
         self.lines = self.apart and not any("\n" in p for p, _, _ in normal)
         self._flatten(normal)
-        self.surface = [m.id_to_piece(i).encode() if not m.is_byte(i) else bytes([int(m.id_to_piece(i)[3:5], 16)]) for i in ids]
-        for i in ids:
-            if m.is_control(i):
-                self.surface[i] = b""
         self.feed = self.one("\n") if self.lines else b""
         #: Ids, little-endian, of words after a U+2581 and, under a line feed and the word, of a line's first
         #: word with the line feed; and what was thrown out last.
@@ -344,8 +340,19 @@ class Vocabulary:
         _, back = self.forward(s, last, size, end)
         return b"".join([*out, self.trace(s, last, end, back)])
 
+
+class Surfaces:
+    """The bytes that each id stands for: all that decoding needs."""
+
+    def __init__(self, proto: bytes):
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        ids = range(m.get_piece_size())
+        self.of = [b"" if m.is_control(i) else bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).encode() for i in ids]
+
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.of.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -384,16 +391,21 @@ def border_states(matrices: list[np.ndarray]) -> list[int]:
     return states
 
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[tuple, Vocabulary | Surfaces] = {}
 
 
-def vocabulary(proto: bytes) -> Vocabulary:
-    key = hashlib.md5(proto).hexdigest()
+def loaded(kind: type, proto: bytes):
+    """A vocabulary, or surfaces, built once in each Python worker."""
+    key = kind, hashlib.md5(proto).digest()
     if key not in _loaded:
-        _loaded[key] = Vocabulary(proto)
+        _loaded[key] = kind(proto)
     return _loaded[key]
 
 
+def vocabulary(proto: bytes) -> Vocabulary:
+    return loaded(Vocabulary, proto)
+
+
 def normalised(text: str | None) -> str:
     """With the model's identity normaliser: spaces become U+2581, and one is put before a text that is not empty."""
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -485,7 +497,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        v = vocabulary(proto)
+        v = loaded(Surfaces, proto)
         return pa.array([v.decode(x.values.tolist() if x.is_valid else []) for x in ids], pa.string())
 
     return encoded.withColumn("decoded", text.asNondeterministic()(F.col("ids")))
