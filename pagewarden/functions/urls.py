@@ -100,16 +100,53 @@ def norm_sitemap(url: Column) -> Column:
     return F.when(host(url) == "", url).otherwise(F.concat(F.regexp_replace(origin(url), r"//www\.", "//"), F.regexp_replace(path(url), "/$", "")))
 
 
+# Kinds of pages by patterns of their path, in order; of sites by patterns of all their paths.
+PAGE_KINDS = (
+    ("contact", "(?i)contact|ติดต่อ"), ("faq", "(?i)faq|คำถามที่พบบ่อย"), ("about", "(?i)about|team|company|profile|เกี่ยวกับ"), ("article", "(?i)/(blogs?|news|articles?|posts?)/.+"), ("bloglist", "(?i)/(blogs?|news|articles?)$"),
+    ("service", "(?i)service|product-and-service|solution|บริการ"), ("career", "(?i)career|job|recruit|ร่วมงาน"), ("policy", "(?i)privacy|cookie|term|policy|นโยบาย|sitemap"),
+)
+SITE_KINDS = (("ecommerce", "/(product|shop|store|cart|checkout|collection)"), ("service", "service|solution|product-and-service"), ("content", "(blogs?|news|article)"))
+
+
 def page_type(url: Column) -> Column:
-    """The kind of page that a path points at; the first that fits."""
-    p = F.lower(path(url))
-    kinds = (("home", r"^/?$"), ("product", "product|shop|item|sku"), ("article", "blog|news|article|post|insight"), ("service", "service|solution"), ("about", "about|company|team"), ("contact", "contact|support"), ("faq", "faq|help|question"))
-    out = F.lit("page")
-    for name, pattern in reversed(kinds):
+    """The kind of page that a path points at, without a leading /en or /th and last slashes; the first that fits."""
+    p = F.regexp_replace(F.regexp_replace(path(url), "^/(en|th)(?=/|$)", ""), "/+$", "")
+    out = F.lit("other")
+    for name, pattern in reversed(PAGE_KINDS):
         out = F.when(p.rlike(pattern), name).otherwise(out)
+    return F.when(host(url) == "", "other").when((p == "") | p.endswith("/home"), "home").otherwise(out)
+
+
+def site_kind(urls: Column) -> Column:
+    """The kind of site by the URLs of its pages (an array): shop, services, content, else corporate."""
+    out = F.lit("corporate")
+    for name, pattern in reversed(SITE_KINDS):
+        out = F.when(_any(urls, pattern), name).otherwise(out)
     return out
 
 
+def _any(urls: Column, pattern: str) -> Column:
+    return F.exists(F.transform(urls, lambda u: F.lower(path(u))), lambda p: p.rlike(pattern))
+
+
+def breadcrumbs(url: Column) -> Column:
+    """array<struct<position, name, item>>: the root, then each path segment but a language, with its readable name."""
+    segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
+    each = F.transform(segments, lambda s, i: F.struct(s.alias("s"), F.concat(origin(url), F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i + 1), "/")).alias("item")))
+    named = F.filter(each, lambda x: ~F.lower(x["s"]).isin("en", "th"))
+    upper = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
+    title = lambda s: F.array_join(F.transform(F.split(F.regexp_replace(F.try_url_decode(s), "[-_]+", " "), " "), upper), " ")
+    crumbs = F.transform(named, lambda x, i: F.struct((i + 2).alias("position"), F.coalesce(title(x["s"]), x["s"]).alias("name"), x["item"].alias("item")))
+    return F.concat(F.array(F.struct(F.lit(1).alias("position"), F.lit("Home").alias("name"), F.concat(origin(url), F.lit("/")).alias("item"))), crumbs)
+
+
+def origin_variants(start: Column) -> Column:
+    """The other addresses of a site: http and https, with and without www."""
+    bare = bare_host(start)
+    every = F.array(*[F.concat(F.lit(s), bare, F.lit("/")) for s in ("https://", "https://www.", "http://", "http://www.")])
+    return F.filter(every, lambda v: v != F.concat(origin(start), F.lit("/")))
+
+
 def resolve_one(raw: str | None, base: str | None) -> str | None:
     """An absolute http(s) URL without fragment and tracking parameters, or None."""
     if raw is None:

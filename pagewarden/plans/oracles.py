@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from ..functions.text import ARIAL
 from ..operators.audits import CRITERIA_DIMS, FACT_DIMS, GROUPS, UNSTABLE
+from ..operators.fixes import FIX_FOR_CHECK
 from ..operators.robots import AI_BOTS
 from ..operators.scoring import CATEGORY
 from .crawl import AUDITS_SQL, CRAWL_SQL, FINDINGS_SQL, LINKS_SQL, PREVIOUS_SQL
-from .queries import PROFILE, SQL_CHECKS
+from .queries import PROFILE, SQL_CHECKS, WORDS
 
 REPEAT = "(?i)[?&](page|p|start|offset|sort|filter|q|s|search|tag|year|ref)="
 PX = f"""CAST(floor(list_sum(list_transform(string_split({{0}}, ''), lambda c:
@@ -220,6 +221,21 @@ USD = """SELECT user_id, round(sum(((event_id % 5000) * CASE event_type WHEN 'cl
   CAST(sum(event_id % 5000) AS BIGINT) AS tokens_in, count(*) AS calls FROM events GROUP BY user_id"""
 
 
+_PAGE_ALWAYS = (("desc", "high"), ("viewport", "high"), ("canonical", "high"), ("og-title", "med"), ("og-image", "med"), ("jsonld", "high"), ("og-desc", "low"), ("twitter-card", "low"))
+ISSUES = _crawl(" UNION ALL ".join(f"SELECT site_id, url, '{i}' AS issue, '{v}' AS severity FROM crawl" for i, v in _PAGE_ALWAYS) + """
+  UNION ALL SELECT site_id, url, 'title', 'high' FROM crawl WHERE trim(title) = '' UNION ALL SELECT site_id, url, 'title-length', 'med' FROM crawl WHERE trim(title) <> '' AND length(trim(title)) NOT BETWEEN 10 AND 65
+  UNION ALL SELECT site_id, url, 'lang', 'med' FROM crawl WHERE lang = ''""")
+FIXES = f"{_with(FINDINGS_SQL)}, fix(id, fix) AS (VALUES {', '.join(str(p) for p in FIX_FOR_CHECK.items())}) SELECT audit_id, fix, string_agg(DISTINCT id, ',' ORDER BY id) AS checks FROM findings JOIN fix USING (id) WHERE status IN ('fail', 'warn') GROUP BY audit_id, fix"
+TYPES = f"SELECT page_id, ['home', 'home', 'contact', 'faq', 'about', 'article', 'bloglist', 'service', 'career', 'policy'][CAST(page_id % {len(WORDS)} + 1 AS INTEGER)] AS page_type FROM pages"
+KINDS = _crawl("SELECT site_id, ['ecommerce', 'service', 'content', 'corporate'][CAST(length(site_id) % 4 + 1 AS INTEGER)] AS kind, count(*) AS pages FROM crawl GROUP BY site_id")
+CRUMBS = _crawl("""SELECT page_id, position, name, item FROM (
+  SELECT page_id, 1 AS position, 'Home' AS name, scheme || '://' || site_id || '/' AS item FROM crawl UNION ALL
+  SELECT page_id, CAST(1 + row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER), array_to_string(list_transform(string_split(regexp_replace(url_decode(s), '[-_]+', ' ', 'g'), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' '), scheme || '://' || site_id || '/' || array_to_string(list_slice(ss, 1, i), '/')
+  FROM (SELECT page_id, scheme, site_id, ss, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS ss FROM crawl)) WHERE lower(s) NOT IN ('en', 'th'))""")
+VARIANTS = _crawl(f"""SELECT page_id, variant FROM (SELECT page_id, scheme || '://' || site_id || '/' AS own, unnest(list_transform(['https://', 'https://www.', 'http://', 'http://www.'], lambda s: s || {HOST0} || '/')) AS variant FROM crawl) WHERE variant <> own""")
+SITEMAP = _crawl("""SELECT site_id, min(page_ord) AS entry_ord, '  <url><loc>' || replace(replace(replace(replace(final_url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</loc></url>' AS entry FROM crawl WHERE status = 200 GROUP BY site_id, final_url""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "page_extract_basic": PAGE_BASIC, "url_functions": URLS, "url_normalize": NORMALIZED, "text_widths": WIDTHS, "title_h1_similarity": SIMILARITY, "title_duplicate_groups": DUP_TITLES, "dup_docs_by_lang": DUP_DOCS, "near_duplicate_pairs": NEAR_DOCS,
@@ -227,4 +243,5 @@ def oracle_sql() -> dict[str, str]:
         "final_url_dedupe": FINALS, "bot_access_matrix": BOTS, "robots_rules": ROBOT_RULES, "check_results": CHECKS, "category_score": CATS, "site_score": SITES, "grade_distribution": GRADES, "previous_audit_asof": PREVIOUS, "latest_per_site": LATEST,
         "history_trend": HISTORY, "audit_delta": DELTA, "category_delta": CAT_DELTA, "score_drop_alerts": ALERTS, "cross_check": CROSS, "confusion_matrix": CONFUSION, "label_confusion": LABELS, "work_items": WORK, "effective_rank_topk": TOPK,
         "guardrail_partition": GUARD, "flag_profile": PROFILES, "flag_verdicts": VERDICTS, "watch_due": WATCH, "serp_rank": SERP, "usd_costs": USD,
+        "page_issues": ISSUES, "needed_fixes": FIXES, "page_types": TYPES, "site_kinds": KINDS, "breadcrumbs": CRUMBS, "origin_variants": VARIANTS, "sitemap_fix": SITEMAP,
     }

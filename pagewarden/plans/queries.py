@@ -13,6 +13,7 @@ from ..functions import urls as U
 from ..model import PAGE, SITE, conform
 from ..operators import audits as A
 from ..operators import discovery as D
+from ..operators import fixes as X
 from ..operators import linkgraph as L
 from ..operators import robots as R
 from ..operators import rules as K
@@ -305,10 +306,52 @@ def usd_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.usd(calls, prices, 0.8, 4.0).groupBy("user_id").agg(F.round(F.sum("usd"), 4).alias("usd"), F.sum("tokens_in").alias("tokens_in"), F.count(F.lit(1)).alias("calls"))
 
 
+def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.page_issues(audit_pages(spark, sf_dir)[0])
+
+
+def needed_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = X.needed_fixes(C.findings(spark, sf_dir), "audit_id")
+    return f.withColumn("checks", F.array_join("checks", ","))
+
+
+def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of URLs whose last segment is made one of ten words."""
+    word = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("page_id") % len(WORDS) + 1).cast("int"))
+    p = C.table(spark, sf_dir, "pages").select("page_id", F.concat(U.origin(F.col("url")), F.lit("/en/"), word, F.lit("/")).alias("url"))
+    return p.select("page_id", U.page_type(F.col("url")).alias("page_type"))
+
+
+WORDS = ("", "home", "contact-us", "faq", "our-team", "blog/first-post", "news", "our-services", "careers", "privacy")
+
+
+def site_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*[F.lit(w) for w in ("shop", "solutions", "blog", "x")]), (F.length("site_id") % 4 + 1).cast("int"))
+    c = C.crawl(spark, sf_dir).withColumn("url", F.concat(U.origin(F.col("url")), F.lit("/"), word, F.col("page_id").cast("string")))
+    kinds = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("k"), F.lit(i).alias("v")) for i, (n, _) in enumerate((*U.SITE_KINDS, ("corporate", "")))]))
+    # The first kind in order that any page shows: a minimum, so that no site is gathered.
+    each = c.withColumn("kind", U.site_kind(F.array("url"))).groupBy("site_id").agg(F.min_by("kind", F.element_at(kinds, F.col("kind"))).alias("kind"), F.count(F.lit(1)).alias("pages"))
+    return each
+
+
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = C.table(spark, sf_dir, "pages")
+    return p.select("page_id", F.explode(U.breadcrumbs(F.col("url"))).alias("c")).select("page_id", "c.position", "c.name", "c.item")
+
+
+def origin_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.table(spark, sf_dir, "pages").select("page_id", F.explode(U.origin_variants(F.col("url"))).alias("variant"))
+
+
+def sitemap_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.sitemap_entries(C.crawl(spark, sf_dir).where("status = 200")).select("site_id", "entry_ord", "entry")
+
+
 def queries() -> dict:
     found = [
         crawl_site_scores, page_extract_basic, dom_extract, url_functions, url_normalize, text_widths, title_h1_similarity, title_duplicate_groups, dup_docs_by_lang, near_duplicate_pairs, trailing_slash_twins, inlink_counts, orphan_pages, health_orphans, broken_link_sample,
         anchor_topk, link_health, heading_order, parameter_cap, final_url_dedupe, bot_access_matrix, robots_rules, check_results_full, check_results, category_score, site_score, grade_distribution, previous_audit_asof, latest_per_site, history_trend, audit_delta,
         category_delta, score_drop_alerts, cross_check, confusion_matrix, label_confusion, work_items, effective_rank_topk, guardrail_partition, flag_profile, flag_verdicts, watch_due, serp_rank, usd_costs,
+        page_issues, needed_fixes, page_types, site_kinds, breadcrumbs, origin_variants, sitemap_fix,
     ]
     return {f.__name__: f for f in found}
