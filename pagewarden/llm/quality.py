@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit, hint_small, scratch, small_batches
+from .common import hash_unit, hint_small, scratch, small_batches, tidy
 from .ngrams import fit_logistic
 
 #: Documented bounds of what the document classifier learns from: labelled rows, words of the list.
 SAMPLE_ROWS = 6000
 LIST_WORDS = 500
-LEAST_DOCS, LEAST_Z = 5, 6.0
+#: A word is listed from so many texts on, or this share of the sample's, and from these scores on.
+LEAST_DOCS, LEAST_SHARE, LEAST_Z, LEAST_ODDS = 5, 0.002, 6.0, 3.5
 KEEP_QUALITY, KEEP_TOXIC = 0.5, 0.5
 _EDGE = ".,;:!?\"'()[]%*#$&|"
 
@@ -34,6 +35,12 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def terms_of(words: list[str]) -> set[str]:
+    """Distinct words without marks at their edges, and the first five letters of longer ones with a star."""
+    bare = {y.strip(_EDGE) for y in set(words)}
+    return bare | {x[:5] + "*" for x in bare if len(x) > 5}
+
+
 def style(text: str | None) -> np.ndarray:
     """Square roots of the byte frequencies of the whole text, and six statistics of its words."""
     raw = (text or "").encode("utf-8", "replace")
@@ -57,7 +64,7 @@ class Model:
 
     def hits(self, text: str | None) -> np.ndarray:
         w = words_of(text)
-        found = [self.lexicon[x] for x in {y.strip(_EDGE) for y in set(w)} if x in self.lexicon]
+        found = [self.lexicon[x] for x in terms_of(w) if x in self.lexicon]
         return np.array([bool(found), math.log1p(sum(found)), max(found, default=0.0) / 5, sum(found) / math.sqrt(len(w) + 1)])
 
     def evidence(self, text: str | None) -> tuple[float, float]:
@@ -88,13 +95,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows_bound: int = SAMPLE_ROWS) -> Mo
     sample = scratch(docs.select("doc_id", "text").join(hint_small(taken, min(n, 2 * rows_bound)), "doc_id"), "labelled")
 
     # The word list: words that come in more toxic documents than chance would have it.
-    word = F.explode(F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?\"'()\[\]%*#$&|]+|[.,;:!?\"'()\[\]%*#$&|]+$", ""))))
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    bare = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?\"'()\[\]%*#$&|]+|[.,;:!?\"'()\[\]%*#$&|]+$", ""))
+    stems = F.transform(F.filter(bare, lambda w: F.length(w) > 5), lambda w: F.concat(F.substring(w, 1, 5), F.lit("*")))
+    word = F.explode(F.array_distinct(F.concat(bare, stems)))
+    texts = sample.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("m")).agg(F.first("text").alias("text"), F.max("t").alias("t"))  # copies count once
+    total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     rate = total["t"] / max(1, total["n"])
-    seen = sample.select(word.alias("word"), "t").where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST_DOCS)
+    seen = texts.select(word.alias("word"), "t").where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).where(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * total["n"]))
     z = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * F.lit(max(rate * (1 - rate), 1e-9)))
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - F.lit(math.log((rate + 1e-9) / (1 - rate + 1e-9)))
-    listed = seen.select("word", z.alias("z"), odds.alias("odds")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 1.5)).orderBy(F.desc("z"), "word").limit(LIST_WORDS).collect()
+    listed = seen.select("word", z.alias("z"), odds.alias("odds")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(LIST_WORDS).collect()
     lexicon = {r["word"]: float(r["odds"]) for r in listed}
     shell = Model(None, None, lexicon, (0.5, 0.0))
 
@@ -118,6 +128,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("struct<q:double,t:double>")
     def evidence(texts: pa.Array) -> pa.Array:
         pairs = [model.evidence(t.as_py()) for t in texts]
+        tidy()
         return pa.StructArray.from_arrays([pa.array([p[i] for p in pairs], pa.float64()) for i in (0, 1)], ["q", "t"])
 
     return docs.withColumn("__e", evidence.asNondeterministic()(F.col("text")))
