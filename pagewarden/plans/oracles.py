@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import ARIAL
 from ..operators.audits import CRITERIA_DIMS, FACT_DIMS, GROUPS, UNSTABLE
+from ..operators.confidence import DETERMINISTIC, DIMENSION, JUDGED, RULE
 from ..operators.fixes import FIX_FOR_CHECK
 from ..operators.robots import AI_BOTS
 from ..operators.scoring import CATEGORY
@@ -235,6 +236,12 @@ CRUMBS = _crawl("""SELECT page_id, position, name, item FROM (
 VARIANTS = _crawl(f"""SELECT page_id, variant FROM (SELECT page_id, scheme || '://' || site_id || '/' AS own, unnest(list_transform(['https://', 'https://www.', 'http://', 'http://www.'], lambda s: s || {HOST0} || '/')) AS variant FROM crawl) WHERE variant <> own""")
 SITEMAP = _crawl("""SELECT site_id, min(page_ord) AS entry_ord, '  <url><loc>' || replace(replace(replace(replace(final_url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</loc></url>' AS entry FROM crawl WHERE status = 200 GROUP BY site_id, final_url""")
 
+_IN = lambda ids: "(" + ", ".join(f"'{i}'" for i in ids) + ")"
+CONFIDENCE = f"""{_with(FINDINGS_SQL, _VERIFY)}, dim_of(id, dim) AS (VALUES {", ".join(str(p) for p in DIMENSION.items())}), typed AS (
+  SELECT audit_id, id, CASE WHEN id IN {_IN(DETERMINISTIC)} THEN 'deterministic' WHEN id IN {_IN(RULE)} THEN 'rule' WHEN id IN {_IN(JUDGED)} THEN 'ai' WHEN category IN ('schema', 'index', 'security') THEN 'deterministic' WHEN category = 'geo' THEN 'ai' ELSE 'rule' END AS type FROM findings)
+SELECT t.audit_id, t.id, type, CASE WHEN v.ours IS NULL THEN CASE type WHEN 'deterministic' THEN 97 WHEN 'rule' THEN 88 ELSE 65 END WHEN v.ours = v.theirs THEN 99 ELSE 50 END AS sure, coalesce(v.ours <> v.theirs, false) AS needs_verify
+FROM typed t LEFT JOIN dim_of d ON d.id = t.id LEFT JOIN verdicts v ON v.audit_id = t.audit_id AND v.dim = d.dim"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -243,5 +250,5 @@ def oracle_sql() -> dict[str, str]:
         "final_url_dedupe": FINALS, "bot_access_matrix": BOTS, "robots_rules": ROBOT_RULES, "check_results": CHECKS, "category_score": CATS, "site_score": SITES, "grade_distribution": GRADES, "previous_audit_asof": PREVIOUS, "latest_per_site": LATEST,
         "history_trend": HISTORY, "audit_delta": DELTA, "category_delta": CAT_DELTA, "score_drop_alerts": ALERTS, "cross_check": CROSS, "confusion_matrix": CONFUSION, "label_confusion": LABELS, "work_items": WORK, "effective_rank_topk": TOPK,
         "guardrail_partition": GUARD, "flag_profile": PROFILES, "flag_verdicts": VERDICTS, "watch_due": WATCH, "serp_rank": SERP, "usd_costs": USD,
-        "page_issues": ISSUES, "needed_fixes": FIXES, "page_types": TYPES, "site_kinds": KINDS, "breadcrumbs": CRUMBS, "origin_variants": VARIANTS, "sitemap_fix": SITEMAP,
+        "page_issues": ISSUES, "needed_fixes": FIXES, "page_types": TYPES, "site_kinds": KINDS, "breadcrumbs": CRUMBS, "origin_variants": VARIANTS, "sitemap_fix": SITEMAP, "check_confidence": CONFIDENCE,
     }

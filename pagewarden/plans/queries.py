@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..model import PAGE, SITE, conform
 from ..operators import audits as A
+from ..operators import confidence as E
 from ..operators import discovery as D
 from ..operators import fixes as X
 from ..operators import linkgraph as L
@@ -347,11 +348,16 @@ def sitemap_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sitemap_entries(C.crawl(spark, sf_dir).where("status = 200")).select("site_id", "entry_ord", "entry")
 
 
+def check_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.annotate(C.findings(spark, sf_dir), A.cross_check(*_verdicts(spark, sf_dir)))
+    return out.select("audit_id", "id", "type", "sure", "needs_verify")
+
+
 def queries() -> dict:
     found = [
         crawl_site_scores, page_extract_basic, dom_extract, url_functions, url_normalize, text_widths, title_h1_similarity, title_duplicate_groups, dup_docs_by_lang, near_duplicate_pairs, trailing_slash_twins, inlink_counts, orphan_pages, health_orphans, broken_link_sample,
         anchor_topk, link_health, heading_order, parameter_cap, final_url_dedupe, bot_access_matrix, robots_rules, check_results_full, check_results, category_score, site_score, grade_distribution, previous_audit_asof, latest_per_site, history_trend, audit_delta,
         category_delta, score_drop_alerts, cross_check, confusion_matrix, label_confusion, work_items, effective_rank_topk, guardrail_partition, flag_profile, flag_verdicts, watch_due, serp_rank, usd_costs,
-        page_issues, needed_fixes, page_types, site_kinds, breadcrumbs, origin_variants, sitemap_fix,
+        page_issues, needed_fixes, page_types, site_kinds, breadcrumbs, origin_variants, sitemap_fix, check_confidence,
     ]
     return {f.__name__: f for f in found}
