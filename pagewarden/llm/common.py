@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ BROADCAST_ROWS = 100_000
 ARROW_ROWS = 256
 
 _local: dict[str, str] = {}
+_libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +55,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def hint_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if its counted rows are under the bound; a shuffle join otherwise."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

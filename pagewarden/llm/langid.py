@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit, small_batches
+from .common import hash_unit, small_batches, tidy
 from .ngrams import fit_logistic, pack, softmax, trigram_counts, unit, unpack
 
 #: Documented bound of the sample to learn from: rows of all languages together.
@@ -140,6 +140,7 @@ def predict_column(model: Model | None, text: Column) -> Column:
             best[i], score[i] = model.langs[order[0]], float(row[order[0]])
             second[i] = model.langs[order[1]] if len(order) > 1 else None
         flags = [s < AMBIGUOUS for s in score]
+        tidy()
         return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(flags, pa.bool_())], ["lang_pred", "score", "runner_up", "ambiguous"])
 
     return predict.asNondeterministic()(text)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hint_small, scratch, small_batches
+from .common import hint_small, scratch, small_batches, tidy
 
 SEED = 42
 TILE = 2048
@@ -294,6 +294,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             keys.append([bytes([i]) + int(mix(h, 100 + i).min()).to_bytes(8, "big") for i in range(k)] if len(h) else [])
             small = np.unique((mix(h, 99) >> np.uint64(32)).astype(np.uint32))
             sketch.append(small[:s].tobytes())
+        tidy()
         return pa.StructArray.from_arrays([pa.array(v, pa.binary()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(sketch, pa.binary())], ["v", "fp", "keys", "sketch"])
 
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), sign.asNondeterministic()(F.col("text")).alias("s")).select("doc_id", "text_md5", "s.*")

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches
+from .common import scratch, small_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk; documents of more are split.
-CHUNK = 1 << 15
+CHUNK = 1 << 14
 SPACE = "▁"
-_CACHE = 400_000
+_CACHE = 120_000
 _NEG = -(1 << 62)
 
 
@@ -440,7 +440,9 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     @F.arrow_udf("array<int>")
     def whole(texts: pa.Array) -> pa.Array:
         v = vocabulary(proto)
-        return _ids_array(v.encode_all(texts.to_pylist()))
+        out = _ids_array(v.encode_all(texts.to_pylist()))
+        tidy()
+        return out
 
     giant = F.coalesce(F.length("text"), F.lit(0)) >= chunk
     short = docs.where(~giant).select("doc_id", whole.asNondeterministic()(F.col("text")).alias("ids"))
@@ -468,6 +470,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
 
     @F.arrow_udf("binary")
     def matrices(text: pa.Array, sizes: pa.Array) -> pa.Array:
+        tidy()
         v = vocabulary(proto)
         return pa.array([v.matrix(s.as_py(), n.as_py()).tobytes() for s, n in zip(text, sizes, strict=True)], pa.binary())
 
@@ -481,6 +484,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
 
     @F.arrow_udf("array<int>")
     def traced(text: pa.Array, sizes: pa.Array, i: pa.Array, j: pa.Array) -> pa.Array:
+        tidy()
         v = vocabulary(proto)
         return _ids_array([v.backtrace(a.as_py(), b.as_py(), c.as_py(), d.as_py()) for a, b, c, d in zip(text, sizes, i, j, strict=True)])
 
@@ -497,6 +501,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
+        tidy()
         v = loaded(Surfaces, proto)
         return pa.array([v.decode(x.values.tolist() if x.is_valid else []) for x in ids], pa.string())
 
