@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit, scratch, small_batches
+from .common import hash_unit, scratch, small_batches, tidy
 from .langid import sample_features
 from .ngrams import fit_softmax, softmax, trigram_counts, unit
 
@@ -45,13 +45,18 @@ def fit_domains(labelled: DataFrame, rows_bound: int = SAMPLE_ROWS):
     return domains, np.ascontiguousarray(w.T * _SCALE), b
 
 
-def membership(docs: DataFrame, model) -> DataFrame:
-    """docs with ``__mix``: struct(tokens, p array<double>) of each whole text."""
+def membership(docs: DataFrame, model, fitted: tuple | None = None) -> DataFrame:
+    """docs with ``__mix``: struct(tokens, p array<double>, rate) of each whole text.
+
+    ``fitted`` is what fit_rates returns; without it rates are 1.  One function gives all of it, as
+    each further one in a stage takes another Python worker for each task.
+    """
     small_batches(docs.sparkSession)
     k = len(model[0]) if model else 1
 
-    @F.arrow_udf("struct<tokens:bigint,p:array<double>>")
+    @F.arrow_udf("struct<tokens:bigint,p:array<double>,rate:double>")
     def posteriors(texts: pa.Array) -> pa.Array:
+        tidy()
         known = [t.as_py() or "" for t in texts]
         tokens = [len(t.encode("utf-8", "replace").split()) for t in known]
         if model:
@@ -60,7 +65,11 @@ def membership(docs: DataFrame, model) -> DataFrame:
             p = softmax(z)
         else:
             p = np.ones((len(known), 1))
-        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], ["tokens", "p"])
+        rate = np.ones(len(known))
+        if fitted and fitted[0]:
+            residuals, step, whole = fitted[:3]
+            rate += extra_rates(p * np.array(tokens, float)[:, None] / whole, np.array(residuals), step)[0]
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rate, pa.float64())], ["tokens", "p", "rate"])
 
     return docs.withColumn("__mix", posteriors.asNondeterministic()(F.col("text")))
 
@@ -125,14 +134,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     """docs with ``__mix`` (tokens, p) and ``__rate``, and the domains' names."""
     model = fit_domains(labelled)
     domains = model[0] if model else ["all"]
-    known = membership(docs, model)
     narrow = scratch(membership(docs.select("text"), model).select("__mix.tokens", "__mix.p"), "membership")
-    residuals, step, whole, _, _ = fit_rates(narrow, domains, targets, alpha)
-    if residuals:
-        rate = F.lit(1.0) + rate_column(residuals, step, whole)(F.col("__mix.tokens"), F.col("__mix.p"))
-    else:
-        rate = F.lit(1.0)
-    return known.withColumn("__rate", rate), domains
+    known = membership(docs, model, fit_rates(narrow, domains, targets, alpha))
+    return known.withColumn("__rate", F.col("__mix.rate")), domains
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
