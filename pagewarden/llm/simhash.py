@@ -33,8 +33,9 @@ from .common import hint_small, scratch, small_batches, tidy
 SEED = 42
 TILE = 2048
 #: Of the pipeline's stage: words in a shingle, bits, similarity, bits that may differ before the exact
-#: check (a Jaccard similarity of 0.8 differs in 15 % of the bits, +- 2 %), block keys, sketch.
-STAGE = {"shingle": 5, "bits": 256, "similarity": 0.8, "radius": 55, "keys": 6, "sketch": 512}
+#: check (at a Jaccard similarity of 0.8 a bit differs with probability 0.15, and at most 0.1875, of 4
+#: and 5 shingles, so that 88 bits are six deviations off), block keys, sketch.
+STAGE = {"shingle": 5, "bits": 256, "similarity": 0.8, "radius": 88, "keys": 6, "sketch": 512}
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -279,7 +280,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_md5 and, over the stage's shingles: v (of the words), fp, keys, sketch (smallest hashes, sorted)."""
+    """doc_id, text_md5 and, over the stage's distinct shingles: v (of the words), fp, keys, sketch (smallest hashes, sorted)."""
     small_batches(docs.sparkSession)
     n, bits, k, s = STAGE["shingle"], STAGE["bits"], STAGE["keys"], STAGE["sketch"]
 
@@ -288,7 +289,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         v, fp, keys, sketch = [], [], [], []
         for t in texts:
             text = t.as_py()
-            h = shingle_hashes(text, n)
+            h = np.unique(shingle_hashes(text, n))  # distinct, as the similarity is
             v.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "replace").lower().split())))
             fp.append(fingerprint(h, bits))
             keys.append([bytes([i]) + int(mix(h, 100 + i).min()).to_bytes(8, "big") for i in range(k)] if len(h) else [])

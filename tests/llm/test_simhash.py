@@ -107,3 +107,20 @@ def test_sketch_similarity_is_exact_for_short_texts(n):
     a, b = np.arange(n, dtype=np.uint32), np.arange(1, n + 1, dtype=np.uint32)
     if n < simhash.STAGE["sketch"]:
         assert simhash.jaccard(a, b) == (n - 1) / (n + 1)
+
+
+def test_the_radius_holds_repeated_lines_and_short_texts(spark, docs_schema):
+    rng = random.Random(6)
+    words = ["term%d" % i for i in range(5000)]
+    texts = []
+    for copies in (10, 40):
+        for _ in range(5):
+            base = rng.choices(words, k=300)
+            texts += [base, base + base[-12:] * copies]
+    short = [rng.sample(words, 9) for _ in range(300)]
+    texts += [t for s in short for t in (s[:8], s)]  # four and five shingles: similarity 0.8
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], docs_schema)
+    fps = [int.from_bytes(r.fp) for r in simhash.signatures(df).orderBy("doc_id").select("fp").collect()]
+    far = [i for i in range(0, len(fps), 2) if (fps[i] ^ fps[i + 1]).bit_count() > simhash.STAGE["radius"]]
+    assert not far
+    assert {r.doc_id for r in simhash.keep_one_of_each(df.where("doc_id < 20")).collect()} == set(range(0, 20, 2))
