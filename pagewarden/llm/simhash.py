@@ -35,7 +35,9 @@ TILE = 2048
 #: Of the pipeline's stage: words in a shingle, bits, similarity, bits that may differ before the exact
 #: check (at a Jaccard similarity of 0.8 a bit differs with probability 0.15, and at most 0.1875, of 4
 #: and 5 shingles, so that 88 bits are six deviations off), block keys, sketch.
-STAGE = {"shingle": 5, "bits": 256, "similarity": 0.8, "radius": 88, "keys": 6, "sketch": 512}
+#: A sketch's similarity is within "sure" (six standard errors) of the sets'; nearer to the bound the
+#: whole sets decide.
+STAGE = {"sure": 0.106, "shingle": 5, "bits": 256, "similarity": 0.8, "radius": 88, "keys": 6, "sketch": 512}
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -107,7 +109,7 @@ def within(row: list[int], vertical: list[int], radius: int, done: int, full: in
 def compare(rows: list[bytes], lanes: list[bytes] | None, radius: int, agree=None) -> Iterator[tuple[int, int]]:
     """Edges (row, lane) of a spanning forest of the links; within the rows themselves if lanes is None.
 
-    ``agree(i, j)`` has the last word on a link.  Lanes that are already in a row's component are skipped.
+    ``agree(i, j)`` says whether it is a link.  Lanes that are already in a row's component are skipped.
     """
     own = lanes is None
     lanes = rows if own else lanes
@@ -157,7 +159,8 @@ def chunk_keys(fp: Column, bits: int, radius: int) -> Column:
 def forest(vertices: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
     """Edges (a, b) between vertices(v binary, fp binary, keys array<binary>[, sketch binary]) that link.
 
-    Vertices are distinct.  With a similarity, a pair within the radius links if the sketches agree.
+    Vertices are distinct.  With a similarity, a pair within the radius links if the sketches agree;
+    a third column says whether they tell for sure, and a pair of which they do not is no link yet.
     """
     small_batches(vertices.sparkSession)
     checked = similarity is not None
@@ -178,13 +181,14 @@ def forest(vertices: DataFrame, radius: int, similarity: float | None = None) ->
         cells = cells.join(vertices.select("v", "fp", *extra), "v")
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "key", "lo", "hi", "v")
 
-    def link(group: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+    def link(group: list[dict]) -> Iterator[tuple]:
         lo, hi = group[0]["lo"], group[0]["hi"]
         first = group if lo == hi else [r for r in group if r["tile"] == lo]
         second = first if lo == hi else [r for r in group if r["tile"] == hi]
         if not first or not second or len(group) < 2:
             return
         agree = None
+        doubts: list[tuple[bytes, bytes]] = []
         if checked:
             sets: dict[bytes, np.ndarray] = {}
 
@@ -193,15 +197,32 @@ def forest(vertices: DataFrame, radius: int, similarity: float | None = None) ->
                     sets[r["v"]] = np.frombuffer(r["sketch"], np.uint32)
                 return sets[r["v"]]
 
-            agree = lambda i, j: jaccard(sketch(first[i]), sketch(second[j])) >= similarity
+            def agree(i: int, j: int) -> bool:
+                a, b = sketch(first[i]), sketch(second[j])
+                s = jaccard(a, b)
+                if max(len(a), len(b)) < STAGE["sketch"]:  # whole sets
+                    return s >= similarity
+                if abs(s - similarity) <= STAGE["sure"]:
+                    doubts.append((first[i]["v"], second[j]["v"]))
+                    return False
+                return s >= similarity
+
+        sure = (True,) if checked else ()
         for i, j in compare([r["fp"] for r in first], None if lo == hi else [r["fp"] for r in second], radius, agree):
-            yield first[i]["v"], second[j]["v"]
+            yield first[i]["v"], second[j]["v"], *sure
+        for a, b in doubts:
+            yield min(a, b), max(a, b), False
+
+    kinds = {"a": pa.binary(), "b": pa.binary()} | ({"sure": pa.bool_()} if checked else {})
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], t) for k, t in enumerate(kinds.values())], list(kinds))
 
     names = ["v", "fp", *extra, "tile", "lo", "hi", "cell", "key"]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if held and any(held[0][k] != row[k] for k in ("cell", "key", "lo", "hi")):
@@ -209,13 +230,13 @@ def forest(vertices: DataFrame, radius: int, similarity: float | None = None) ->
                     held = []
                 held.append(row)
             if len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+                yield batch_of(out)
                 out = []
         if held:
             out += link(held)
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+        yield batch_of(out)
 
-    return ordered.select(*names).mapInArrow(edges, "a binary, b binary")
+    return ordered.select(*names).mapInArrow(edges, "a binary, b binary, sure boolean" if checked else "a binary, b binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -301,13 +322,46 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), sign.asNondeterministic()(F.col("text")).alias("s")).select("doc_id", "text_md5", "s.*")
 
 
+def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose whole sets of shingles are as similar; the sets are made anew of the texts."""
+    n = STAGE["shingle"]
+
+    @F.arrow_udf("binary")
+    def whole(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_py(), n)).tobytes() for t in texts], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both) >= similarity)
+        return pa.array(out, pa.bool_())
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    # One text for each v; texts of the same words have the same shingles.
+    texts = scratch(signed.join(needed, "v").groupBy("v").agg(F.min("text_md5").alias("text_md5")), "doubtful")
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_md5", F.md5("text")).join(hint_small(texts, texts.count()), "text_md5")
+    sets = scratch(found.select("v", whole.asNondeterministic()(F.col("text")).alias("s")).dropDuplicates(["v"]), "sets")
+    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+    return both.where(alike.asNondeterministic()(F.col("sa"), F.col("sb"))).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed, classes): the stage's signatures, and component_id of the classes of more than one document."""
     signed = scratch(signatures(docs), "signatures")
     # One vertex for each distinct sequence of words; copies need no comparison.
     vertices = signed.select("v", "fp", "keys", "sketch").dropDuplicates(["v"])
     vertices = scratch(vertices, "vertices")
-    roots = components(forest(vertices, STAGE["radius"], STAGE["similarity"]))
+    links = scratch(forest(vertices, STAGE["radius"], STAGE["similarity"]), "links")
+    sure = links.where("sure").select("a", "b")
+    roots = components(sure)
+    root = lambda side: roots.select(F.col("v").alias(side), F.col("root").alias(f"root_{side}"))
+    apart = links.where("NOT sure").select("a", "b").distinct().join(root("a"), "a", "left").join(root("b"), "b", "left").where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False)))
+    doubts = scratch(apart.select("a", "b"), "doubts")
+    if not doubts.isEmpty():
+        roots = components(sure.union(verified(docs, signed, doubts, STAGE["similarity"])))
     return signed, scratch(class_components(signed.select("doc_id", "v"), roots), "classes")
 
 

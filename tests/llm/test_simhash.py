@@ -124,3 +124,19 @@ def test_the_radius_holds_repeated_lines_and_short_texts(spark, docs_schema):
     far = [i for i in range(0, len(fps), 2) if (fps[i] ^ fps[i + 1]).bit_count() > simhash.STAGE["radius"]]
     assert not far
     assert {r.doc_id for r in simhash.keep_one_of_each(df.where("doc_id < 20")).collect()} == set(range(0, 20, 2))
+
+
+def test_long_texts_near_the_bound_are_told_exactly(spark, docs_schema):
+    rng = random.Random(8)
+    rows, want = [], []
+    for g in range(40):
+        base = ["w%d" % rng.randrange(10**9) for _ in range(3000)]
+        near = list(base)
+        for i in range(0, 5 * (64 + g % 7), 5):  # a similarity of 0.79 to 0.81
+            near[i] = "n%d" % rng.randrange(10**9)
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, near))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(near))]
+        want += [2 * g] if len(a & b) / len(a | b) >= 0.8 else [2 * g, 2 * g + 1]
+    assert 40 < len(want) < 80
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs_schema)
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == want
