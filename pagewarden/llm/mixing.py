@@ -1,10 +1,11 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier trained on a labelled table gives every document posteriors over the domains.  The rates
-of the documents, 1 + extra with extra >= 0, are fitted by projected gradient on least
-squares, so that the expected tokens of each domain, the sum of rate x tokens x posterior, match the
-targets.  A step needs only the sums over all documents, one small row, so the documents stay where
-they are: each holds its rate as a function of the residuals of the steps so far.
+of the documents, 1 + extra with extra >= 0, are fitted by least squares, so that the expected tokens
+of each domain, the sum of rate x tokens x posterior, match the targets.  With a very small ridge the
+extra rates are one projected gradient step from nothing, max(0, a . m), along multipliers m, one for
+each domain; Newton's method finds m.  A pass needs only sums over all documents, one small row, so
+the documents stay where they are and each has its rate from m alone.
 
 Targets default to the domains' own shares raised to ``ALPHA`` (smoothing).  The total is the least
 at which no domain has to shrink, so that no document is lost: a document with rate r is repeated
@@ -16,6 +17,8 @@ domain and every rate is 1; equal rows get equal rates; a null doc_id hashes lik
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +31,12 @@ from .ngrams import fit_softmax, softmax, trigram_counts, unit
 #: Documented bound of the labelled sample that the classifier learns from.
 SAMPLE_ROWS = 4000
 ALPHA = 0.7
-ROUNDS = 40
+#: Passes at most; about ten are needed.  A fit that has not settled by then fails.
+ROUNDS = 200
+#: Of each domain's own wanted tokens, to stop.
 TOLERANCE = 1e-6
+#: Of the ridge, in the largest eigenvalue of the Gram matrix.
+RIDGE = 1e-8
 _SCALE = 30.0
 
 
@@ -83,23 +90,31 @@ def extra_rates(a: np.ndarray, residuals: np.ndarray, step: float) -> np.ndarray
     return now, y
 
 
-def rate_column(residuals: list, step: float, unit_tokens: float, momentum: bool = False):
-    """A column of the fitted rates minus one, from __mix; replays the steps, all in numpy."""
-    g = np.array(residuals)
+def newton_sums(rows: DataFrame, m: np.ndarray, whole: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the extra rates r = max(0, a . m) of rows(tokens, p): the sums of r^2, of a r, and of a a' where r > 0."""
+    k = len(m)
+    small_batches(rows.sparkSession)
 
-    @F.arrow_udf("double")
-    def rate(tokens: pa.Array, p: pa.Array) -> pa.Array:
-        k = g.shape[1]
-        t = tokens.to_numpy(zero_copy_only=False).astype(np.float64)
-        a = p.flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * t[:, None] / unit_tokens
-        now, y = extra_rates(a, g, step)
-        return pa.array(y if momentum else now, pa.float64())
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 + k + k * k)
+        for batch in batches:
+            t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            a = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * t[:, None] / whole
+            r = np.maximum(0.0, a @ m)
+            on = a[r > 0]
+            out += np.concatenate([[r @ r], a.T @ r, (on.T @ on).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out)], ["i", "x"])
 
-    return rate
+    found = dict(rows.select("tokens", "p").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x")).collect())
+    x = np.array([found.get(i, 0.0) for i in range(1 + k + k * k)])
+    return float(x[0]), x[1 : 1 + k], x[1 + k :].reshape(k, k)
 
 
 def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | None = None, alpha: float = ALPHA):
-    """(residuals, step, unit) that define the rates of rows(tokens, p), a narrow table that can be read again."""
+    """(residuals, step, unit, wanted shares, tokens) of rows(tokens, p), a narrow table that can be read again.
+
+    The first three define the rates, by extra_rates.
+    """
     k = len(domains)
     term = lambda i, w=1.0: F.col("tokens") * F.col("p")[i] * w
     gram = [(i, j) for i in range(k) for j in range(i, k)]
@@ -119,15 +134,30 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | N
     for i, j in gram:
         q[i, j] = q[j, i] = s[f"g{i}_{j}"] / whole**2
     step = 1.0 / max(np.linalg.eigvalsh(q)[-1], 1e-300)
-    residuals: list[list[float]] = [(-goal).tolist()]
-    for _ in range(ROUNDS):
-        extra = rate_column(residuals, step, whole, momentum=True)(F.col("tokens"), F.col("p"))
-        sums = rows.withColumn("y", extra).agg(*[F.sum(term(i) * F.col("y")).alias(f"t{i}") for i in range(k)]).first()
-        g = np.array([sums[f"t{i}"] for i in range(k)]) / whole - goal
-        if np.abs(g).max() <= TOLERANCE:
-            break
-        residuals.append(g.tolist())
-    return residuals, step, whole, want, now
+    ridge = RIDGE / step * np.eye(k)
+    # No smaller than what sums of doubles can tell.
+    small = np.maximum(TOLERANCE * np.where(want > 0, total * want / whole, 1.0), 1e-13 * total / whole)
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        square, sums, curve = newton_sums(rows, m, whole)
+        return square / 2 + m @ ridge @ m / 2 - goal @ m, sums + ridge @ m - goal, curve + ridge
+
+    m = np.linalg.solve(q + ridge, goal)
+    value, g, curve = at(m)
+    passes = 1
+    while (np.abs(g) > small).any():
+        d, part = -np.linalg.solve(curve, g), 1.0
+        while True:
+            if passes >= ROUNDS:
+                raise RuntimeError(f"mixing: rates have not settled after {ROUNDS} passes, residuals {g.tolist()}")
+            passes += 1
+            next_value, next_g, next_curve = at(m + part * d)
+            # Near the end the value is too flat to tell; a smaller residual will do.
+            if next_value <= value + 1e-4 * part * (g @ d) or np.abs(next_g / small).max() < np.abs(g / small).max() / 2:
+                break
+            part /= 2
+        m, value, g, curve = m + part * d, next_value, next_g, next_curve
+    return [(-m / step).tolist()], step, whole, want, now
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA) -> tuple[DataFrame, list[str]]:

@@ -99,6 +99,30 @@ def test_rates_meet_the_targets(spark, monkeypatch):
     assert np.abs(a.T @ slow - a.T @ extra).max() < 0.015
 
 
+def test_rates_meet_rare_targets(spark):
+    for shares in ([0.985, 0.013, 0.002], [0.892, 0.1046, 0.0017, 0.0017]):
+        rng = np.random.default_rng(1)
+        k, n = len(shares), 8000
+        y = rng.choice(k, n, p=shares)
+        z = np.exp(rng.standard_normal((n, k)) + 12 * np.eye(k)[y])
+        p, t = z / z.sum(axis=1, keepdims=True), rng.integers(1, 500, n)
+        rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
+        residuals, step, whole, want, _ = mixing.fit_rates(rows, list("abcd")[:k])
+        a = p * t[:, None] / whole
+        got = ((1 + mixing.extra_rates(a, np.array(residuals), step)[0])[:, None] * a).sum(axis=0)
+        assert np.abs(got / got.sum() / want - 1).max() < 1e-3  # of each domain's own target
+
+
+def test_soft_rates_are_the_least_squares_ones(spark):
+    rng = np.random.default_rng(0)
+    p, t = rng.dirichlet([0.3, 0.3, 0.3], 4000), rng.integers(1, 500, 4000)
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
+    residuals, step, whole, share, _ = mixing.fit_rates(rows, ["a", "b", "c"], {"a": 0.6, "b": 0.3, "c": 0.1})
+    a = p * t[:, None] / whole
+    got = ((1 + mixing.extra_rates(a, np.array(residuals), step)[0])[:, None] * a).sum(axis=0)
+    assert np.abs(got / got.sum() - share).max() < 1e-3
+
+
 def test_mixing_keeps_every_document(spark, docs_schema):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = mixing.mixed(docs, labelled_domains(docs, labels))
