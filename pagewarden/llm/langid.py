@@ -152,11 +152,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.withColumn("_lang", predict_column(model, F.col("text")))
 
 
-#: The pipeline rejects a text with no letters, and one whose best language has no more than this score.
-REJECT_SCORE = 0.3
-
-
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those whose language cannot be told."""
+    """docs without those whose language cannot be told: texts with no letters, and ambiguous ones."""
     told = identify(docs, fit(docs))
-    return told.where((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") > REJECT_SCORE)).drop("_lang")
+    return told.where((F.col("_lang.lang_pred") != "und") & ~F.col("_lang.ambiguous")).drop("_lang")

@@ -46,6 +46,17 @@ def test_held_out_languages(spark, docs_schema):
     assert langid.keep_identified(df.limit(0)).count() == 0
 
 
+def test_ambiguous_texts_are_rejected(spark, docs_schema):
+    rng = random.Random(3)
+    rows = [(i, text(lang, 60, rng), lang, "s", 0) for i in range(300) for lang in [rng.choice(["xa", "xb"])]]
+    rows += [(1000 + i, text("xa", n, rng) + " " + text("xb", 60 - n, rng), None, "s", 0) for i, n in enumerate(range(10, 50))]
+    df = spark.createDataFrame(rows, docs_schema)
+    told = {r.doc_id: r._lang for r in langid.identify(df, langid.fit(df)).collect()}
+    unsure = {i for i, p in told.items() if p.score < langid.AMBIGUOUS}
+    assert unsure and min(p.score for p in told.values()) >= 0.5  # two languages: never 0.3
+    assert {r.doc_id for r in langid.keep_identified(df).collect()} == set(told) - unsure
+
+
 def test_the_language_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     r = op8_language_id(spark, SF).join(docs, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
