@@ -34,10 +34,10 @@ SEED = 42
 TILE = 2048
 #: Of the pipeline's stage: words in a shingle, bits, similarity, bits that may differ before the exact
 #: check (at a Jaccard similarity of 0.8 a bit differs with probability 0.15, and at most 0.1875, of 4
-#: and 5 shingles, so that 88 bits are six deviations off), block keys, sketch.
+#: and 5 shingles, so that 88 bits are six deviations off), block keys (all differ once in ten million), sketch.
 #: A sketch's similarity is within "sure" (six standard errors) of the sets'; nearer to the bound the
 #: whole sets decide.
-STAGE = {"sure": 0.106, "shingle": 5, "bits": 256, "similarity": 0.8, "radius": 88, "keys": 6, "sketch": 512}
+STAGE = {"sure": 0.106, "shingle": 5, "bits": 256, "similarity": 0.8, "radius": 88, "keys": 10, "sketch": 512}
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:

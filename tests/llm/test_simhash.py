@@ -140,3 +140,7 @@ def test_long_texts_near_the_bound_are_told_exactly(spark, docs_schema):
     assert 40 < len(want) < 80
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs_schema)
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == want
+
+
+def test_enough_block_keys():
+    assert (1 - simhash.STAGE["similarity"]) ** simhash.STAGE["keys"] < 2e-7
