@@ -241,18 +241,26 @@ def trailing_slash_twins(rows: DataFrame) -> DataFrame:
     return p.withColumn("alt", alt).join(twins, ["site_id", "alt"]).where(F.col("twin") != F.col("url")).select("site_id", "page_ord", "url", "twin")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.85, first: int = 60) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.85, first: int | None = 60) -> DataFrame:
     """(site_id, a, b, url_a, url_b, similarity) of a site's first pages whose token sets are more alike than ``least``.
 
     Pairs come from a join on their rarer tokens: a pair over the bound shares one of the first
-    (1 - least) n + 1 tokens of each, in a fixed order.
+    (1 - least) n + 1 tokens of each, in a fixed order.  With ``first`` None all pages are compared,
+    and the order is from the site's rarest token to its most frequent.
     """
     order = W.partitionBy("site_id").orderBy("page_ord")
-    c = rows.where((F.col("word_count") > 100) & ~F.coalesce("empty_root", F.lit(False))).withColumn("k", F.row_number().over(order)).where(F.col("k") <= first)
+    c = rows.where((F.col("word_count") > 100) & ~F.coalesce("empty_root", F.lit(False)))
+    if first is not None:
+        c = c.withColumn("k", F.row_number().over(order)).where(F.col("k") <= first)
     c = c.select("site_id", "page_ord", "url", F.array_sort(F.transform(T.token_set(F.col("text_sample")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))).alias("t")).where(F.size("t") >= 30)
+    if first is None:
+        words = c.select("site_id", "page_ord", "url", F.explode("t").alias("x")).select("site_id", "page_ord", "url", "x.h", "x.w")
+        seen = words.groupBy("site_id", "w").agg(F.count(F.lit(1)).alias("n"))
+        c = words.join(seen, ["site_id", "w"]).groupBy("site_id", "page_ord", "url").agg(F.array_sort(F.collect_list(F.struct("n", "h", "w"))).alias("t"))
     prefix = F.slice("t", F.lit(1), F.floor(F.size("t") * (1 - least)).cast("int") + 1)
-    keys = c.select("site_id", "page_ord", F.explode(F.transform(prefix, lambda x: x["w"])).alias("w"))
-    pairs = keys.alias("x").join(keys.alias("y"), ["site_id", "w"]).where(F.col("x.page_ord") < F.col("y.page_ord")).select("site_id", F.col("x.page_ord").alias("a"), F.col("y.page_ord").alias("b")).distinct()
+    keys = c.select("site_id", "page_ord", F.size("t").alias("size"), F.explode(F.transform(prefix, lambda x: x["w"])).alias("w"))
+    fits = F.least("x.size", "y.size") > F.greatest("x.size", "y.size") * least
+    pairs = keys.alias("x").join(keys.alias("y"), ["site_id", "w"]).where((F.col("x.page_ord") < F.col("y.page_ord")) & fits).select("site_id", F.col("x.page_ord").alias("a"), F.col("y.page_ord").alias("b")).distinct()
     side = lambda n: c.select("site_id", F.col("page_ord").alias(n), F.col("url").alias(f"url_{n}"), F.transform("t", lambda x: x["w"]).alias(f"t_{n}"))
     both = pairs.join(side("a"), ["site_id", "a"]).join(side("b"), ["site_id", "b"])
     return both.withColumn("similarity", T.jaccard(F.col("t_a"), F.col("t_b"))).where(F.col("similarity") > least).drop("t_a", "t_b")
