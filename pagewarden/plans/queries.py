@@ -106,7 +106,7 @@ def inlink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.crawl(spark, sf_dir)
-    targets = C.links(c).where("k < 3").select("site_id", "target").distinct()
+    targets = C.links(c).select("site_id", "target").distinct()
     ok = c.where("status = 200 AND page_ord > 1")
     out = ok.join(targets.withColumnRenamed("target", "url"), ["site_id", "url"], "left_anti").join(targets.withColumnRenamed("target", "final_url"), ["site_id", "final_url"], "left_anti")
     return out.select("site_id", "page_id", "url")
@@ -114,7 +114,7 @@ def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def health_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.crawl(spark, sf_dir)
-    return L.health_orphans(c, C.links(c).where("k < 3"))
+    return L.health_orphans(c, C.links(c))
 
 
 def broken_link_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
