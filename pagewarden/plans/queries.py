@@ -67,13 +67,13 @@ def text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_h1_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each title with the heading of the next page of its site."""
     c = C.crawl(spark, sf_dir).withColumn("next_h1", F.lead("h1_text").over(W.partitionBy("site_id").orderBy("page_ord")))
-    return c.select("page_id", T.title_h1_similarity(F.substring("title", 1, 60), F.substring("next_h1", 1, 60)).alias("similarity"))
+    return c.select("page_id", T.title_h1_similarity(F.col("title"), F.col("next_h1")).alias("similarity"))
 
 
 def title_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.crawl(spark, sf_dir).where("status = 200")
     rows = c.withColumns({"dup_eligible": ~U.search(F.col("url")).rlike(K.REPEAT_QUERY), "language": U.language_of(F.col("lang"), F.col("url")), "address": F.col("url"), "empty_root": F.lit(False), "canonical": F.lit("")})
-    g = K.duplicate_groups(rows, T.norm_dup(F.substring("title", 1, 4)), F.col("title"))
+    g = K.duplicate_groups(rows, T.norm_dup(F.col("title")), F.col("title"))
     return g.select("site_id", "language", "key", F.col("n").cast("long").alias("n"), "value", "has_root")
 
 
