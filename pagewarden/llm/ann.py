@@ -39,7 +39,8 @@ LEAF = 1024
 #: Vectors that a query looks at, about, counted in every tree: the larger of a number and a share of
 #: the index.  The share is what recall 0.9 takes on vectors without any structure; it is a parameter.
 SEARCH_ROWS, SEARCH_SHARE = 40_000, 0.9
-_SPARE = 4
+#: Of the product of two lengths: by how much a product of matrices can be off.
+_ROUNDING = 1e-12
 
 
 class Forest:
@@ -108,6 +109,27 @@ def fit_forest(sample: np.ndarray, n: int, top: float, trees: int = TREES, leaf:
     return shell
 
 
+def best_of(x: np.ndarray, y: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of y, row of x, exact product) of the m rows of x with the largest products, of equal ones the first, for each row of y.
+
+    The product of the matrices only leaves out what cannot be among them.
+    """
+    rough = y @ x.T
+    if m < len(x):
+        last = np.partition(rough, len(x) - m, axis=1)[:, len(x) - m]
+        slack = _ROUNDING * np.linalg.norm(y, axis=1) * np.sqrt((x * x).sum(axis=1).max())
+        q, c = np.nonzero(rough >= (last - 2 * slack)[:, None])
+    else:
+        q, c = np.divmod(np.arange(len(x) * len(y)), len(x))
+    exact = np.concatenate([dots(x[c[k : k + 65536]], y[q[k : k + 65536]]) for k in range(0, len(q), 65536)] or [np.empty(0)])
+    order = np.lexsort((c, -exact, q))
+    q, c, exact = q[order], c[order], exact[order]
+    starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    keep = place < m
+    return q[keep], c[keep], exact[keep]
+
+
 def dots(c: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products of rows, summed in the order of the components."""
     out = np.zeros(np.broadcast_shapes(c.shape[:-1], q.shape[:-1]))
@@ -117,8 +139,8 @@ def dots(c: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, v array<double>) of the rows that take part, without repeated rows."""
-    v = F.col(vector).cast("array<double>")
+    """(id, v) of the rows that take part, without repeated rows; v holds floats if the column does, else doubles."""
+    v = F.col(vector).cast("array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>")
     big = F.lit(float("inf"))
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(v, lambda x: x != 0)
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
@@ -133,28 +155,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     same = W.partitionBy("v").orderBy("id")
     few = vectors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)  # Spark limits the groups before it shuffles
     classes = scratch(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("c"), "ids", "v"), "classes")
-    n, top = classes.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    n, top = classes.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
     taken = classes.where(hash_unit(F.col("c"), F.lit("forest")) < min(1.0, SAMPLE_ROWS / n)).select("c", "v").collect()
-    sample = np.array([r["v"] for r in sorted(taken)] or [classes.first()["v"]])
+    sample = np.array([r["v"] for r in sorted(taken)] or [classes.first()["v"]], np.float64)
     forest = fit_forest(sample, n, top, trees, leaf)
     enough = max(least, share * n)
     shared = spark.sparkContext.broadcast(forest)  # trees x sample / 4 nodes at most
+    # Where the sample allows no more leaves, a leaf is dealt over parts, so that no task's memory grows with the index.
+    parts = max(1, int(np.ceil(n / 2**forest.depth / (4 * leaf))))
 
     @F.arrow_udf("array<bigint>")
     def file(v: pa.Array) -> pa.Array:
-        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
         leaves = shared.value.leaves(x) if len(x) else np.zeros((0, trees), np.int64)
         return pa.array((leaves * trees + np.arange(trees)).tolist(), pa.list_(pa.int64()))
 
     @F.arrow_udf("array<bigint>")
     def open_leaves(v: pa.Array) -> pa.Array:
-        return pa.array([[node * trees + t for t, node in shared.value.search(np.array(q.as_py()), enough)] for q in v], pa.list_(pa.int64()))
+        return pa.array([[node * trees + t for t, node in shared.value.search(np.array(q.as_py(), np.float64), enough)] for q in v], pa.list_(pa.int64()))
 
     filed = classes.select(F.lit(0).alias("kind"), "c", "v", F.explode(file.asNondeterministic()("v")).alias("leaf"))
+    filed = filed.withColumn("leaf", F.col("leaf") * parts + F.pmod(F.xxhash64("c"), F.lit(parts)))
     asked = queries.repartition("id").select(F.lit(1).alias("kind"), F.col("id").alias("c"), "v", F.explode(open_leaves.asNondeterministic()("v")).alias("leaf"))
+    if parts > 1:
+        asked = asked.select("kind", "c", "v", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), lambda p: F.col("leaf") * parts + p)).alias("leaf"))
+    else:
+        asked = asked.select("kind", "c", "v", "leaf")
     cells = filed.union(asked).repartition("leaf").sortWithinPartitions("leaf", "kind", "c")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +194,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
                 return None
             ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             qs, y = np.concatenate([h[0] for h in waiting]), np.concatenate([h[1] for h in waiting])
-            m = min(len(ids), k + 1 + _SPARE)
-            near = np.argpartition(-(y @ x.T), m - 1, axis=1)[:, :m] if m < len(ids) else np.broadcast_to(np.arange(len(ids)), (len(qs), m))
-            exact = dots(x[near], y[:, None, :])
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, m)), pa.array(ids[near].ravel()), pa.array(exact.ravel())], ["q", "c", "score"])
+            q, c, exact = best_of(x, y, k + 1)  # the rows of a leaf come in the order of their ids
+            return pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(ids[c]), pa.array(exact)], ["q", "c", "score"])
 
         for batch in batches:
             leaf, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 0))
             ids = batch.column(1).to_numpy(zero_copy_only=False)
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             marks = leaf * 2 + kind
             starts = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])) if len(marks) else []
             for a, b in zip(starts, np.append(starts[1:], len(marks)), strict=True):

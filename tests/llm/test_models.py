@@ -174,3 +174,50 @@ def test_neighbours_recall_and_scores(spark):
     few = vectors.where("id < 4")
     assert [r.rank for r in ann.search(few, few.where("id = 0")).orderBy("rank").collect()] == [1, 2, 3]
     assert ann.search(vectors.where("id < 0"), vectors).count() == 0
+
+
+def test_ties_in_a_leaf_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((700, 8))
+    for m in (1, 5, 21, 700, 900):
+        q, c, score = ann.best_of(x.round(0), x[:9].round(0), m)
+        want = []
+        for i in range(9):
+            s = ann.dots(x.round(0), x[i].round(0))
+            want += [(i, int(j), s[j]) for j in np.lexsort((np.arange(700), -s))[:m]]
+        assert list(zip(q.tolist(), c.tolist(), score.tolist(), strict=True)) == want
+    # Five candidates score 2, all others 1; copies of a vector are one class.
+    rows = [(i, [1.0, 0.0, float(i)]) for i in range(1, 600)] + [(600 + i, [2.0, 0.0, float(i)]) for i in range(5)]
+    vectors = ann.valid_vectors(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v")
+    query = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "id long, v array<float>")
+    out = ann.search(vectors, query, leaf=64, least=700, share=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(600 + i, 2.0) for i in range(5)] + [(i, 1.0) for i in range(1, 16)]
+
+
+def test_recall_at_the_querys_own_parameters(spark):
+    rng = np.random.default_rng(9)
+    n = 12000
+    for x in (rng.standard_normal((n, 32)), rng.standard_normal((60, 32))[rng.integers(0, 60, n)] + 0.3 * rng.standard_normal((n, 32))):
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+        got = {}
+        for r in ann.search(rows, rows.where("id % 400 = 0")).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+        recall, y = [], x.astype(np.float64)
+        for q in range(0, n, 400):
+            s = ann.dots(y, y[q])
+            best = [int(j) for j in np.lexsort((np.arange(n), -s)) if j != q][:20]
+            assert all(score == s[i] for i, score in got[q].values())
+            recall.append(len({i for i, _ in got[q].values()} & set(best)) / 20)
+        assert np.mean(recall) >= 0.9
+
+
+def test_leaves_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 40)  # eight leaves of about 112 vectors, each in four parts
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    out = ann.search(rows, rows.where("id % 100 = 0"), leaf=8, least=1800, trees=2)
+    for q in range(0, 900, 100):
+        s = ann.dots(x, x[q])
+        assert [r.vec_id for r in out.where(f"query_id = {q}").orderBy("rank").collect()] == [int(j) for j in np.lexsort((np.arange(900), -s)) if j != q][:20]
