@@ -1,18 +1,21 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier trained on a labelled table gives every document posteriors over the domains.  The rates
-of the documents, 1 + extra with extra >= 0, are fitted by least squares, so that the expected tokens
-of each domain, the sum of rate x tokens x posterior, match the targets.  With a very small ridge the
-extra rates are one projected gradient step from nothing, max(0, a . m), along multipliers m, one for
-each domain; Newton's method finds m.  A pass needs only sums over all documents, one small row, so
-the documents stay where they are and each has its rate from m alone.
-
-Targets default to the domains' own shares raised to ``ALPHA`` (smoothing).  The total is the least
-at which no domain has to shrink, so that no document is lost: a document with rate r is repeated
-floor(r) times and once more with the rest as its probability, by a hash of its id.
+of the documents, nonnegative (or at least ``least``), are fitted by least squares, so that the
+expected tokens of each domain, the sum of rate x tokens x posterior, match the targets; of the many
+rates that do, a very small ridge takes those nearest to 1.  Such rates are one projected gradient
+step from 1, max(least, 1 + a . m), along multipliers m, one for each domain; Newton's method finds
+m.  A pass needs only sums over all documents, one small row, so the documents stay where they are
+and each has its rate from m alone.
+
+Targets default to the domains' own shares raised to ``ALPHA`` (smoothing), the total to the corpus's
+own tokens; a target of 0 is a target.  With ``least`` 1, as in the pipeline, no document is lost: the
+total is then the least at which no domain has to shrink.  A document with rate r is taken floor(r)
+times and once more with the rest as its probability, by a hash of its id.
 
 Defined results: a null or empty text has no tokens and rate 1; with no labelled rows there is one
-domain and every rate is 1; equal rows get equal rates; a null doc_id hashes like any value.
+domain and every rate is 1; equal rows get equal rates; a null doc_id hashes like any value.  Targets
+that no rates meet are met as nearly as least squares can.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from .ngrams import fit_softmax, softmax, trigram_counts, unit
 #: Documented bound of the labelled sample that the classifier learns from.
 SAMPLE_ROWS = 4000
 ALPHA = 0.7
-#: Passes at most; about ten are needed.  A fit that has not settled by then fails.
-ROUNDS = 200
+#: Passes at most; ten to forty are needed.  A fit that has not settled by then fails.
+ROUNDS = 500
 #: Of each domain's own wanted tokens, to stop.
 TOLERANCE = 1e-6
 #: Of the ridge, in the largest eigenvalue of the Gram matrix.
@@ -73,25 +76,24 @@ def membership(docs: DataFrame, model, fitted: tuple | None = None) -> DataFrame
         else:
             p = np.ones((len(known), 1))
         rate = np.ones(len(known))
-        if fitted and fitted[0]:
-            residuals, step, whole = fitted[:3]
-            rate += extra_rates(p * np.array(tokens, float)[:, None] / whole, np.array(residuals), step)[0]
+        if fitted is not None:
+            m, least, whole = fitted[:3]
+            rate = rates(p * np.array(tokens, float)[:, None] / whole, m, least)
         return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rate, pa.float64())], ["tokens", "p", "rate"])
 
     return docs.withColumn("__mix", posteriors.asNondeterministic()(F.col("text")))
 
 
-def extra_rates(a: np.ndarray, residuals: np.ndarray, step: float) -> np.ndarray:
-    """Extra rates of rows a after the steps whose residuals are given: r <- max(0, y - step a.g), y with momentum."""
-    last = now = y = np.zeros(len(a))
-    for n, g in enumerate(residuals):
-        last, now = now, np.maximum(0.0, y - step * (a @ g))
-        y = now + (n / (n + 3)) * (now - last)
-    return now, y
+def rates(a: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """The rates of rows a: a gradient step from 1 along the multipliers, projected on what is allowed."""
+    return np.maximum(least, 1.0 + a @ np.array(m))
+
 
+def newton_sums(rows: DataFrame, m: np.ndarray, whole: float, least: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the rates r of rows(tokens, p): the sum of what the multipliers minimise, of a r, and of a a' where r > least.
 
-def newton_sums(rows: DataFrame, m: np.ndarray, whole: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Of the extra rates r = max(0, a . m) of rows(tokens, p): the sums of r^2, of a r, and of a a' where r > 0."""
+    What they minimise has r as its slope: z + z^2 / 2 at z = a . m, and a straight line below least - 1.
+    """
     k = len(m)
     small_batches(rows.sparkSession)
 
@@ -100,9 +102,10 @@ def newton_sums(rows: DataFrame, m: np.ndarray, whole: float) -> tuple[float, np
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
             a = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * t[:, None] / whole
-            r = np.maximum(0.0, a @ m)
-            on = a[r > 0]
-            out += np.concatenate([[r @ r], a.T @ r, (on.T @ on).ravel()])
+            z = a @ m
+            on = z > least - 1
+            value = np.where(on, z + z * z / 2, least * z - (least - 1) ** 2 / 2)
+            out += np.concatenate([[value.sum()], a.T @ np.where(on, 1 + z, least), (a[on].T @ a[on]).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out)], ["i", "x"])
 
     found = dict(rows.select("tokens", "p").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x")).collect())
@@ -110,39 +113,33 @@ def newton_sums(rows: DataFrame, m: np.ndarray, whole: float) -> tuple[float, np
     return float(x[0]), x[1 : 1 + k], x[1 + k :].reshape(k, k)
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | None = None, alpha: float = ALPHA):
-    """(residuals, step, unit, wanted shares, tokens) of rows(tokens, p), a narrow table that can be read again.
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | None = None, alpha: float = ALPHA, least: float = 0.0, total: float | None = None):
+    """(multipliers, least, unit, wanted shares, tokens) of rows(tokens, p), a narrow table that can be read again.
 
-    The first three define the rates, by extra_rates.
+    The first three define the rates.  ``total`` is the wanted number of tokens.
     """
     k = len(domains)
-    term = lambda i, w=1.0: F.col("tokens") * F.col("p")[i] * w
-    gram = [(i, j) for i in range(k) for j in range(i, k)]
-    s = rows.agg(
-        *[F.coalesce(F.sum(term(i)), F.lit(0.0)).alias(f"t{i}") for i in range(k)], *[F.coalesce(F.sum(term(i) * term(j)), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in gram]
-    ).first()
-    now = np.array([s[f"t{i}"] for i in range(k)])
+    _, now, q = newton_sums(rows, np.zeros(k), 1.0, 0.0)
     whole = now.sum()
     if whole <= 0:
-        return [], 0.0, 1.0, np.ones(k) / k, now
+        return np.zeros(k), 0.0, 1.0, np.ones(k) / k, now
+    q /= whole**2
     share = now / whole
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains]) if targets else np.where(share > 0, share**alpha, 0.0)
     want = want / want.sum()
-    total = whole * max(1.0, (share[want > 0] / want[want > 0]).max())
-    goal = np.maximum(total * want - now, 0.0) / whole  # extra tokens of each domain, in units of the corpus
-    q = np.zeros((k, k))
-    for i, j in gram:
-        q[i, j] = q[j, i] = s[f"g{i}_{j}"] / whole**2
-    step = 1.0 / max(np.linalg.eigvalsh(q)[-1], 1e-300)
-    ridge = RIDGE / step * np.eye(k)
+    if total is None:
+        total = whole * (max(1.0, least * (share[want > 0] / want[want > 0]).max()) if least else 1.0)
+    goal = total * want / whole  # tokens of each domain, in units of the corpus
+    top = max(np.linalg.eigvalsh(q)[-1], 1e-300)
+    ridge = RIDGE * top * np.eye(k)
     # No smaller than what sums of doubles can tell.
-    small = np.maximum(TOLERANCE * np.where(want > 0, total * want / whole, 1.0), 1e-13 * total / whole)
+    small = np.maximum(TOLERANCE * np.where(want > 0, goal, goal.sum()), 1e-13 * goal.sum())
 
     def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        square, sums, curve = newton_sums(rows, m, whole)
-        return square / 2 + m @ ridge @ m / 2 - goal @ m, sums + ridge @ m - goal, curve + ridge
+        value, sums, curve = newton_sums(rows, m, whole, least)
+        return value + m @ ridge @ m / 2 - goal @ m, sums + ridge @ m - goal, curve + ridge
 
-    m = np.linalg.solve(q + ridge, goal)
+    m = np.linalg.solve(q + ridge, goal - share)
     value, g, curve = at(m)
     passes = 1
     while (np.abs(g) > small).any():
@@ -157,16 +154,15 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | N
                 break
             part /= 2
         m, value, g, curve = m + part * d, next_value, next_g, next_curve
-    return [(-m / step).tolist()], step, whole, want, now
+    return m, least, whole, want, now
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA) -> tuple[DataFrame, list[str]]:
-    """docs with ``__mix`` (tokens, p) and ``__rate``, and the domains' names."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA, least: float = 0.0) -> tuple[DataFrame, list[str]]:
+    """docs with ``__mix`` (tokens, p, rate), and the domains' names; a column of that name is replaced."""
     model = fit_domains(labelled)
     domains = model[0] if model else ["all"]
     narrow = scratch(membership(docs.select("text"), model).select("__mix.tokens", "__mix.p"), "membership")
-    known = membership(docs, model, fit_rates(narrow, domains, targets, alpha))
-    return known.withColumn("__rate", F.col("__mix.rate")), domains
+    return membership(docs, model, fit_rates(narrow, domains, targets, alpha, least)), domains
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -175,7 +171,8 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """docs, each repeated as its rate says; none is lost."""
-    rated, _ = mix(docs, labelled)
-    times = rated.withColumn("__copies", F.array_repeat(F.lit(0), copies(F.col("__rate"), F.col("doc_id"))))
-    return times.withColumn("__copy", F.explode("__copies")).select(*docs.columns)
+    """docs, each repeated as its rate of at least 1 says; none is lost."""
+    whole = docs.select("doc_id", "text", F.struct("*").alias("__row"))
+    rated, _ = mix(whole, labelled, least=1.0)
+    times = F.array_repeat(F.lit(0), copies(F.col("__mix.rate"), F.col("doc_id")))
+    return rated.select("__row", F.explode(times)).select("__row.*")

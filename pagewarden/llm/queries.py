@@ -66,7 +66,7 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rated, domains = mixing.mix(docs.select("doc_id", "text"), labelled_domains(docs, table(spark, sf_dir, "labels")))
     return rated.select(
-        "doc_id", F.col("__mix.tokens").alias("tokens"), *[F.round(F.col("__mix.p")[i], 9).alias(f"p_{d}") for i, d in enumerate(domains)], F.round("__rate", 6).alias("rate"), mixing.copies(F.col("__rate"), F.col("doc_id")).alias("copies")
+        "doc_id", F.col("__mix.tokens").alias("tokens"), *[F.round(F.col("__mix.p")[i], 9).alias(f"p_{d}") for i, d in enumerate(domains)], F.round("__mix.rate", 6).alias("rate"), mixing.copies(F.col("__mix.rate"), F.col("doc_id")).alias("copies")
     )
 
 

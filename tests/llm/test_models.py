@@ -91,47 +91,47 @@ def test_quality_of_odd_rows(spark, docs_schema):
     assert quality.keep_good(df.limit(0), some).count() == 0
 
 
-def test_rates_meet_the_targets(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "ROUNDS", 120)  # very soft memberships need more rounds than the languages of the corpus
-    rng = np.random.default_rng(0)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 4000)
-    t = rng.integers(1, 500, 4000)
+def fitted(spark, p, t, domains, targets=None, **more):
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
-    want = {"a": 0.6, "b": 0.3, "c": 0.1}
-    residuals, step, whole, share, now = mixing.fit_rates(rows, ["a", "b", "c"], want)
+    m, least, whole, want, now = mixing.fit_rates(rows, domains, targets, **more)
     a = p * t[:, None] / whole
-    extra, _ = mixing.extra_rates(a, np.array(residuals), step)
-    got = ((1 + extra)[:, None] * a).sum(axis=0)
-    assert (extra >= 0).all() and np.abs(got / got.sum() - share).max() < 0.02  # soft members carry other domains along
-    slow = np.zeros(len(t))  # plain projected gradient
-    goal = (now.sum() * max(1, (now / now.sum() / share).max()) * share - now).clip(0) / whole
-    for _ in range(4000):
-        slow = np.maximum(0, slow - step * (a @ (a.T @ slow - goal)))
-    assert np.abs(a.T @ slow - a.T @ extra).max() < 0.015
+    r = mixing.rates(a, m, least)
+    assert (r >= least).all()
+    return a, r, a.T @ r, want
+
+
+def test_rates_meet_the_targets(spark):
+    rng = np.random.default_rng(0)
+    soft, t = rng.dirichlet([0.3, 0.3, 0.3], 4000), rng.integers(1, 500, 4000)
+    two = np.array([[0.9, 0.1], [0.1, 0.9]])[rng.integers(0, 2, 4000)]
+    for p, targets in ((soft, {"a": 0.6, "b": 0.3, "c": 0.1}), (soft, {"a": 0.6, "b": 0.4}), (two, {"a": 0.85, "b": 0.15})):
+        _, _, got, want = fitted(spark, p, t, list("abc")[: p.shape[1]], targets)
+        assert np.abs(got - want).max() < 2e-4  # the corpus's own tokens in all
+
+
+def test_rates_are_those_of_plain_projected_gradient(spark):
+    rng = np.random.default_rng(2)
+    t = rng.integers(1, 500, 600)
+    two = np.array([[0.9, 0.1], [0.1, 0.9]])[rng.integers(0, 2, 600)]
+    soft = rng.dirichlet([0.3, 0.3, 0.3], 600)
+    # Also targets that no rates meet.
+    for p, targets, least in ((soft, {"a": 0.6, "b": 0.3, "c": 0.1}, 0.0), (two, {"a": 1.0, "b": 0.0}, 0.0), (two, {"a": 0.95, "b": 0.05}, 0.5)):
+        a, r, got, want = fitted(spark, p, t, list("abc")[: p.shape[1]], targets, least=least, total=float(t.sum()))
+        slow, step = np.ones(len(t)), 1.0 / np.linalg.eigvalsh(a.T @ a)[-1]
+        for _ in range(20000):
+            slow = np.maximum(least, slow - step * (a @ (a.T @ slow - want)))
+        assert np.abs(a.T @ slow - got).max() < 1e-4, targets
 
 
 def test_rates_meet_rare_targets(spark):
     for shares in ([0.985, 0.013, 0.002], [0.892, 0.1046, 0.0017, 0.0017]):
-        rng = np.random.default_rng(1)
-        k, n = len(shares), 8000
-        y = rng.choice(k, n, p=shares)
-        z = np.exp(rng.standard_normal((n, k)) + 12 * np.eye(k)[y])
-        p, t = z / z.sum(axis=1, keepdims=True), rng.integers(1, 500, n)
-        rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
-        residuals, step, whole, want, _ = mixing.fit_rates(rows, list("abcd")[:k])
-        a = p * t[:, None] / whole
-        got = ((1 + mixing.extra_rates(a, np.array(residuals), step)[0])[:, None] * a).sum(axis=0)
-        assert np.abs(got / got.sum() / want - 1).max() < 1e-3  # of each domain's own target
-
-
-def test_soft_rates_are_the_least_squares_ones(spark):
-    rng = np.random.default_rng(0)
-    p, t = rng.dirichlet([0.3, 0.3, 0.3], 4000), rng.integers(1, 500, 4000)
-    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
-    residuals, step, whole, share, _ = mixing.fit_rates(rows, ["a", "b", "c"], {"a": 0.6, "b": 0.3, "c": 0.1})
-    a = p * t[:, None] / whole
-    got = ((1 + mixing.extra_rates(a, np.array(residuals), step)[0])[:, None] * a).sum(axis=0)
-    assert np.abs(got / got.sum() - share).max() < 1e-3
+        for least in (0.0, 1.0):
+            rng = np.random.default_rng(1)
+            k, n = len(shares), 8000
+            y = rng.choice(k, n, p=shares)
+            z = np.exp(rng.standard_normal((n, k)) + 12 * np.eye(k)[y])
+            _, _, got, want = fitted(spark, z / z.sum(axis=1, keepdims=True), rng.integers(1, 500, n), list("abcd")[:k], least=least)
+            assert np.abs(got / got.sum() / want - 1).max() < 1e-3  # of each domain's own target
 
 
 def test_mixing_keeps_every_document(spark, docs_schema):
