@@ -9,11 +9,13 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast only if it was counted and has no more rows and, at so many a row, no more bytes than this.
+BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 100_000, 32 << 20, 200
+#: Tasks that one key of the other side is dealt over where a side is too large to be broadcast.
+SALTS = 16
 #: Rows in an Arrow batch: texts may be long, so batches are small.
 ARROW_ROWS = 256
 
@@ -62,9 +64,24 @@ def tidy() -> None:
         _libc.malloc_trim(0)
 
 
-def hint_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast df if its counted rows are under the bound; a shuffle join otherwise."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def is_small(rows: int, row_bytes: int = ROW_BYTES) -> bool:
+    return rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES
+
+
+def hint_small(df: DataFrame, rows: int, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Broadcast df if its counted rows, and their bytes, are under the bound; a shuffle join otherwise."""
+    return F.broadcast(df) if is_small(rows, row_bytes) else df
+
+
+def join_spread(big: DataFrame, small: DataFrame, on: list[str], salt: Column, rows: int, how: str = "inner", row_bytes: int = ROW_BYTES) -> DataFrame:
+    """big joined with ``rows`` rows of small: broadcast if they are few, else each repeated SALTS times, so that no key of big is one task.
+
+    ``salt`` is a column of big that differs among rows of one key.
+    """
+    if is_small(rows, row_bytes):
+        return big.join(F.broadcast(small), on, how)
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS).cast("long"))).join(dealt, [*on, "__salt"], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

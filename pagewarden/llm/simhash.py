@@ -6,11 +6,17 @@ exact; for a similarity they share a minimum of the shingles' hashes.  In a bloc
 are stored as bit planes, one big integer for each bit with a lane for each fingerprint.  One
 fingerprint is compared with all lanes at once: differing planes are added two by two with a
 carry-save adder into bit-sliced counters, which overflow past the radius; a row is abandoned once
-every lane has overflowed.  A block gives the edges of a spanning forest, not its pairs.  Blocks of
-more than TILE fingerprints are compared tile by tile, so that no task holds a whole block.
+every lane has overflowed.  A block gives the edges of a spanning forest, not its pairs.
 
-Components come from contracting each vertex into its smallest neighbour until no edge is left,
-with every round written to the shared folder.
+Blocks of more than TILE fingerprints are made smaller.  For a small radius, the bits that a block
+does not share are cut into chunks again: two chunks of them agree as well, so a block breaks into
+blocks that share ever more bits, with no pair lost.  For a similarity, every member is first
+compared with one pivot of the block; those that link to it need no comparison with each other.  The
+rest is compared with all, in blocks that share two minima if it is still large, tile by tile.
+
+Components come from contracting each vertex into its neighbour of the smallest hash, by another hash
+in each round, so that chains halve at least about every second round; every round is written to the
+shared folder.
 
 Defined results: null text is an empty text; an empty text has fingerprint zero and is linked like
 any other; fewer words than a shingle's are one shingle; null doc_ids are never a component's id
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hint_small, scratch, small_batches, tidy
+from .common import hint_small, join_spread, scratch, small_batches, tidy
 
 SEED = 42
 TILE = 2048
@@ -147,17 +153,95 @@ def compare(rows: list[bytes], lanes: list[bytes] | None, radius: int, agree=Non
 # ---------------------------------------------------------------- blocks, edges, components
 
 
-def chunk_keys(fp: Column, bits: int, radius: int) -> Column:
-    """For an exact search: one key for each pair of radius + 2 chunks; near fingerprints share one at least."""
-    size = bits // 8 // (radius + 2)
-    if size * (radius + 2) * 8 != bits:
-        raise ValueError("the chunks must be whole bytes")
-    part = lambda i: F.substring(fp, i * size + 1, size)
-    return F.array(*[F.concat(F.lit(bytes([k])), part(i), part(j)) for k, (i, j) in enumerate(itertools.combinations(range(radius + 2), 2))])
-
+def shared_pairs(key: Column, rest: Column, digits: int, radius: int) -> Column:
+    """Blocks of an exact search: two of radius + 2 chunks of the rest agree in near fingerprints.
 
-def forest(vertices: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """Edges (a, b) between vertices(v binary, fp binary, keys array<binary>[, sketch binary]) that link.
+    ``rest`` holds ``digits`` hex digits; each block is (key, rest), the rest without the two chunks.
+    """
+    size = digits // (radius + 2)
+    part = lambda i: F.substring(rest, i * size + 1, size)
+    blocks = []
+    for k, (i, j) in enumerate(itertools.combinations(range(radius + 2), 2)):
+        others = [part(x) for x in range(radius + 2) if x not in (i, j)]
+        blocks.append(F.struct(F.concat(key, F.lit(f"{k}:"), part(i), part(j)).alias("key"), (F.concat(*others) if others else F.lit("")).alias("rest")))
+    return F.array(*blocks)
+
+
+def exact_blocks(vertices: DataFrame, bits: int, radius: int) -> DataFrame:
+    """v, fp, key, far, n_near, n_far of blocks in which all fingerprints v that differ in up to ``radius`` bits meet."""
+    digits, out = bits // 4, None
+    if digits % (radius + 2):
+        raise ValueError("the chunks must be whole hex digits")
+    rows = vertices.select("v", F.lit("").alias("key"), F.hex("v").alias("rest"))
+    while True:
+        keyed = rows.select("v", F.explode(shared_pairs(F.col("key"), F.col("rest"), digits, radius)).alias("b")).select("v", "b.key", "b.rest")
+        sizes = scratch(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "blocks")
+        digits -= 2 * (digits // (radius + 2))
+        more = digits >= radius + 2 and digits % (radius + 2) == 0 and not sizes.where(F.col("n") > TILE).isEmpty()
+        held = keyed.join(sizes, "key")
+        here = held.where(F.col("n") <= TILE) if more else held
+        here = here.select("v", F.col("v").alias("fp"), "key", F.lit(False).alias("far"), F.col("n").alias("n_near"), F.lit(0).cast("long").alias("n_far"))
+        out = here if out is None else out.unionByName(here)
+        if not more:
+            return out
+        rows = scratch(held.where(F.col("n") > TILE).select("v", "key", "rest"), "hot")
+
+
+def similar_blocks(vertices: DataFrame, radius: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """(blocks, star edges): v, key, far, n_near, n_far of blocks in which vertices with a common minimum meet.
+
+    In a block of more than TILE, ``far`` tells those that link to its pivot: they are not compared with each other.
+    """
+    spark = vertices.sparkSession
+    keyed = vertices.select("v", F.explode("keys").alias("key"))
+    sizes = scratch(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("v").alias("h"), "v"))["v"].alias("pivot")).where("n > 1"), "blocks")
+    none = F.lit(0).cast("long")
+    plain = keyed.join(sizes.where(F.col("n") <= TILE), "key").select("v", "key", F.lit(False).alias("far"), F.col("n").alias("n_near"), none.alias("n_far"))
+    hot = sizes.where(F.col("n") > TILE)
+    n_hot = hot.count()
+    if not n_hot:
+        return plain, None
+
+    @F.arrow_udf("int")
+    def linked(fp: pa.Array, sketch: pa.Array, pivot_fp: pa.Array, pivot_sketch: pa.Array) -> pa.Array:
+        out = []
+        for a, x, b, y in zip(fp.to_pylist(), sketch.to_pylist(), pivot_fp.to_pylist(), pivot_sketch.to_pylist(), strict=True):
+            near = (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= radius
+            out.append(verdict(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) if near else 0)
+        return pa.array(out, pa.int32())
+
+    small_batches(spark)
+    size = 4 * STAGE["sketch"] + 100
+    pivots = scratch(hot.select("key", F.col("pivot").alias("v")).join(vertices.select("v", "fp", "sketch"), "v").select("key", F.col("v").alias("pivot"), F.col("fp").alias("p_fp"), F.col("sketch").alias("p_sketch")), "pivots")
+    members = keyed.join(hint_small(hot.select("key"), n_hot), "key", "left_semi").join(vertices.select("v", "fp", "sketch"), "v")
+    judged = join_spread(members, pivots, ["key"], F.col("v"), n_hot, row_bytes=size)
+    star = scratch(judged.select("v", "key", "pivot", linked.asNondeterministic()("fp", "sketch", "p_fp", "p_sketch").alias("says")), "star")
+    edges = star.where((F.col("says") > 0) & (F.col("v") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("v").alias("b"), (F.col("says") == 1).alias("sure"))
+    far = F.col("says") == 1
+    counts = [F.count_if(~F.col("far")).alias("n_near"), F.count_if(F.col("far")).alias("n_far")]
+    told = star.select("v", "key", far.alias("far"))
+    left = scratch(told.groupBy("key").agg(*counts).where("n_near > 0"), "left")
+    n_left = left.count()
+    # The rest of a block is small: it meets the whole block.
+    first = join_spread(told, left.where(F.col("n_near") <= TILE), ["key"], F.col("v"), n_left).select("v", "key", "far", "n_near", "n_far")
+    # It is large: it meets those that share another minimum as well.
+    wide = join_spread(told, left.where(F.col("n_near") > TILE).select("key"), ["key"], F.col("v"), n_left).join(vertices.select("v", "keys"), "v")
+    pair = F.explode(F.transform(F.filter("keys", lambda k: k != F.col("key")), lambda k: F.concat("key", k))).alias("key")
+    wide = wide.select("v", "far", pair)
+    second = wide.join(wide.groupBy("key").agg(*counts).where("n_near > 0 AND n_near + n_far > 1"), "key").select("v", "key", "far", "n_near", "n_far")
+    return plain.unionByName(first).unionByName(second), edges
+
+
+def verdict(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
+    """Of two sketches: 1 if they link, 0 if not, 2 if only the whole sets can tell."""
+    s = jaccard(a, b)
+    if max(len(a), len(b)) >= STAGE["sketch"] and abs(s - similarity) <= STAGE["sure"]:
+        return 2
+    return int(s >= similarity)
+
+
+def forest(vertices: DataFrame, blocks: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """Edges (a, b) between vertices(v binary, fp binary[, sketch binary]) that link and meet in a block.
 
     Vertices are distinct.  With a similarity, a pair within the radius links if the sketches agree;
     a third column says whether they tell for sure, and a pair of which they do not is no link yet.
@@ -166,25 +250,27 @@ def forest(vertices: DataFrame, radius: int, similarity: float | None = None) ->
     checked = similarity is not None
     extra = ["sketch"] if checked else []
     carried = [] if checked else ["fp"]
-    keyed = vertices.select("v", *carried, F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / F.lit(float(TILE)))
-    mine = F.pmod(F.xxhash64("v"), F.col("tiles"))
+    tiles = lambda n: F.ceil(F.col(n) / F.lit(float(TILE)))
+    many = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    t, near, far = F.col("tile"), tiles("n_near"), tiles("n_far")
+    cell = lambda lo, hi, kind: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(kind).alias("far"))
+    with_near = F.transform(many(near), lambda o: cell(F.least(t, o), F.greatest(t, o), False))
+    with_far = F.when(far > 0, F.transform(many(F.greatest(far, F.lit(1))), lambda o: cell(t, o, True))).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint,far:boolean>>"))
+    at = F.when(F.col("far"), F.transform(many(near), lambda o: cell(o, t, True))).otherwise(F.concat(with_near, with_far))
     cells = (
-        keyed.join(sizes, "key")
-        .withColumn("tiles", tiles)
-        .withColumn("tile", mine)
-        .select("v", *carried, "key", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-        .select("v", *carried, F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell"), "key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile")
+        blocks.withColumn("tile", F.pmod(F.xxhash64("v"), F.when(F.col("far"), far).otherwise(near)))
+        .select("v", *carried, "key", "tile", "far", F.explode(at).alias("at"))
+        .select("v", *carried, F.xxhash64("key", "at").alias("cell"), "key", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.far").alias("with_far"), "far", "tile")
     )
     if checked:
         cells = cells.join(vertices.select("v", "fp", *extra), "v")
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "key", "lo", "hi", "v")
 
     def link(group: list[dict]) -> Iterator[tuple]:
-        lo, hi = group[0]["lo"], group[0]["hi"]
-        first = group if lo == hi else [r for r in group if r["tile"] == lo]
-        second = first if lo == hi else [r for r in group if r["tile"] == hi]
+        lo, hi, mixed = group[0]["lo"], group[0]["hi"], group[0]["with_far"]
+        own = lo == hi and not mixed
+        first = group if own else [r for r in group if not r["far"] and r["tile"] == lo]
+        second = first if own else [r for r in group if r["far"] == mixed and r["tile"] == hi]
         if not first or not second or len(group) < 2:
             return
         agree = None
@@ -198,17 +284,13 @@ def forest(vertices: DataFrame, radius: int, similarity: float | None = None) ->
                 return sets[r["v"]]
 
             def agree(i: int, j: int) -> bool:
-                a, b = sketch(first[i]), sketch(second[j])
-                s = jaccard(a, b)
-                if max(len(a), len(b)) < STAGE["sketch"]:  # whole sets
-                    return s >= similarity
-                if abs(s - similarity) <= STAGE["sure"]:
+                says = verdict(sketch(first[i]), sketch(second[j]), similarity)
+                if says == 2:
                     doubts.append((first[i]["v"], second[j]["v"]))
-                    return False
-                return s >= similarity
+                return says == 1
 
         sure = (True,) if checked else ()
-        for i, j in compare([r["fp"] for r in first], None if lo == hi else [r["fp"] for r in second], radius, agree):
+        for i, j in compare([r["fp"] for r in first], None if own else [r["fp"] for r in second], radius, agree):
             yield first[i]["v"], second[j]["v"], *sure
         for a, b in doubts:
             yield min(a, b), max(a, b), False
@@ -218,14 +300,14 @@ def forest(vertices: DataFrame, radius: int, similarity: float | None = None) ->
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], t) for k, t in enumerate(kinds.values())], list(kinds))
 
-    names = ["v", "fp", *extra, "tile", "lo", "hi", "cell", "key"]
+    names = ["v", "fp", *extra, "tile", "far", "lo", "hi", "with_far", "cell", "key"]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         out: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if held and any(held[0][k] != row[k] for k in ("cell", "key", "lo", "hi")):
+                if held and any(held[0][k] != row[k] for k in ("cell", "key", "lo", "hi", "with_far")):
                     out += link(held)
                     held = []
                 held.append(row)
@@ -250,12 +332,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root): each vertex of edges(a, b) and the smallest vertex of its component."""
+    """(v, root): each vertex of edges(a, b) and one vertex of its component."""
     edges = scratch(edges.distinct(), "edges")
     maps = []
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a"))
-        step = scratch(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p")), "contract")
+        order = lambda c, k=len(maps): F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("u"))
+        step = scratch(both.groupBy("v").agg(F.min(order("u")).alias("least")).select("v", F.least("least", order("v"))["u"].alias("p")), "contract")
         maps.append(step)
         moved = edges.join(step.withColumnRenamed("v", "a").withColumnRenamed("p", "pa"), "a").join(step.withColumnRenamed("v", "b").withColumnRenamed("p", "pb"), "b")
         edges = scratch(moved.where(F.col("pa") != F.col("pb")).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
@@ -273,8 +356,8 @@ def class_components(members: DataFrame, roots: DataFrame) -> DataFrame:
     classes = members.groupBy("v").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     joined = classes.join(roots, "v", "left")
     linked = joined.where(F.col("root").isNotNull())
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return linked.join(least, "root").select("v", "component_id").union(joined.where(F.col("root").isNull() & (F.col("n") > 1)).select("v", "least"))
+    least = scratch(linked.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    return join_spread(linked, least, ["root"], F.col("v"), least.count()).select("v", "component_id").union(joined.where(F.col("root").isNull() & (F.col("n") > 1)).select("v", "least"))
 
 
 # ---------------------------------------------------------------- the operators
@@ -294,10 +377,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: fingerprints link at ``radius`` bits or fewer, exactly."""
     members = scratch(fingerprints(docs, shingle), "fingerprints")
-    vertices = members.select("v").distinct().select("v", F.col("v").alias("fp"), chunk_keys(F.col("v"), 64, radius).alias("keys"))
-    classes = scratch(class_components(members, components(forest(vertices, radius))), "classes")
-    classes = hint_small(classes, classes.count())
-    return members.join(classes, "v", "left").select("doc_id", F.lower(F.hex("v")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    vertices = members.select("v").distinct()
+    classes = scratch(class_components(members, components(forest(vertices, exact_blocks(vertices, 64, radius), radius))), "classes")
+    return join_spread(members, classes, ["v"], F.col("doc_id"), classes.count(), "left").select("doc_id", F.lower(F.hex("v")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -354,7 +436,9 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # One vertex for each distinct sequence of words; copies need no comparison.
     vertices = signed.select("v", "fp", "keys", "sketch").dropDuplicates(["v"])
     vertices = scratch(vertices, "vertices")
-    links = scratch(forest(vertices, STAGE["radius"], STAGE["similarity"]), "links")
+    blocks, star = similar_blocks(vertices, STAGE["radius"], STAGE["similarity"])
+    links = forest(vertices, blocks, STAGE["radius"], STAGE["similarity"])
+    links = scratch(links if star is None else links.union(star), "links")
     sure = links.where("sure").select("a", "b")
     roots = components(sure)
     root = lambda side: roots.select(F.col("v").alias(side), F.col("root").alias(f"root_{side}"))
@@ -376,7 +460,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     key = "__pagewarden_key"
     signed, classes = near_duplicates(docs)
-    rows = signed.select("doc_id", "text_md5", "v").join(hint_small(classes, classes.count()), "v")
+    rows = join_spread(signed.select("doc_id", "text_md5", "v"), classes, ["v"], F.struct("doc_id", "text_md5"), classes.count())
     rows = rows.select("doc_id", "text_md5", F.coalesce(F.col("component_id").cast("string"), F.hex("v")).alias("gid"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
     first = rows.groupBy("gid").agg(F.min(order).alias("w"))

@@ -68,12 +68,55 @@ def test_query_against_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in out} == slow_components(fp, lambda a, b: (a[1] ^ b[1]).bit_count() <= 2)
 
 
-def test_long_chains_are_one_component(spark):
-    chain = list(range(60))
-    random.Random(1).shuffle(chain)
-    edges = [(bytes([a]), bytes([b])) for a, b in zip(chain, chain[1:])] + [(bytes([200]), bytes([201]))]  # noqa: B905
-    out = {bytes(r.v): bytes(r.root) for r in simhash.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
-    assert {out[bytes([i])] for i in range(60)} == {b"\0"} and out[bytes([201])] == bytes([200])
+def test_long_chains_are_one_component(spark, monkeypatch):
+    tables = []
+    scratch = simhash.scratch
+    monkeypatch.setattr(simhash, "scratch", lambda df, name: tables.append(name) or scratch(df, name))
+    n = 1000
+    chain = [(i.to_bytes(2), (i + 1).to_bytes(2)) for i in range(n - 1)]  # in ascending order
+    edges = spark.createDataFrame([*chain, (b"\xff\xfe", b"\xff\xff")], "a binary, b binary").coalesce(1)
+    out = {bytes(r.v): bytes(r.root) for r in simhash.components(edges).collect()}
+    assert len({out[i.to_bytes(2)] for i in range(n)}) == 1 and out[b"\xff\xfe"] == out[b"\xff\xff"] != out[b"\0\0"]
+    assert len(out) == n + 2 and tables.count("contract") <= 20
+
+
+def test_hot_blocks_break_into_smaller_ones(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng = random.Random(7)
+    base = rng.getrandbits(64)
+    low = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(300)} | {base ^ rng.getrandbits(20) for _ in range(200)})
+    rows = spark.createDataFrame([(x.to_bytes(8),) for x in low], "v binary")
+    blocks = simhash.exact_blocks(rows, 64, 2).toPandas()
+    assert blocks.key.str.count(":").max() > 1
+    found = simhash.components(simhash.forest(rows, simhash.exact_blocks(rows, 64, 2), 2)).collect()
+    root = {int.from_bytes(r.v): bytes(r.root) for r in found}
+    groups = defaultdict(set)
+    for i, x in enumerate(low):
+        groups[root.get(x, x)].add(i)
+    want = slow_components(list(enumerate(low)), lambda a, b: (a[1] ^ b[1]).bit_count() <= 2)
+    assert {(i, min(g)) for g in groups.values() for i in g} == want
+
+
+@pytest.mark.parametrize("tile", [4, 12])
+def test_large_blocks_are_starred(spark, docs_schema, monkeypatch, tile):
+    """Many near copies of one text, and many texts that share a passage: against all pairs."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(9)
+    words = ["w%d" % i for i in range(3000)]
+    base, passage, texts = rng.choices(words, k=120), rng.choices(words, k=60), []
+    for _ in range(40):
+        near = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 4)):
+            near[at] = "n%d" % rng.randrange(10**6)
+        texts.append(near)
+    for _ in range(40):
+        own = rng.choices(words, k=30)
+        texts += [own + passage] + ([[*own[:-1], "x", *passage]] if rng.random() < 0.4 else [])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [frozenset(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    want = slow_components([(i, s) for (i, _), s in zip(rows, sets, strict=True)], lambda a, b: len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs_schema)
+    assert {r.doc_id for r in simhash.keep_one_of_each(df).collect()} == {least for _, least in want}
 
 
 def test_the_stage_keeps_one_of_each(spark, docs_schema):
