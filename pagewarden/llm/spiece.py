@@ -32,7 +32,7 @@ import hashlib
 import heapq
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -315,24 +315,28 @@ class Vocabulary:
             t[i, [p in last and self.fits(last[p], y) for p, _, y in outs]] = 0
         return t
 
-    def backtrace(self, s: str, pad: int, size: int, i: int, j: int) -> bytes:
-        """Ids of what starts in the chunk and up to the state j at its end, from state i at its begin."""
+    def ends(self, s: str, pad: int, size: int, i: int, j: int) -> tuple[bytes, str, bytes]:
+        """Of what starts in the chunk and up to the state j at its end, from state i at its begin: ids, text between cuts, ids."""
         _, begin, x = self.ins(s, pad)[i]
         p, end, y = self.border(s, pad + size)[j]
         first, final = self.cuts(s, pad, pad + size)
         if first < 0:
             found = self.path(self.forward(s, x, begin, pad + size), begin, p)
-            return self.ids([*found, y], s[begin:end])
+            return self.ids([*found, y], s[begin:end]), "", b""
         head = self.path(self.forward(s, x, begin, first), begin, first)
         tail = self.path(self.forward(s, self.other, final, pad + size), final, p)
-        return b"".join([self.ids(head, s[begin:first]), self.middle(s[first:final]), self.ids([*tail, y], s[final:end])])
+        return self.ids(head, s[begin:first]), s[first:final], self.ids([*tail, y], s[final:end])
 
-    def middle(self, s: str) -> bytes:
-        """Ids of what lies between two cuts."""
-        at = s.find(SPACE) if self.words else -1
-        if at < 0:
-            return self.one(s)
-        return b"".join([self.one(s[:at]), *self.encode_all([s[at + 1 :]])]) if at + 1 < len(s) else self.one(s)
+    def backtrace(self, chunks: Iterable[tuple]) -> list[bytes]:
+        """Ids of chunks (s, pad, size, i, j), each by itself; the new words of all of them are encoded at once."""
+        sides, rest = [], []
+        for chunk in chunks:
+            head, between, tail = self.ends(*chunk)
+            at = between.find(SPACE) if self.words else -1
+            at = at if 0 <= at < len(between) - 1 else len(between)
+            sides.append((head + self.one(between[:at]), tail))
+            rest.append(between[at + 1 :].replace(SPACE, " "))
+        return [b"".join([head, ids, tail]) for (head, tail), ids in zip(sides, self.encode_all(rest), strict=True)]
 
 
 _RUNS = re.compile(rf"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*")
@@ -478,7 +482,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     @F.arrow_udf("array<int>")
     def traced(text: pa.Array, pads: pa.Array, sizes: pa.Array, i: pa.Array, j: pa.Array) -> pa.Array:
         v = vocabulary(proto)
-        out = _ids_array([v.backtrace(*x) for x in zip(*(c.to_pylist() for c in (text, pads, sizes, i, j)), strict=True)])
+        out = _ids_array(v.backtrace(zip(*(c.to_pylist() for c in (text, pads, sizes, i, j)), strict=True)))
         tidy()
         return out
 

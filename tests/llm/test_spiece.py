@@ -32,7 +32,7 @@ def ids(raw):
 def chunked(v, text, size):
     parts = [(s, pad, n) for pad, n, s in spiece.chunks_of(spiece.normalised(text), size, v.span)]
     states = spiece.border_states([v.matrix(*p) for p in parts])
-    return ids(b"".join(v.backtrace(*p, states[k], states[k + 1]) for k, p in enumerate(parts)))
+    return ids(b"".join(v.backtrace((*p, states[k], states[k + 1]) for k, p in enumerate(parts))))
 
 
 def odd_texts(library):
