@@ -69,6 +69,27 @@ def page_of_label(label: Column) -> Column:
     return F.regexp_extract(label, r"^(\S+)", 1)
 
 
-def unreachable_reason(pages: Column, refused: Column, errors: Column, robots_blocked: Column) -> Column:
-    """Why a site has no page: nothing answered, robots.txt, a firewall (all refused), else errors."""
-    return F.when(pages == 0, "network").when(robots_blocked > 0, "robots").when(refused >= pages, "firewall").when(errors > 0, "errors").otherwise("unknown")
+# Statuses of a firewall or a limit of requests; network errors.
+WAF_STATUSES = (403, 429, 503, 401)
+NETWORK_ERROR = r"(?i)fetch.failed|timeout|ECON|ETIMED"
+
+
+def all_statuses(error_statuses: Column, page_statuses: Column) -> Column:
+    """The distinct statuses of fetch errors, and those of pages other than 200, in order."""
+    some = F.filter(F.coalesce(error_statuses, F.array().cast("array<int>")), lambda s: s.isNotNull() & (s != 0))
+    other = F.filter(F.coalesce(page_statuses, F.array().cast("array<int>")), lambda s: s.isNotNull() & (s != 200))
+    return F.array_sort(F.array_union(some, other))
+
+
+def unreachable_reason(host: Column, statuses: Column, reasons: Column, robots_blocked: Column, proxy: bool = False) -> Column:
+    """Why a site has no page: geo_block, robots, firewall, limited (other statuses) or network, in this order.
+
+    ``statuses`` are all_statuses, ``reasons`` the messages of fetch errors, of which the first three distinct ones count.
+    """
+    said = F.slice(F.array_distinct(F.filter(F.coalesce(reasons, F.array().cast("array<string>")), lambda r: r.isNotNull() & (r != ""))), 1, 3)
+    silent = F.size(statuses) == 0
+    geo = host.rlike(r"\.th$") & silent & F.exists(said, lambda r: r.rlike(NETWORK_ERROR)) & F.lit(not proxy)
+    waf = F.exists(statuses, lambda s: s.isin(*WAF_STATUSES))
+    return (
+        F.when(F.coalesce(geo, F.lit(False)), "geo_block").when((robots_blocked > 0) & silent & (F.size(said) == 0), "robots").when(waf, "firewall").when(~silent, "limited").otherwise("network")
+    )

@@ -10,8 +10,14 @@ from ..functions import urls as U
 
 SUGGESTED_BONUS = 12
 KEEP_SCORE = 25
-#: Parts of hosts that are never a competitor: search engines, social networks, marketplaces, directories.
-BLOCKED = ("google.", "facebook.", "youtube.", "linkedin.", "instagram.", "twitter.", "x.com", "wikipedia.", "tiktok.", "medium.com", "wordpress.", "pinterest.", "reddit.", "bing.com", "yahoo.", "amazon.", "github.", "indeed.", "tripadvisor", "crunchbase.", "bloomberg.", "reuters.", "trustpilot.")
+# Parts of hosts that are never a competitor: portals, social networks, marketplaces, news, directories, dictionaries.
+BLOCKED = (
+    "google.", "facebook.", "youtube.", "linkedin.", "instagram.", "twitter.", "x.com", "wikipedia.", "wiktionary.", "pantip.", "shopee.", "lazada.", "tiktok.", "line.me", "apple.com", "medium.com", "blogspot.", "wordpress.", "wix.com", "pinterest.", "reddit.",
+    "duckduckgo.", "bing.com", "yahoo.", "amazon.", "play.google", "github.", "canva.", "glassdoor", "jobsdb", "jobthai", "indeed.", "tripadvisor", "booking.com", "agoda.", "sanook.", "kapook.", "thairath.", "matichon.", "bangkokpost.", "posttoday.", "prachachat.",
+    "mgronline.", "dailynews.", "khaosod.", "springnews.", "thansettakij.", "moneybuffalo.", "finnomena.", "longtunman.", "youtu.be", "archive.org", "slideshare", "scribd.", "refrens.", "contactout.", "zoominfo.", "crunchbase.", "dnb.com", "rocketreach.", "kompass.",
+    "yellowpages", "dataforthai.", "creden.co", "opencorporates.", "similarweb.", "owler.", "signalhire.", "apollo.io", "lusha.", "leadiq.", "b2bhint.", "globaldata.", "bloomberg.", "reuters.", "set.or.th", "sec.or.th", "trustpilot.", "clutch.co", "g2.com", "beamstart.",
+    "techinasia.", "dealstreetasia.", "startupblink.", "f6s.com", "pitchbook.", "longdo.", "wiktionary.", "hujiang.", "enghero.", "thaijob.", "jobbkk.", "workventure.", "dict.",
+)
 
 
 def relevant(query: Column, title: Column, url: Column) -> Column:

@@ -91,12 +91,55 @@ def test_parser():
     assert (p["title"], p["lang"], p["canonical"], p["favicon"], p["has_doctype"]) == ("A & B", "en", "/c", True, True)
     assert p["metas"]["description"] == "d2" and p["metas"]["og:title"] == "t"
     assert [(h["tag"], h["text"]) for h in p["headings"]] == [("h1", "Hi you"), ("h2", "")] and p["hidden_h1"] == 1 and p["empty_headings"] == 1
-    assert [(x["href"], x["text"]) for x in p["links"]] == [("/x", "pic"), ("https://facebook.com/me", "f")] and p["has_mailto"]
+    assert [(x["href"], x["text"]) for x in p["links"]] == [("/x", ""), ("https://facebook.com/me", "f")] and p["has_mailto"]
     assert [i["labeled"] for i in p["images"]] == [True, False, True] and p["images"][1]["alt"] is None
-    assert (p["head_blocking_scripts"], p["deprecated_tags"], p["max_copyright_year"], p["has_tables"], p["list_count"], p["has_noscript"]) == (1, 1, 2021, True, 1, True)
+    assert (p["head_blocking_scripts"], p["deprecated_tags"], p["max_copyright_year"], p["has_tables"], p["list_count"], p["has_noscript"]) == (1, 1, 2019, True, 1, True)
     assert p["socials"] == ["https://facebook.com/me"]
     assert parse_html('<div id="root"></div>')["empty_root"] and not parse_html("<p>text</p>")["empty_root"]
-    assert parse_html(None)["title"] == "" and parse_html("<p>x" * 50)["word_count"] == 50
+    assert parse_html(None)["title"] == "" and parse_html("<p>x " * 50)["word_count"] == 50
+
+
+def test_signals_of_the_body():
+    phone = lambda x: parse_html(f"<body>{x}")["has_phone"]
+    assert not phone("Order 12345678 items") and phone("call 02 123 4567") and phone("+66-812-3456") and not phone("<script>021234567</script>")
+    year = lambda x: parse_html(f"<body><p>{x}")["max_copyright_year"]
+    assert year("© Example Holdings Limited Thailand 2019") == 2019 and year("Copyright 1899") is None and year("&copy; 2019, copyright 2023") == 2023 and year("© " + "x" * 41 + "2019") is None
+    assert year("\u00a9\n2019") is None
+
+
+def test_profiles():
+    links = "".join(f'<a href="{h}">x</a>' for h in (
+        "https://www.facebook.com/sharer/sharer.php?u=1", "https://youtube.com/watch?v=1", "https://youtu.be/x", "https://www.youtube.com/@me/", "https://facebook.com/", "https://www.facebook.com/ShareInvestor?x=1", "https://facebook.com/second",
+        "https://th.linkedin.com/company/c", "https://line.me/x", "https://github.com/x", "https://threads.net/@t", "https://x.com/intent/tweet", "/local",
+    ))
+    assert parse_html(links, "https://a.example/")["socials"] == ["https://youtube.com/@me", "https://facebook.com/ShareInvestor", "https://th.linkedin.com/company/c", "https://threads.net/@t"]
+
+
+def test_logo_and_author():
+    ld = '<script type="application/ld+json">{"@type": "Organization", "logo": {"@type": "ImageObject", "url": "/l.svg"}, "author": {"name": "Ann B"}}</script>'
+    p = parse_html(ld + '<img class="site-LOGO" src="/x.png">', "https://a.example/b/c")
+    assert (p["logo"], p["author"]) == ("https://a.example/l.svg", "Ann B")
+    p = parse_html('<meta property="og:image" content="o.png"><div class=logo-box><img data-src="in.webp?v=1"></div><p class=byline>by <a href=/u>Bo  C</a></p>', "https://a.example/b/")
+    assert (p["logo"], p["author"]) == ("https://a.example/b/in.webp?v=1", "Bo C")
+    p = parse_html('<meta property="og:image" content="/o.png"><meta name=author content=" Cy "><img src="/logo"><a rel="nofollow author">Dee</a>', "https://a.example/")
+    assert (p["logo"], p["author"]) == ("https://a.example/o.png", "Cy")
+    assert parse_html('<a rel="author">' + "n" * 60 + "</a>")["author"] == "" and parse_html('<script type="application/ld+json">{bad</script><img src=logo>')["logo"] == ""
+
+
+def test_empty_containers():
+    long = "word " * 60
+    empty = lambda x: parse_html(x)["empty_root"]
+    assert empty(f"<div id=root></div><p>{long}") and empty(f"<div id=app>{long}</div><div id=__next>x</div>") and empty("<main data-reactroot><script>" + long + "</script></main>")
+    assert not empty(f"<div id=app><div id=root>{long}</div></div>") and not empty(f"<div id=other></div>{long}")
+    assert parse_html("<p>react-dom __vue__")["framework_markers"] == ["react", "vue"]
+
+
+def test_headings_images_and_links():
+    p = parse_html('<aside><h1>a</h1></aside><section><h1 style="font-size:0">b</h1></section><div style="display:none"><h1>c</h1></div><h2><img src=x alt=y></h2><big>x</big><a href="">e</a><a>none</a>')
+    assert [h["sectioned"] for h in p["headings"]] == [False, True, False, None] and (p["hidden_h1"], p["empty_headings"], p["deprecated_tags"]) == (1, 1, 0)
+    assert [x["href"] for x in p["links"]] == [""]
+    p = parse_html('<img data-src=d.png width="1.5px"><img src=e.png height=9><link rel="stylesheet preload" href=a><link rel=stylesheet href=b><p>fo<b>o</b>bar')
+    assert [i["labeled"] for i in p["images"]] == [True, False] and p["images"][0]["src"] == "d.png" and p["stylesheets"] == ["b"] and p["word_count"] == 1
 
 
 def test_as_of_is_a_parameter():
