@@ -26,12 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local["dir"]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read back: evaluated once, its lineage cut, safe from lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written as Parquet and read back: evaluated once, its lineage cut, safe from lost executors.
+
+    With ``by`` it is a table bucketed by that column, as many buckets as a shuffle has partitions, so
+    that a join or aggregation on it need not move it.  The files go when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagewarden/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    label = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pagewarden/{label}"
+    if by:
+        table = "pagewarden_" + label.replace("-", "_")
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+        out = spark.table(table)
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    out._pagewarden_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df._pagewarden_path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def ship_package(spark: SparkSession) -> None:
