@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: One row for each crawled URL.
 PAGE = """
-site_id string, page_ord int, url string, final_url string, status int, elapsed bigint, is_html boolean, blocked boolean, detected_charset string,
+site_id string, page_ord bigint, url string, final_url string, status int, elapsed bigint, is_html boolean, blocked boolean, detected_charset string,
 title string, lang string, charset string, canonical string, canonical_count int, favicon boolean, amp_html string,
 metas map<string,string>, headers map<string,string>,
 headings array<struct<tag:string,text:string,sectioned:boolean>>,

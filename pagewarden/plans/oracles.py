@@ -9,6 +9,7 @@ from ..operators.fixes import FIX_FOR_CHECK
 from ..operators.robots import AI_BOTS
 from ..operators.scoring import CATEGORY
 from .crawl import AUDITS_SQL, CRAWL_SQL, FINDINGS_SQL, LINKS_SQL, PREVIOUS_SQL
+from .made import EXTRACT_SQL, FLAGS_SQL, HEADINGS_SQL, INPUTS_SQL, ORPHANS_SQL, checks_sql
 from .queries import PROFILE, SQL_CHECKS, WORDS
 
 REPEAT = "(?i)[?&](page|p|start|offset|sort|filter|q|s|search|tag|year|ref)="
@@ -54,24 +55,22 @@ NORMALIZED = _crawl("""SELECT page_id, scheme || '://' || site_id || path || CAS
 WIDTHS = _crawl(f"""SELECT page_id, px, graphemes, CASE WHEN px > 600 OR graphemes BETWEEN 1 AND 14 THEN 'warn' ELSE 'pass' END AS title_length
   FROM (SELECT page_id, coalesce({PX.format("title")}, 0) AS px, CAST(length_grapheme(title) AS BIGINT) AS graphemes FROM crawl)""")
 
-SIMILARITY = _crawl(f"""SELECT page_id, CASE WHEN b IS NULL OR a = '' OR b = '' THEN NULL WHEN contains(a, b) OR contains(b, a) THEN 1.0
+SIMILARITY = f"""WITH {INPUTS_SQL} SELECT site_id, j AS page_ord, CASE WHEN a = '' OR b = '' THEN NULL WHEN contains(a, b) OR contains(b, a) THEN 1.0
        ELSE floor(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 0) * 100 + 0.5) / 100 END AS similarity
   FROM (SELECT *, {BIGRAMS.format("a")} AS x, {BIGRAMS.format("b")} AS y FROM (
-    SELECT page_id, {SQUEEZE.format("substr(title, 1, 60)")} AS a, coalesce({SQUEEZE.format("substr(lead(h1_text) OVER (PARTITION BY site_id ORDER BY page_ord), 1, 60)")}, '') AS b FROM crawl))""")
+    SELECT site_id, j, {SQUEEZE.format("title")} AS a, CASE WHEN h1 IN ('none', 'empty') THEN '' WHEN h1_same THEN 'oneheadingofmanypages' ELSE concat('heading', j) END AS b FROM made))"""
 
 DUP_TITLES = _crawl(f"""SELECT site_id, language, key, count(*) AS n, arg_min(title, page_ord) AS value, bool_or(path = '/') AS has_root
-  FROM (SELECT *, {LANG} AS language, {NORM.format("substr(title, 1, 4)")} AS key, {BARE.format("site_id")} AS place FROM crawl WHERE status = 200 AND NOT regexp_matches(search, '{REPEAT}'))
+  FROM (SELECT *, {LANG} AS language, {NORM.format("title")} AS key, {BARE.format("site_id")} AS place FROM crawl WHERE status = 200 AND NOT regexp_matches(search, '{REPEAT}'))
   WHERE key <> '' GROUP BY site_id, language, key HAVING count(*) > 1 AND count(DISTINCT place) = count(*)""")
 
 DUP_DOCS = f"""SELECT lang, md5(key) AS key, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc
   FROM (SELECT lang, doc_id, {NORM.format("text").replace("nfc_normalize(text)", "text")} AS key FROM documents) GROUP BY lang, key HAVING count(*) > 1"""
 
-NEAR_DOCS = """WITH first AS (
-  SELECT source, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 1500)), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)) AS t,
-         row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
-SELECT x.source, x.doc_id AS a, y.doc_id AS b, round(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6) AS similarity
-FROM first x JOIN first y ON x.source = y.source AND x.doc_id < y.doc_id
-WHERE x.k <= 60 AND y.k <= 60 AND len(x.t) >= 30 AND len(y.t) >= 30 AND len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) > 0.85"""
+NEAR_DOCS = """WITH every AS (SELECT source, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)) AS t FROM documents),
+pairs AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.t, y.t)) AS common, len(x.t) + len(y.t) AS total FROM every x JOIN every y ON x.source = y.source AND x.doc_id < y.doc_id
+  WHERE len(x.t) >= 30 AND len(y.t) >= 30 AND len(x.t) > len(y.t) * 0.85 AND len(y.t) > len(x.t) * 0.85)
+SELECT source, a, b, round(common / (total - common), 6) AS similarity FROM pairs WHERE common / (total - common) > 0.85"""
 
 TWINS = f"""{_with(CRAWL_SQL)}, base AS (
   SELECT site_id, page_id * 2 AS page_ord, url, scheme || '://' || site_id || path AS key FROM crawl WHERE status = 200
@@ -83,10 +82,8 @@ SELECT e.site_id, e.page_ord, e.url, s.twin FROM every e JOIN spots s ON e.site_
 WHERE s.twin <> e.url"""
 
 INLINKS = _links("SELECT site_id, target, count(*) AS inlinks FROM links GROUP BY site_id, target")
-ORPHANS = _links("""SELECT c.site_id, c.page_id, c.url FROM crawl c WHERE status = 200 AND page_ord > 1
-  AND NOT EXISTS (SELECT 1 FROM links l WHERE l.k < 3 AND l.site_id = c.site_id AND l.target = c.url) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.k < 3 AND l.site_id = c.site_id AND l.target = c.final_url)""")
 HEALTH_ORPHANS = _links("""SELECT site_id, url FROM (SELECT c.*, row_number() OVER (PARTITION BY c.site_id ORDER BY page_ord) AS r FROM crawl c WHERE status = 200 AND path <> '/'
-  AND NOT EXISTS (SELECT 1 FROM links l WHERE l.k < 3 AND l.internal AND l.site_id = c.site_id AND l.target = c.url)) WHERE r <= 8""")
+  AND NOT EXISTS (SELECT 1 FROM links l WHERE l.internal AND l.site_id = c.site_id AND l.target = c.url)) WHERE r <= 8""")
 BROKEN = _links("""SELECT site_id, target, rank FROM (SELECT site_id, target, row_number() OVER (PARTITION BY site_id ORDER BY target) AS rank
   FROM (SELECT DISTINCT site_id, target FROM links l WHERE internal AND NOT EXISTS (SELECT 1 FROM crawl c WHERE c.site_id = l.site_id AND c.url = l.target))) WHERE rank <= 40""")
 _ANCHORS = """, anchors AS (SELECT site_id, substr(lower(trim(text)), 1, 120) AS anchor, count(*) AS n FROM links WHERE internal AND length(substr(lower(trim(text)), 1, 120)) > 1 GROUP BY ALL),
@@ -98,10 +95,6 @@ HEALTH = _links("""SELECT b.site_id, internal, external, nofollow, coalesce(u, 0
   LEFT JOIN (SELECT site_id, count(*) AS u FROM anchors GROUP BY site_id) a ON a.site_id = b.site_id
   LEFT JOIN (SELECT t.site_id, count(*) FILTER (i > 5 AND n / i > 0.4) AS o FROM top t JOIN (SELECT site_id, count(*) FILTER (internal) AS i FROM links GROUP BY site_id) x ON x.site_id = t.site_id GROUP BY t.site_id) v ON v.site_id = b.site_id""", _ANCHORS)
 
-HEADINGS = _crawl("""SELECT page_id, coalesce(bool_or(step > 1), false) AS jumps, count(*) AS headings FROM (
-  SELECT page_id, level - lag(level) OVER (PARTITION BY page_id ORDER BY pos) AS step FROM (
-    SELECT page_id, unnest(list_transform(string_split(title, ' '), lambda w: length(w) % 4 + 1)) AS level, unnest(range(len(string_split(title, ' ')))) AS pos FROM crawl)) GROUP BY page_id""")
-
 PARAMS = _crawl("""SELECT site_id, url, ord FROM (SELECT *, row_number() OVER (PARTITION BY site_id, scheme, l, has ORDER BY ord, url) AS r FROM (
     SELECT site_id, scheme, lower(regexp_extract(path, '(?i)^/([a-z][a-z])(-[a-z][a-z])?(/|$)', 1)) AS l, search <> '' AS has,
            scheme || '://' || site_id || '/' || lower(regexp_extract(path, '(?i)^/([a-z][a-z])(-[a-z][a-z])?(/|$)', 1)) || search || CASE WHEN search <> '' THEN '&n=' || page_id ELSE '' END AS url, page_ord AS ord FROM crawl)) WHERE NOT has OR r <= 3""")
@@ -246,8 +239,8 @@ FROM typed t LEFT JOIN dim_of d ON d.id = t.id LEFT JOIN verdicts v ON v.audit_i
 def oracle_sql() -> dict[str, str]:
     return {
         "page_extract_basic": PAGE_BASIC, "url_functions": URLS, "url_normalize": NORMALIZED, "text_widths": WIDTHS, "title_h1_similarity": SIMILARITY, "title_duplicate_groups": DUP_TITLES, "dup_docs_by_lang": DUP_DOCS, "near_duplicate_pairs": NEAR_DOCS,
-        "trailing_slash_twins": TWINS, "inlink_counts": INLINKS, "orphan_pages": ORPHANS, "health_orphans": HEALTH_ORPHANS, "broken_link_sample": BROKEN, "anchor_topk": ANCHORS, "link_health": HEALTH, "heading_order": HEADINGS, "parameter_cap": PARAMS,
-        "final_url_dedupe": FINALS, "bot_access_matrix": BOTS, "robots_rules": ROBOT_RULES, "check_results": CHECKS, "category_score": CATS, "site_score": SITES, "grade_distribution": GRADES, "previous_audit_asof": PREVIOUS, "latest_per_site": LATEST,
+        "trailing_slash_twins": TWINS, "inlink_counts": INLINKS, "orphan_pages": ORPHANS_SQL, "health_orphans": HEALTH_ORPHANS, "broken_link_sample": BROKEN, "anchor_topk": ANCHORS, "link_health": HEALTH, "heading_order": HEADINGS_SQL, "parameter_cap": PARAMS,
+        "final_url_dedupe": FINALS, "bot_access_matrix": BOTS, "robots_rules": ROBOT_RULES, "check_results": CHECKS, "made_checks": checks_sql(), "made_flags": FLAGS_SQL, "made_extract": EXTRACT_SQL, "category_score": CATS, "site_score": SITES, "grade_distribution": GRADES, "previous_audit_asof": PREVIOUS, "latest_per_site": LATEST,
         "history_trend": HISTORY, "audit_delta": DELTA, "category_delta": CAT_DELTA, "score_drop_alerts": ALERTS, "cross_check": CROSS, "confusion_matrix": CONFUSION, "label_confusion": LABELS, "work_items": WORK, "effective_rank_topk": TOPK,
         "guardrail_partition": GUARD, "flag_profile": PROFILES, "flag_verdicts": VERDICTS, "watch_due": WATCH, "serp_rank": SERP, "usd_costs": USD,
         "page_issues": ISSUES, "needed_fixes": FIXES, "page_types": TYPES, "site_kinds": KINDS, "breadcrumbs": CRUMBS, "origin_variants": VARIANTS, "sitemap_fix": SITEMAP, "check_confidence": CONFIDENCE,

@@ -22,6 +22,7 @@ from ..operators import scoring as S
 from ..sources.html_page import parse_pages
 from ..storage import materialize
 from . import crawl as C
+from . import made as M
 
 AS_OF = datetime.date(2026, 1, 1)
 #: robots.txt of the site, by the length of its host modulo 5.
@@ -65,9 +66,10 @@ def text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_h1_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each title with the heading of the next page of its site."""
-    c = C.crawl(spark, sf_dir).withColumn("next_h1", F.lead("h1_text").over(W.partitionBy("site_id").orderBy("page_ord")))
-    return c.select("page_id", T.title_h1_similarity(F.col("title"), F.col("next_h1")).alias("similarity"))
+    """Of each made-up page's title with its first heading."""
+    pages, _ = M.made_crawl(spark, sf_dir)
+    h1 = F.get(F.filter("headings", lambda h: h["tag"] == "h1"), 0)["text"]
+    return pages.select("site_id", "page_ord", T.title_h1_similarity(F.col("title"), h1).alias("similarity"))
 
 
 def title_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +107,8 @@ def inlink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.crawl(spark, sf_dir)
-    targets = C.links(c).select("site_id", "target").distinct()
-    ok = c.where("status = 200 AND page_ord > 1")
-    out = ok.join(targets.withColumnRenamed("target", "url"), ["site_id", "url"], "left_anti").join(targets.withColumnRenamed("target", "final_url"), ["site_id", "final_url"], "left_anti")
-    return out.select("site_id", "page_id", "url")
+    pages, site = M.made_crawl(spark, sf_dir)
+    return K.orphans(K.ok_pages(pages), site)
 
 
 def health_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,12 +130,9 @@ def link_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels made of the lengths of the title's words; a jump is a level more than one over the one before."""
-    c = C.crawl(spark, sf_dir)
-    each = c.select("page_id", F.posexplode(F.transform(F.split("title", " "), lambda w: F.length(w) % 4 + 1)).alias("at", "level"))
-    w = W.partitionBy("page_id").orderBy("at")
-    steps = each.withColumn("step", F.col("level") - F.lag("level").over(w))
-    return steps.groupBy("page_id").agg(F.coalesce(F.bool_or(F.col("step") > 1), F.lit(False)).alias("jumps"), F.count(F.lit(1)).alias("headings"))
+    """Whether a page's headings leave out a level."""
+    pages, _ = M.made_crawl(spark, sf_dir)
+    return K.ok_pages(pages).select("site_id", "page_ord", K.page_flags(AS_OF.year)["heading_order"].alias("jumps"))
 
 
 def parameter_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +159,12 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(pages, site): the crawl view parsed for the rules."""
-    raw = C.crawl(spark, sf_dir).select("site_id", "page_ord", "url", "status", "html")
+    """(pages, site): the crawl view parsed for the rules; pages are in the order of their ids."""
+    # No number within the site: that would take all HTML of a site through one task.
+    raw = C.crawl(spark, sf_dir).select("site_id", F.col("page_id").alias("page_ord"), "url", "status", "html")
     pages = materialize(conform(parse_pages(raw).withColumns({"is_html": F.lit(True), "blocked": F.lit(False), "headers": F.create_map().cast("map<string,string>"), "elapsed": F.lit(0)}), PAGE), "pages")
-    first = raw.where("page_ord = 1").select("site_id", F.col("url").alias("start_url"), U.origin(F.col("url")).alias("origin"), (U.scheme(F.col("url")) == "https").alias("https"))
+    first = raw.groupBy("site_id").agg(F.min_by("url", "page_ord").alias("start_url"))
+    first = first.withColumns({"origin": U.origin(F.col("start_url")), "https": U.scheme(F.col("start_url")) == "https"})
     return pages, conform(first.withColumns({"sitemap_urls": F.array().cast("array<string>"), "robots_txt": F.element_at(F.array(*[F.lit(r) for r in ROBOTS]), F.length("site_id") % 5 + 1)}), SITE)
 
 
@@ -185,6 +183,23 @@ def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("site_id", "id", "category", "severity", "status", "affected_count")
 
 
+def made_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of the made-up crawl, with the pages it shows."""
+    out = K.run_checks(*M.made_crawl(spark, sf_dir), AS_OF)
+    return out.select("site_id", "id", "category", "severity", "status", "affected_count", F.array_join("pages", " ").alias("pages"))
+
+
+def made_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every predicate that holds for a page of the made-up crawl."""
+    _, flagged = K.flagged_pages(*M.made_crawl(spark, sf_dir), AS_OF.year)
+    return flagged.where(~F.col("flag").endswith("_group")).select("site_id", "page_ord", "url", "flag")
+
+
+def made_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parser finds in the made-up pages."""
+    return M.made_extract(M.made_crawl(spark, sf_dir)[0])
+
+
 def category_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.category_scores(C.findings(spark, sf_dir), "audit_id")
 
@@ -356,7 +371,7 @@ def check_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = [
         crawl_site_scores, page_extract_basic, dom_extract, url_functions, url_normalize, text_widths, title_h1_similarity, title_duplicate_groups, dup_docs_by_lang, near_duplicate_pairs, trailing_slash_twins, inlink_counts, orphan_pages, health_orphans, broken_link_sample,
-        anchor_topk, link_health, heading_order, parameter_cap, final_url_dedupe, bot_access_matrix, robots_rules, check_results_full, check_results, category_score, site_score, grade_distribution, previous_audit_asof, latest_per_site, history_trend, audit_delta,
+        anchor_topk, link_health, heading_order, parameter_cap, final_url_dedupe, bot_access_matrix, robots_rules, check_results_full, check_results, made_checks, made_flags, made_extract, category_score, site_score, grade_distribution, previous_audit_asof, latest_per_site, history_trend, audit_delta,
         category_delta, score_drop_alerts, cross_check, confusion_matrix, label_confusion, work_items, effective_rank_topk, guardrail_partition, flag_profile, flag_verdicts, watch_due, serp_rank, usd_costs,
         page_issues, needed_fixes, page_types, site_kinds, breadcrumbs, origin_variants, sitemap_fix, check_confidence,
     ]
