@@ -8,6 +8,7 @@ from ..operators.confidence import DETERMINISTIC, DIMENSION, JUDGED, RULE
 from ..operators.fixes import FIX_FOR_CHECK
 from ..operators.robots import AI_BOTS
 from ..operators.scoring import CATEGORY
+from . import reports
 from .crawl import AUDITS_SQL, CRAWL_SQL, FINDINGS_SQL, LINKS_SQL, PREVIOUS_SQL
 from .made import EXTRACT_SQL, FLAGS_SQL, HEADINGS_SQL, INPUTS_SQL, ORPHANS_SQL, checks_sql
 from .queries import PROFILE, SQL_CHECKS, WORDS
@@ -236,8 +237,12 @@ SELECT t.audit_id, t.id, type, CASE WHEN v.ours IS NULL THEN CASE type WHEN 'det
 FROM typed t LEFT JOIN dim_of d ON d.id = t.id LEFT JOIN verdicts v ON v.audit_id = t.audit_id AND v.dim = d.dim"""
 
 
+NEEDS = f"WITH judged AS ({CONFIDENCE}) SELECT id, count(*) AS n FROM judged WHERE needs_verify GROUP BY id ORDER BY n DESC, id LIMIT 8"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    return reports.SQL | reports.board_sql(_VERIFY, _METRICS) | {
+        "needs_verify": NEEDS,
         "page_extract_basic": PAGE_BASIC, "url_functions": URLS, "url_normalize": NORMALIZED, "text_widths": WIDTHS, "title_h1_similarity": SIMILARITY, "title_duplicate_groups": DUP_TITLES, "dup_docs_by_lang": DUP_DOCS, "near_duplicate_pairs": NEAR_DOCS,
         "trailing_slash_twins": TWINS, "inlink_counts": INLINKS, "orphan_pages": ORPHANS_SQL, "health_orphans": HEALTH_ORPHANS, "broken_link_sample": BROKEN, "anchor_topk": ANCHORS, "link_health": HEALTH, "heading_order": HEADINGS_SQL, "parameter_cap": PARAMS,
         "final_url_dedupe": FINALS, "bot_access_matrix": BOTS, "robots_rules": ROBOT_RULES, "check_results": CHECKS, "made_checks": checks_sql(), "made_flags": FLAGS_SQL, "made_extract": EXTRACT_SQL, "category_score": CATS, "site_score": SITES, "grade_distribution": GRADES, "previous_audit_asof": PREVIOUS, "latest_per_site": LATEST,

@@ -23,6 +23,7 @@ from ..sources.html_page import parse_pages
 from ..storage import materialize
 from . import crawl as C
 from . import made as M
+from . import reports
 
 AS_OF = datetime.date(2026, 1, 1)
 #: robots.txt of the site, by the length of its host modulo 5.
@@ -242,7 +243,7 @@ def score_drop_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.alerts(a, A.audit_delta(a, C.findings(spark, sf_dir)))
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def verdict_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dims = [*A.FACT_DIMS, *A.CRITERIA_DIMS]
     each = C.table(spark, sf_dir, "events").select(F.col("event_id").alias("audit_id"), F.posexplode(F.array(*[F.lit(d) for d in dims])).alias("k", "dim"))
     i, k = F.col("audit_id"), F.col("k")
@@ -251,12 +252,12 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.cross_check_summary(A.cross_check(*_verdicts(spark, sf_dir)))
+    s = A.cross_check_summary(A.cross_check(*verdict_rows(spark, sf_dir)))
     return s.select("audit_id", "facts", "fact_agree", "fact_pct", F.array_join("mismatches", " ").alias("mismatches"), "flag")
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.cross_check(*_verdicts(spark, sf_dir))
+    rows = A.cross_check(*verdict_rows(spark, sf_dir))
     whole = A.confusion_matrix(rows.withColumn("dim", F.lit("all")), "dim")
     return whole.unionByName(A.confusion_matrix(rows, "dim"))
 
@@ -364,7 +365,7 @@ def sitemap_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.annotate(C.findings(spark, sf_dir), A.cross_check(*_verdicts(spark, sf_dir)))
+    out = E.annotate(C.findings(spark, sf_dir), A.cross_check(*verdict_rows(spark, sf_dir)))
     return out.select("audit_id", "id", "type", "sure", "needs_verify")
 
 
@@ -375,4 +376,4 @@ def queries() -> dict:
         category_delta, score_drop_alerts, cross_check, confusion_matrix, label_confusion, work_items, effective_rank_topk, guardrail_partition, flag_profile, flag_verdicts, watch_due, serp_rank, usd_costs,
         page_issues, needed_fixes, page_types, site_kinds, breadcrumbs, origin_variants, sitemap_fix, check_confidence,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in (*found, *reports.QUERIES)}

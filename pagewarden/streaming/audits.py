@@ -42,16 +42,16 @@ def score_alerts(audits: DataFrame) -> DataFrame:
 
 
 def reaudit_states(events: DataFrame) -> DataFrame:
-    """(parent_id, old_state, new_state) of a stream of events(parent_id, kind, done, total, broken).
+    """(parent_id, old_state, new_state) of a stream of events(parent_id, ts, kind, done, total, broken).
 
-    kind ``tasks`` reports how many of a parent's tasks are done; ``audit`` reports, after all are, how
+    The events of a micro-batch are taken by their time, of one time tasks before audits.  kind ``tasks`` reports how many of a parent's tasks are done; ``audit`` reports, after all are, how
     many are still broken.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, ready = state.get if state.exists else (AWAITING, False)
         out = []
-        for r in pd.concat(list(batches)).itertuples():
+        for r in pd.concat(list(batches)).sort_values(["ts", "kind"], ascending=[True, False]).itertuples():
             old = now
             if r.kind == "tasks":
                 ready = r.total > 0 and r.done == r.total

@@ -26,6 +26,8 @@ def test_alerts(spark, tmp_path):
 
 
 def test_state_machine(spark, tmp_path):
-    rows = [(1, "audit", 0, 0, 0), (1, "tasks", 1, 2, 0), (1, "audit", 0, 0, 0), (1, "tasks", 2, 2, 0), (1, "audit", 0, 0, 1), (1, "tasks", 2, 2, 0), (1, "audit", 0, 0, 0), (1, "audit", 0, 0, 5)]
-    out = drain(spark, tmp_path, rows, "parent_id long, kind string, done int, total int, broken int", reaudit_states, "append")
-    assert [(r.old_state, r.new_state) for r in out] == [("awaiting_fixes", "needs_more_work"), ("needs_more_work", "passed")]
+    events = [("audit", 0, 0, 0), ("tasks", 1, 2, 0), ("audit", 0, 0, 0), ("tasks", 2, 2, 0), ("audit", 0, 0, 1), ("tasks", 2, 2, 0), ("audit", 0, 0, 0), ("audit", 0, 0, 5)]
+    rows = [(1, f"2026-01-01 00:0{k}:00", *e) for k, e in enumerate(events)]
+    rows = rows[::-1] + [(2, "2026-01-01 00:00:00", "audit", 0, 0, 0), (2, "2026-01-01 00:00:00", "tasks", 1, 1, 0)]  # not in the order of arrival; of one time tasks come first
+    out = drain(spark, tmp_path, rows, "parent_id long, ts string, kind string, done int, total int, broken int", reaudit_states, "append")
+    assert sorted((r.parent_id, r.old_state, r.new_state) for r in out) == [(1, "awaiting_fixes", "needs_more_work"), (1, "needs_more_work", "passed"), (2, "awaiting_fixes", "passed")]
