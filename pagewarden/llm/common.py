@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import sys
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewarden.storage import discard, shared_dir  # noqa: F401
+from pagewarden.storage import materialize as scratch  # noqa: F401
+
 #: A side is broadcast only if it was counted and has no more rows and, at so many a row, no more bytes than this.
 BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 100_000, 32 << 20, 200
 #: Tasks that one key of the other side is dealt over where a side is too large to be broadcast.
@@ -19,38 +19,9 @@ SALTS = 16
 #: Rows in an Arrow batch: texts may be long, so batches are small.
 ARROW_ROWS = 256
 
-_local: dict[str, str] = {}
 _libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in plain local mode, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local-cluster") or not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if "dir" not in _local:
-        _local["dir"] = tempfile.mkdtemp(prefix="pagewarden-")
-        atexit.register(_remove, _local["dir"])
-    return "file://" + _local["dir"]
-
-
-def _remove(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it back: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagewarden/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts holds, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

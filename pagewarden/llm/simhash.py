@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hint_small, join_spread, scratch, small_batches, tidy
+from .common import discard, hint_small, join_spread, scratch, small_batches, tidy
 
 SEED = 42
 TILE = 2048
@@ -341,13 +341,14 @@ def components(edges: DataFrame) -> DataFrame:
         step = scratch(both.groupBy("v").agg(F.min(order("u")).alias("least")).select("v", F.least("least", order("v"))["u"].alias("p")), "contract")
         maps.append(step)
         moved = edges.join(step.withColumnRenamed("v", "a").withColumnRenamed("p", "pa"), "a").join(step.withColumnRenamed("v", "b").withColumnRenamed("p", "pb"), "b")
-        edges = scratch(moved.where(F.col("pa") != F.col("pb")).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        before, edges = edges, scratch(moved.where(F.col("pa") != F.col("pb")).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(before)
     if not maps:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    found = maps[-1].select("v", F.col("p").alias("root"))
-    for step in reversed(maps[:-1]):
-        found = step.join(found.select(F.col("v").alias("p"), "root"), "p", "left").select("v", F.coalesce("root", "p").alias("root"))
-        found = scratch(found, "roots")
+    found = maps[-1].withColumnRenamed("p", "root")
+    for n, step in enumerate(reversed(maps[:-1])):
+        before, found = found, scratch(step.join(found.select(F.col("v").alias("p"), "root"), "p", "left").select("v", F.coalesce("root", "p").alias("root")), "roots")
+        discard(before if n else maps[-1], step)
     return found
 
 
