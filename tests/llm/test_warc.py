@@ -33,14 +33,20 @@ def test_small_payloads_are_all_responses(spark):
 
 
 def test_records_are_reconstructed(spark):
-    payloads, headers = warc.write_archive(frame(spark))
+    payloads, headers = warc.write_archive(frame(spark), date="2024-05-06T07:08:09Z")
     assert payloads.count() == 4
+    html = {(p, u or ""): (h or "").encode() for p, u, h in ROWS}
+    seen = set()
     for r in warc.reconstruct(payloads, headers).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\n") and head.count(b"WARC-Type: ") == 1
-        assert rest == (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n"
-    urls = {r.url for r in warc.parse_headers(headers).collect()}
-    assert urls == {u or "" for _, u, _ in ROWS}
+        lines = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        assert head.startswith(b"WARC/1.1\r\n") and lines[b"WARC-Date"] == b"2024-05-06T07:08:09Z" and lines[b"Content-Type"] == b"application/http; msgtype=response"
+        assert rest[int(lines[b"Content-Length"]) :] == b"\r\n\r\n"
+        http, _, body = rest[: int(lines[b"Content-Length"])].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n")
+        assert body == (html[r.page_id, r.url] if r.record_type == "response" else b"")
+        seen.add(r.url)
+    assert seen == {u or "" for _, u, _ in ROWS}
 
 
 def test_a_wrong_payload_is_found(spark):
