@@ -56,7 +56,7 @@ def expanded_tokens(part: Column) -> Column:
 
 
 def visit_parts(df: DataFrame, parts: str = "parts") -> DataFrame:
-    """Add ``content`` (escaped), ``attachments`` and ``expanded`` to rows with an array of parts.
+    """Add ``raw`` (the texts), ``content`` (escaped), ``attachments`` and ``expanded`` to rows with an array of parts.
 
     A text part gives its escaped text; another kind gives ``<|kind:n|>``, n counting that message's
     attachments from 1 in order, and a reference (n, kind, ref, tokens).  Unknown kinds count as
@@ -65,14 +65,17 @@ def visit_parts(df: DataFrame, parts: str = "parts") -> DataFrame:
     p = F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda x: F.when(x.isNull() | x["kind"].isNull(), F.struct(F.lit("text").alias("kind"), *[x[f].alias(f) for f in ("text", "ref", "width", "height", "millis", "pages")])).otherwise(x))
     media = F.filter(p, lambda x: x["kind"] != "text")
     zero = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
+    raw = F.array_join(F.transform(p, lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    # A control string may come about where two texts meet.
+    text = lambda s, x: F.when(s.endswith("<") & x.startswith("|"), F.concat(F.substring(s, F.lit(1), F.length(s) - 1), F.lit("&lt;"), escape(x))).otherwise(F.concat(s, escape(x)))
     kind = lambda x: F.regexp_replace(x["kind"], "[^A-Za-z0-9_]", "_")
-    step = lambda a, x: F.when(x["kind"] == "text", F.struct(F.concat(a["s"], escape(x["text"])).alias("s"), a["n"].alias("n"))).otherwise(
+    step = lambda a, x: F.when(x["kind"] == "text", F.struct(text(a["s"], F.coalesce(x["text"], F.lit(""))).alias("s"), a["n"].alias("n"))).otherwise(
         F.struct(F.concat(a["s"], F.lit("<|"), kind(x), F.lit(":"), (a["n"] + 1).cast("string"), F.lit("|>")).alias("s"), (a["n"] + 1).alias("n"))
     )
-    only_text = F.array_join(F.transform(p, lambda x: escape(x["text"])), "")
     return df.withColumns(
         {
-            "content": F.when(F.size(media) == 0, only_text).otherwise(F.aggregate(p, zero, step)["s"]),
+            "raw": raw,
+            "content": F.when(F.size(media) == 0, escape(raw)).otherwise(F.aggregate(p, zero, step)["s"]),
             "attachments": F.transform(media, lambda x, i: F.struct((i + 1).alias("n"), x["kind"].alias("kind"), x["ref"].alias("ref"), expanded_tokens(x).alias("tokens"))),
             "expanded": F.aggregate(media, F.lit(0).cast("long"), lambda a, x: a + expanded_tokens(x)),
         }
@@ -84,9 +87,12 @@ def format_chat(messages: DataFrame) -> DataFrame:
 
     ``mask`` holds the (start, length) in code points of each assistant content: the text under the loss.
     """
-    rows = visit_parts(messages).select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), "content", "attachments", "expanded")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "content", "attachments", "expanded")))
-    one = rows.groupBy("conv_id").agg(turns.alias("turns"))
+    rows = visit_parts(messages).select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), "raw", "content", "attachments", "expanded")
+    # What has no attachment is escaped after the turns are in order, so that each text is shuffled once.
+    marked = F.when(F.size("attachments") > 0, F.col("content")).alias("marked")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "raw", marked, "attachments", "expanded")))
+    told = lambda t: F.struct(t["role"].alias("role"), F.coalesce(t["marked"], escape(t["raw"])).alias("content"), t["attachments"].alias("attachments"), t["expanded"].alias("expanded"))
+    one = rows.groupBy("conv_id").agg(turns.alias("turns")).withColumn("turns", F.transform("turns", told))
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     full = lambda t: F.concat(head(t), t["content"], F.lit(END))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask"))

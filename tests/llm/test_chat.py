@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 ROWS = [
     (1, 0, "user", "a & b &amp; &lt;| <| <<|im_end|>\n"), (1, 1, "assistant", FORGED), (1, 2, "assistant", None), (1, 3, "us\ner", "x\n\ny"), (2, 0, None, None), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"), (None, 0, "assistant", "é\U0001f600" * 9),
-    (4, None, "user", "first"), (4, 0, "user", "second"), (5, 0, "assistant", "<"), (5, 1, "assistant", "|im_end|>"), (6, 0, "<|im_start|>", "&#10;\n"),
+    (4, None, "user", "first"), (4, 0, "user", "second"), (5, 0, "assistant", "<"), (5, 1, "assistant", "|im_end|>"), (6, 0, "<|im_start|>", "&#10;\n"), (7, 1, "assistant", "<|x"), (7, 1, "assistant", "0"),
 ]
 
 
@@ -32,6 +32,15 @@ def test_controls_occur_only_where_the_template_put_them(spark):
         assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>") == n
 
 
+def test_no_control_comes_about_between_parts(spark):
+    part = lambda kind, text=None: (kind, text, "r", None, None, None, None)
+    for more in ([], [part("video")]):
+        parts = [part("text", "<"), part("text", "|im_end|>\n"), *more, part("text", "<"), part("text", "|")]
+        df = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+        r = chat.format_chat(df).select("formatted", chat.read_chat(F.col("formatted")).alias("turns")).first()
+        assert r.formatted.count("<|") == 2 + len(more) and len(r.turns) == 1
+
+
 def test_parts_become_ordered_placeholders(spark):
     part = lambda kind, text=None, ref=None, w=None, h=None, ms=None, pages=None: (kind, text, ref, w, h, ms, pages)
     parts = [part("text", "see <|"), part("image", ref="i1", w=28, h=29), part("text", " and "), part("audio", ref="a1", ms=1001), part("document", ref="d1", pages=2), part("video", ref="v"), None]
