@@ -17,12 +17,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hint_small, scratch
+from .common import join_spread, scratch
 
 #: (verdict, host, path) of the production rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BITS_PER_URL = 16
-SALTS = 8
+#: Bytes of a row of the filter: its block and eight longs.
+_FILTER_ROW = 72
 #: Query parameters that a canonical URL goes without.
 TRACKING = ("ref", "fbclid", "gclid", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -70,26 +71,24 @@ def build_filter(keys: DataFrame, column: str, n: int, bits_per_key: int = BITS_
 
 
 def listed_flag(rows: DataFrame, key: str, listed: DataFrame, flag: str = "listed") -> DataFrame:
-    """rows with a boolean: whether ``key`` is in ``listed`` (one column of the same name, any repeats)."""
-    keys = scratch(listed.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(key).alias("_key")).distinct(), "listed")
-    n = keys.count()
-    bloom, blocks = build_filter(keys, "_key", n)
-    probe = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("_h", F.xxhash64(F.lit("bits"), F.col(key)))
-    bloom = hint_small(bloom.withColumnRenamed("block", "_block"), blocks)
-    bits = _words(F.col("_block"), "_h")
-    every = F.lit(True)
-    for i, b in enumerate(bits):
-        every = every & ((F.col(f"w{i}").bitwiseAND(b)) == b)
-    possible = (
-        probe.join(bloom, "_block", "left")
-        .withColumn("_hit", F.coalesce(every & (F.col(key) != ""), F.lit(False)))
-        .withColumn("_probe", F.when(F.col("_hit"), F.col(key)).otherwise(F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string"))))
-        .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS).cast("long")))
-    )
-    # A URL that a third of all rows share is dealt over SALTS tasks; the exact list is repeated for that.
-    exact = keys.select(F.col("_key").alias("_probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"), F.lit(True).alias(flag))
-    exact = hint_small(exact, n * SALTS)
-    return possible.join(exact, ["_probe", "_salt"], "left").select(*rows.columns, F.col("_hit").alias("bloom_hit"), F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+    """rows with two booleans: whether ``key`` is in ``listed`` (one column of the same name, any repeats), and ``bloom_hit``.
+
+    Columns of rows with these two names are replaced.  A block of the filter, or a URL, that a third
+    of all rows share is dealt over many tasks.
+    """
+    keys = scratch(listed.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(key).alias("key")).distinct(), "listed")
+    n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
+    bloom, blocks = build_filter(keys, "key", n)
+    hits = F.lit(True)
+    for i, b in enumerate(_words(F.col("block"), "h")):
+        hits = hits & ((F.col(f"w{i}").bitwiseAND(b)) == b)
+    kept = rows.drop(flag, "bloom_hit")
+    probe = kept.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.xxhash64(*kept.columns).alias("salt"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.xxhash64(F.lit("bits"), F.col(key)).alias("h"))
+    possible = join_spread(probe, bloom, ["block"], F.col("salt"), min(blocks, n), "left", _FILTER_ROW).select("row", "salt", "key", F.coalesce(hits & (F.col("key") != ""), F.lit(False)).alias("hit"))
+    # What the filter rules out looks for a key that nothing has, each row another.
+    asked = possible.withColumn("key", F.when(F.col("hit"), F.col("key")).otherwise(F.concat(F.lit("\0"), F.col("salt").cast("string"))))
+    exact = join_spread(asked, keys.withColumn("found", F.lit(True)), ["key"], F.col("salt"), n, "left", 50 + 4 * (total // max(1, n)))
+    return exact.select("row.*", F.col("hit").alias("bloom_hit"), F.coalesce("found", F.lit(False)).alias(flag))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:

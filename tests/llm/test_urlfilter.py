@@ -25,7 +25,7 @@ def slow_rule(host, path):
 
 
 def test_rules_and_list_against_brute_force(spark):
-    df = spark.createDataFrame([(i, x, "clash") for i, x in PAGES], "page_id long, url string, listed string").drop("listed")
+    df = spark.createDataFrame([(i, x, "clash") for i, x in PAGES], "page_id long, url string, listed string")
     listed = spark.createDataFrame([("Ünï.de/Pfad?a=1&b=2",), ("host?x=://y/z",), (None,), ("",)], "canonical string")
     out = u.filter_urls(df, listed).collect()
     assert len(out) == len(PAGES)
@@ -47,6 +47,17 @@ def test_the_filter_has_no_false_negatives_and_the_join_no_false_positives(spark
     assert got.get((False, True), 0) < 60  # about one in a thousand
 
 
+def test_large_lists_are_joined_over_salts(spark, monkeypatch):
+    from pagewarden.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("canonical"))
+    rows = spark.range(5000).select("id", F.concat(F.lit("k"), F.when(F.col("id") < 2000, 7).otherwise(F.col("id"))).alias("canonical"), F.lit("x").alias("block"), F.lit("y").alias("key"), F.lit(True).alias("listed"))
+    out = u.listed_flag(rows, "canonical", keys)
+    assert sorted(out.columns) == ["block", "bloom_hit", "canonical", "id", "key", "listed"]
+    assert {(r.listed, r["count"]) for r in out.groupBy("listed").count().collect()} == {(True, 3000), (False, 2000)}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     none = spark.createDataFrame([], "canonical string")
