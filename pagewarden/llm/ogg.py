@@ -168,7 +168,7 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_bytes (of the UTF-8 text) and media (the Ogg file of its padded bytes) to docs."""
+    """docs with n_bytes (of the UTF-8 text) and media (the Ogg file of its padded bytes), which replace columns of these names."""
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<n_bytes:bigint,media:binary>")
@@ -180,14 +180,18 @@ def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
             files.append(write_ogg(payload))
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["n_bytes", "media"])
 
-    return docs.withColumn("_media", encode.asNondeterministic()(F.col(text))).withColumns({"n_bytes": F.col("_media.n_bytes"), "media": F.col("_media.media")}).drop("_media")
+    kept = [c for c in docs.columns if c not in ("n_bytes", "media")]
+    return docs.select(F.struct(*kept).alias("row"), encode.asNondeterministic()(F.col(text)).alias("made")).select("row.*", "made.*")
 
 
 _READ = "payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string"
 
 
 def decode_media(df: DataFrame) -> DataFrame:
-    """Add what is read back from the media column: payload size and digests, the file's, and the feature string."""
+    """df with what is read back from its media column: payload size and digests, the file's, and the feature string.
+
+    Columns of these names are replaced.
+    """
     small_batches(df.sparkSession)
 
     @F.arrow_udf(f"struct<{_READ}>")
@@ -200,4 +204,5 @@ def decode_media(df: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds, strict=True)], [x.split(":")[0] for x in _READ.split(",")])
 
-    return df.withColumn("_read", decode.asNondeterministic()(F.col("media"))).select(*df.columns, "_read.*")
+    made = {x.split(":")[0] for x in _READ.split(",")}
+    return df.select(F.struct(*[c for c in df.columns if c not in made]).alias("row"), decode.asNondeterministic()(F.col("media")).alias("read")).select("row.*", "read.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit, hint_small, scratch, small_batches, tidy
+from .common import hash_unit, hint_small, join_spread, scratch, small_batches, tidy
 from .ngrams import fit_logistic
 
 #: Documented bounds of what the document classifier learns from: labelled rows, words of the list.
@@ -121,9 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_bound: int = SAMPLE_ROWS) -> Mo
     return Model(_head(x[:, :262], y, 6.0), _head(x[:, 262:], t, 1.0), lexicon, (float(y.mean()), float(t.mean())))
 
 
-def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``__e``: struct(q, t), the classifier's probabilities of good and of toxic."""
-    small_batches(docs.sparkSession)
+def evidence_of(model: Model, text: Column) -> Column:
+    """struct(q, t): the classifier's probabilities of good and of toxic for a text."""
 
     @F.arrow_udf("struct<q:double,t:double>")
     def evidence(texts: pa.Array) -> pa.Array:
@@ -131,7 +130,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
         tidy()
         return pa.StructArray.from_arrays([pa.array([p[i] for p in pairs], pa.float64()) for i in (0, 1)], ["q", "t"])
 
-    return docs.withColumn("__e", evidence.asNondeterministic()(F.col("text")))
+    return evidence.asNondeterministic()(text)
 
 
 def _strength(size: Column, mean: Column, prior: Column) -> Column:
@@ -165,36 +164,39 @@ def combine(p: Column, site: Column, base: Column) -> Column:
     return 1 / (1 + F.exp(-(logit(p) + logit(site) - logit(base))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
-    """docs with ``__q``: struct(host, path, doc_quality, host_quality, path_quality, quality, doc_toxic, toxic, keep)."""
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of docs (all by default) with ``__q``, which replaces a column of that name.
+
+    ``__q`` is struct(host, path, doc_quality, host_quality, path_quality, quality, doc_toxic, toxic, keep).
+    """
     model = fit(docs, labels)
-    judged = judge(docs.withColumns({"__host": host, "__path": path}), model)
-    sites = site_posteriors(judge(docs.select(host.alias("host"), path.alias("path"), "text"), model).select("host", "path", "__e.q", "__e.t"))
-    near = hint_small(sites.select(*[F.col(c).alias(f"__{c}" if c in ("host", "path") else f"__s_{c}") for c in sites.columns]).withColumnsRenamed({"__host": "__sh", "__path": "__sp"}), sites.count())
-    rows = judged.join(near, F.col("__host").eqNullSafe(F.col("__sh")) & F.col("__path").eqNullSafe(F.col("__sp")), "left")
-    col = lambda name: F.col(f"__s_{name}")
-    mean = {}
-    for x in "qt":
-        own = F.col("__e")[x]
-        mean[x] = (col(f"s_{x}") - own + col(f"kp_{x}") * col(f"host_{x}")) / (col("n") - 1 + col(f"kp_{x}"))
-    quality = combine(F.col("__e.q"), mean["q"], col("world_q"))
-    toxic = combine(F.col("__e.t"), mean["t"], col("world_t"))
+    small_batches(docs.sparkSession)
+    carry = [c for c in (docs.columns if carry is None else carry) if c != "__q"]
+    # Each text is judged once; the table is read for the sites and for the documents.
+    salt = F.xxhash64("doc_id", F.length("text"))
+    judged = scratch(docs.select(F.struct(*carry).alias("row"), host.alias("host"), path.alias("path"), salt.alias("salt"), evidence_of(model, F.col("text")).alias("e")), "evidence")
+    sites = site_posteriors(judged.select("host", "path", "e.q", "e.t"))
+    # Hosts and paths may be null, which a join does not match.
+    key = lambda c: F.concat(F.lit("="), F.col(c))
+    site = F.array(F.coalesce(key("host"), F.lit("")), F.coalesce(key("path"), F.lit(""))).alias("site")
+    near = sites.select(site, F.struct(*[c for c in sites.columns if c not in ("host", "path")]).alias("s"))
+    rows = join_spread(judged.select("row", "host", "path", "salt", "e", site), near, ["site"], F.col("salt"), sites.count(), "left")
+    of = lambda name: F.col(f"s.{name}")
+    mean = {x: path_mean(of(f"s_{x}"), F.col("e")[x], of(f"kp_{x}"), of(f"host_{x}"), of("n")) for x in "qt"}
+    quality = combine(F.col("e.q"), mean["q"], of("world_q"))
+    toxic = combine(F.col("e.t"), mean["t"], of("world_t"))
     # Where nothing was learned for quality there is nothing to reject by.
     keep = (F.lit(not model.quality) | (quality >= KEEP_QUALITY)) & (F.lit(not model.toxic) | (toxic < KEEP_TOXIC))
-    out = F.struct(
-        F.col("__host").alias("host"),
-        F.col("__path").alias("path"),
-        F.col("__e.q").alias("doc_quality"),
-        col("host_q").alias("host_quality"),
-        mean["q"].alias("path_quality"),
-        quality.alias("quality"),
-        F.col("__e.t").alias("doc_toxic"),
-        toxic.alias("toxic"),
-        keep.alias("keep"),
-    )
-    return rows.select(*docs.columns, out.alias("__q"))
+    out = F.struct("host", "path", F.col("e.q").alias("doc_quality"), of("host_q").alias("host_quality"), mean["q"].alias("path_quality"), quality.alias("quality"), F.col("e.t").alias("doc_toxic"), toxic.alias("toxic"), keep.alias("keep"))
+    return rows.select("row.*", out.alias("__q"))
+
+
+def path_mean(total: Column, own: Column, strength: Column, host: Column, n: Column) -> Column:
+    """A path's posterior mean without the document itself, shrunk toward its host."""
+    return (total - own + strength * host) / (n - 1 + strength)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects; the host is the source, the path the language below it."""
-    return classify(docs, labels, F.col("source"), F.col("lang")).where("__q.keep").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("__row"), "doc_id", "text", "source", "lang")
+    return classify(rows, labels, F.col("source"), F.col("lang"), ["__row"]).where("__q.keep").select("__row.*")

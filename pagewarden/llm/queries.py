@@ -11,7 +11,7 @@ from .common import table
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), ["doc_id"])
     return judged.select("doc_id", "__q.*")
 
 

@@ -1,12 +1,13 @@
 """Language ID, quality, mixing and nearest neighbours."""
 
+import math
 import random
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagewarden.llm import ann, langid, mixing, quality
+from pagewarden.llm import ann, langid, mixing, ogg, quality, simhash
 from pagewarden.llm.queries import labelled_domains, op8_language_id, op10_soft_mixing
 
 SF = "/root/testdata/sf0.01"
@@ -82,6 +83,70 @@ def test_sparse_sites_are_shrunk(spark):
     assert 0.0 < sites[("one", "d")].host_q <= world and sites[(None, None)].host_q < 1.0  # one document: toward the corpus
 
 
+def test_posteriors_against_hand_computation(spark, docs_schema):
+    """The whole hierarchy by plain loops, from the document classifier's own evidence."""
+    rng = random.Random(11)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0").withColumns({"__q": F.lit("clash"), "row": F.lit("clash"), "host": F.lit("clash"), "site": F.lit("clash")})
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.classify(docs, labels, F.when(F.col("source") != "web", F.col("source")), F.col("lang")).collect()
+    assert rng and set(out[0].asDict()) == set(docs.columns) and out[0].host == "clash"
+    rows = [r["__q"] for r in out]
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for x, doc, post in (("q", "doc_quality", "quality"), ("t", "doc_toxic", "toxic")):
+        sums = lambda key: {k: (len(v), sum(v)) for k, v in by(key).items()}
+
+        def by(key):
+            found = {}
+            for r in rows:
+                found.setdefault(key(r), []).append(r[doc])
+            return found
+
+        hosts, paths = sums(lambda r: r.host), sums(lambda r: (r.host, r.path))
+        n = len(rows)
+        world = sum(r[doc] for r in rows) / n
+
+        def strength(groups, prior):
+            spread = sum(m * (s / m - prior(k)) ** 2 for k, (m, s) in groups.items()) / n
+            noise = sum(prior(k) * (1 - prior(k)) for k in groups) / n
+            return min(max(max(prior(k) * (1 - prior(k)) for k in groups) / max(spread - noise, 1e-9) - 1, 1.0), 1e4)
+
+        kh = strength(hosts, lambda k: world)
+        host = {k: (s + kh * world) / (m + kh) for k, (m, s) in hosts.items()}
+        kp = strength(paths, lambda k: host[k[0]])
+        for r in rows:
+            m, s = paths[r.host, r.path]
+            site = (s - r[doc] + kp * host[r.host]) / (m - 1 + kp)
+            want = 1 / (1 + math.exp(-(logit(r[doc]) + logit(site) - logit(world))))
+            assert abs(r[post] - want) < 1e-6, x
+    assert all(r.keep == (r.quality >= 0.5 and r.toxic < 0.5) for r in rows)
+
+
+def test_decoding_is_the_nearest_codeword():
+    rng = np.random.default_rng(12)
+    for k in (2, 4, 7):
+        codes = langid.code_matrix(k)
+        trust = rng.random(codes.shape) + 0.1
+        model = langid.Model([f"l{i}" for i in range(k)], np.zeros((codes.shape[1], 4)), np.zeros(codes.shape[1]), codes, trust)
+        margins = rng.standard_normal((50, codes.shape[1])) * 3
+        for m, p in zip(margins, model.decode(margins), strict=True):
+            loss = [sum(trust[i, j] * math.log(1 + math.exp(-codes[i, j] * m[j])) for j in range(codes.shape[1])) for i in range(k)]
+            assert int(p.argmax()) == int(np.argmin(loss)) and abs(p.sum() - 1) < 1e-9
+    right = np.array([[1, 1, 0]] * 30 + [[1, 0, 0]] * 10)
+    a, b, c = langid.bit_trust(right)
+    assert a > b > c > 0  # a bit that misleads for a language counts least
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "the cat sat", "en", "s", 0), (2, "le chat noir", "fr", "s", 0), (3, None, None, None, None)]
+    clash = ["_lang", "__row", "__mix", "__q", "media", "n_bytes", "payload_bytes", "feature", "row", "e", "read", "fp", "v"]
+    df = spark.createDataFrame([(*r, *clash) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for out in (langid.keep_identified(df), quality.keep_good(df, labels), simhash.keep_one_of_each(df), mixing.mixed(df, labelled_domains(df, labels))):
+        assert out.columns == df.columns and all(r["__row"] == "__row" for r in out.collect())
+    coded = ogg.decode_media(ogg.encode_media(df))
+    assert len(set(coded.columns)) == len(coded.columns) and {r.payload_bytes for r in coded.collect()} == {64}
+
+
 def test_quality_of_odd_rows(spark, docs_schema):
     df = spark.createDataFrame([(1, None, None, None, 0), (None, "", "en", "s", 0), (2, "x " * 90000, "en", "s", 0), (2, "x", "en", "s", 0)], docs_schema)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
