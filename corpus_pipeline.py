@@ -5,12 +5,10 @@ Each stage takes (spark, docs, sf_dir).  All but the last return the columns of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewarden.llm import langid, mixing, quality, simhash, spiece
-from pagewarden.llm.common import shared_dir, table
+from pagewarden.llm.common import discard, scratch, table
 from pagewarden.llm.queries import labelled_domains
 
 
@@ -53,9 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written below the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pagewarden/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)  # the next stage reads only what this one wrote
+        before = [docs]
     return docs
