@@ -331,10 +331,9 @@ def flag_names() -> tuple[str, ...]:
 
 
 def site_facts(rows: DataFrame, flagged: DataFrame, pages: DataFrame, site: DataFrame) -> DataFrame:
-    """One row for each site: counts of every flag, sums over images, the home page's facts, robots facts."""
-    names = flag_names()
-    counts = flagged.groupBy("site_id", "flag").count().groupBy("site_id").pivot("flag", list(names)).agg(F.first("count")).fillna(0)
-    counts = counts.toDF("site_id", *[f"n_{n}" for n in names])
+    """One row for each site: a map of the counts of its flags, sums over images, the home page's facts, robots facts."""
+    each = flagged.groupBy("site_id", "flag").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("flag", "n"))).alias("counts"))
     shown = F.filter(F.col("image_vis"), lambda i: i["visible"] & ~i["aria_hidden"])
     seen = F.coalesce(F.size("image_vis"), F.lit(-1)) > 0
     raw = F.filter("images", lambda i: i["src"] != "")
@@ -350,7 +349,7 @@ def site_facts(rows: DataFrame, flagged: DataFrame, pages: DataFrame, site: Data
         F.sum(F.size(F.filter(raw, lambda i: (F.coalesce(i["width"], F.lit("")) == "") | (F.coalesce(i["height"], F.lit("")) == "")))).alias("no_size"),
         F.min_by(home, is_home).alias("home"),
     )
-    return site.join(by_site, "site_id", "left").join(counts, "site_id", "left").join(_robots_facts(rows, site), "site_id", "left").fillna(0, ["n_ok", *[f"n_{n}" for n in names], "google_sections", "ai_sections", "bots_blocked", "bots_root_blocked"])
+    return site.join(by_site, "site_id", "left").join(counts, "site_id", "left").join(_robots_facts(rows, site), "site_id", "left").fillna(0, ["n_ok", "google_sections", "ai_sections", "bots_blocked", "bots_root_blocked"])
 
 
 def decisions() -> list[tuple[str, str, Column]]:
@@ -360,7 +359,9 @@ def decisions() -> list[tuple[str, str, Column]]:
 
     @functools.cache
     def n(flag: str) -> Column:
-        return F.col(f"n_{flag}")
+        if flag not in flag_names():
+            raise KeyError(flag)
+        return F.coalesce(F.try_element_at("counts", F.lit(flag)), F.lit(0))
 
     def v(severity, status, confidence=None) -> Column:
         return plain(severity, status, confidence) if not isinstance(confidence, Column) else made(severity, status, confidence)
@@ -521,7 +522,8 @@ def run_checks(pages: DataFrame, site: DataFrame, as_of: datetime.date) -> DataF
     ``as_of`` stands for today, so that the result depends on nothing else.
     """
     rows, flagged = flagged_pages(pages, site, as_of.year)
-    facts = site_facts(rows, flagged, pages, site)
+    # One row for each site; written, so that the decisions are planned apart from all before them.
+    facts = materialize(site_facts(rows, flagged, pages, site), "site-facts")
     made = decisions()
     each = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(k).alias("emit_ord"), F.lit(a).alias("id"), F.lit(b).alias("category"), c.alias("v"))) for k, (a, b, c) in enumerate(made)]))
     found = facts.select("site_id", F.explode(each).alias("x")).select("site_id", "x.emit_ord", "x.id", "x.category", "x.v.*")
