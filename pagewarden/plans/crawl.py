@@ -119,7 +119,7 @@ audits AS (
 )"""
 FINDINGS_SQL = f"""
 spec(k, id, category, severity) AS (VALUES {", ".join(f"({k}, '{a}', '{b}', '{c}')" for k, (a, b, c) in enumerate(FINDINGS))}),
-findings AS (
+findings AS MATERIALIZED (
   SELECT event_id AS audit_id, k AS emit_ord, id, category, severity, [{", ".join(f"'{s}'" for s in STATES)}][CAST((event_id * (k + 3) + event_id // 7) % 5 + 1 AS INTEGER)] AS status
   FROM events, spec WHERE (event_id + k) % 9 <> 4
 )"""
