@@ -12,6 +12,8 @@ not held out and not learned from.  Repeated rows each keep a row.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,14 +94,16 @@ def sample_features(rows: DataFrame, label: str, rows_bound: int, seed: str = "l
 
     taken = rows.where(hash_unit(F.col("doc_id"), F.lit(seed)) < rate)
     found = taken.select("doc_id", F.col(label).alias("label"), count.asNondeterministic()(F.col("text")).alias("c")).select("doc_id", "label", "c.*").toArrow()
-    # The same model whatever the order of partitions.
-    order = sorted(zip(*(found.column(i).to_pylist() for i in range(4)), strict=True))
+    # The same model whatever the order of partitions; by a hash, so that any part of the rows is a sample.
+    order = sorted(zip(*(found.column(i).to_pylist() for i in range(4)), strict=True), key=lambda r: (zlib.crc32(repr(r[0]).encode()), *r))
     del found
     x = np.zeros((2 * len(order), 1 << FEATURE_BITS), np.float32)
-    for n, (_, _, whole, part) in enumerate(order):
+    labels = [k for _, k, _, _ in order for _ in (0, 1)]
+    for n in range(len(order) - 1, -1, -1):
+        _, _, whole, part = order.pop()
         unpack(whole, x[2 * n])
         unpack(part, x[2 * n + 1])
-    return [k for _, k, _, _ in order for _ in (0, 1)], x
+    return labels, x
 
 
 def train(labels: list[str], x: np.ndarray) -> Model | None:
@@ -113,19 +117,19 @@ def train(labels: list[str], x: np.ndarray) -> Model | None:
     share = np.bincount(y, minlength=len(langs))[y][:, None]
     target = (codes[y] > 0).astype(np.float32)
 
-    def learn(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return fit_logistic(x[rows], target[rows], np.broadcast_to(1.0 / share[rows], target[rows].shape), 1e-6)
+    def learn(n: int) -> tuple[np.ndarray, np.ndarray]:
+        return fit_logistic(x[:n], target[:n], np.broadcast_to(1.0 / share[:n], target[:n].shape), 1e-6)
 
-    # How far a bit can be trusted for a language shows in texts that its classifier has not seen: a
-    # fifth of them is held back for that.  A text has two rows.
-    held = np.arange(len(y)) // 2 % FOLDS == FOLDS - 1
-    if held.any() and all((y[~held] == i).any() for i in range(len(langs))):
-        w, b = learn(np.flatnonzero(~held))
-        right = ((x[held] @ w.astype(np.float32) + b > 0) == (target[held] > 0)).astype(float)
-        trust = np.array([bit_trust(right[y[held] == i]) for i in range(len(langs))])
+    # How far a bit can be trusted for a language shows in texts that its classifier has not seen: the
+    # last fifth is held back for that.  A text has two rows.
+    cut = len(y) // 2 * (FOLDS - 1) // FOLDS * 2
+    if all((y[:cut] == i).any() and (y[cut:] == i).any() for i in range(len(langs))):
+        w, b = learn(cut)
+        right = ((x[cut:] @ w.astype(np.float32) + b > 0) == (target[cut:] > 0)).astype(float)
+        trust = np.array([bit_trust(right[y[cut:] == i]) for i in range(len(langs))])
     else:
         trust = np.ones(codes.shape)
-    w, b = learn(np.arange(len(y)))
+    w, b = learn(len(y))
     return Model(langs, np.ascontiguousarray(w.T), b, codes, trust / trust.sum(axis=1, keepdims=True) * codes.shape[1])
 
 
