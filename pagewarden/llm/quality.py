@@ -167,14 +167,15 @@ def combine(p: Column, site: Column, base: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of docs (all by default) with ``__q``, which replaces a column of that name.
 
-    ``__q`` is struct(host, path, doc_quality, host_quality, path_quality, quality, doc_toxic, toxic, keep).
+    The columns of ``carry`` are written beside the evidence, so that each text is judged once; with
+    all of them the texts are judged again instead of written.  ``__q`` is struct(host, path, doc_quality, host_quality, path_quality, quality, doc_toxic, toxic, keep).
     """
     model = fit(docs, labels)
     small_batches(docs.sparkSession)
-    carry = [c for c in (docs.columns if carry is None else carry) if c != "__q"]
-    # Each text is judged once; the table is read for the sites and for the documents.
+    kept = [c for c in (docs.columns if carry is None else carry) if c != "__q"]
     salt = F.xxhash64("doc_id", F.length("text"))
-    judged = scratch(docs.select(F.struct(*carry).alias("row"), host.alias("host"), path.alias("path"), salt.alias("salt"), evidence_of(model, F.col("text")).alias("e")), "evidence")
+    judged = docs.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"), salt.alias("salt"), evidence_of(model, F.col("text")).alias("e"))
+    judged = judged if carry is None else scratch(judged, "evidence")
     sites = site_posteriors(judged.select("host", "path", "e.q", "e.t"))
     # Hosts and paths may be null, which a join does not match.
     key = lambda c: F.concat(F.lit("="), F.col(c))
@@ -199,4 +200,4 @@ def path_mean(total: Column, own: Column, strength: Column, host: Column, n: Col
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects; the host is the source, the path the language below it."""
     rows = docs.select(F.struct("*").alias("__row"), "doc_id", "text", "source", "lang")
-    return classify(rows, labels, F.col("source"), F.col("lang"), ["__row"]).where("__q.keep").select("__row.*")
+    return classify(rows, labels, F.col("source"), F.col("lang")).where("__q.keep").select("__row.*")
