@@ -8,11 +8,12 @@ fingerprint is compared with all lanes at once: differing planes are added two b
 carry-save adder into bit-sliced counters, which overflow past the radius; a row is abandoned once
 every lane has overflowed.  A block gives the edges of a spanning forest, not its pairs.
 
-Blocks of more than TILE fingerprints are made smaller.  For a small radius, the bits that a block
-does not share are cut into chunks again: two chunks of them agree as well, so a block breaks into
-blocks that share ever more bits, with no pair lost.  For a similarity, every member is first
-compared with one pivot of the block; those that link to it need no comparison with each other.  The
-rest is compared with all, in blocks that share two minima if it is still large, tile by tile.
+Blocks of more than TILE fingerprints are compared tile by tile, and large ones are made smaller.  For
+a small radius, the bits that a block does not share are cut into chunks again: two chunks of them
+agree as well, so a block breaks into blocks that share ever more bits, with no pair lost.  For a
+similarity, every member of a block of more than STAR_TILES tiles is first compared with one pivot;
+those that link to it need no comparison with each other.  The rest is compared with all, in blocks
+that share two minima if it is still large.
 
 Components come from contracting each vertex into its neighbour of the smallest hash, by another hash
 in each round, so that chains halve at least about every second round; every round is written to the
@@ -38,12 +39,15 @@ from .common import discard, hint_small, join_spread, scratch, small_batches, ti
 
 SEED = 42
 TILE = 2048
+#: Blocks of a similarity search of more tiles than this are starred; below it, tiles copy a row less often than a star costs.
+STAR_TILES = 16
 #: Of the pipeline's stage: words in a shingle, bits, similarity, bits that may differ before the exact
 #: check (at a Jaccard similarity of 0.8 a bit differs with probability 0.15, and at most 0.1875, of 4
 #: and 5 shingles, so that 88 bits are six deviations off), block keys (all differ once in ten million), sketch.
 #: A sketch's similarity is within "sure" (six standard errors) of the sets'; nearer to the bound the
-#: whole sets decide.
-STAGE = {"sure": 0.106, "shingle": 5, "bits": 256, "similarity": 0.8, "radius": 88, "keys": 10, "sketch": 512}
+#: whole sets decide.  Of cut sketches the values in common, over all in either, are 0.66 at least at a
+#: similarity of 0.8 (one set a part of the other), and never under "hopeless" (seven standard errors).
+STAGE = {"sure": 0.106, "hopeless": 0.5, "shingle": 5, "bits": 256, "similarity": 0.8, "radius": 88, "keys": 10, "sketch": 512}
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -112,10 +116,11 @@ def within(row: list[int], vertical: list[int], radius: int, done: int, full: in
     return full & ~over
 
 
-def compare(rows: list[bytes], lanes: list[bytes] | None, radius: int, agree=None) -> Iterator[tuple[int, int]]:
+def compare(rows: list[bytes], lanes: list[bytes] | None, radius: int, agree=None, doubts: list | None = None) -> Iterator[tuple[int, int]]:
     """Edges (row, lane) of a spanning forest of the links; within the rows themselves if lanes is None.
 
-    ``agree(i, j)`` says whether it is a link.  Lanes that are already in a row's component are skipped.
+    ``agree(i)`` says of each lane whether it links with row i (1), not (0), or in doubt (2); such
+    pairs go to ``doubts``.  Lanes that are already in a row's component are skipped.
     """
     own = lanes is None
     lanes = rows if own else lanes
@@ -139,15 +144,46 @@ def compare(rows: list[bytes], lanes: list[bytes] | None, radius: int, agree=Non
             continue
         row = [full if x else 0 for x in bits[i].tolist()]
         near = within(row, vertical, radius, done, full)
+        unsure = 0
+        if near and agree is not None:
+            says, mask = agree(i), _lanes(near, n)
+            near, unsure = _bits(mask & (says == 1)), _bits(mask & (says == 2))
         while near:
             j = (near & -near).bit_length() - 1
-            near ^= 1 << j
-            if agree is None or agree(i, j):
-                yield i, j
-                a, b = find(me), find(j)
-                parent[b] = a
-                members[a] |= members[b]
-                near &= ~members[a]
+            yield i, j
+            a, b = find(me), find(j)
+            parent[b] = a
+            members[a] |= members[b]
+            near &= ~members[a]
+        if unsure:
+            doubts += [(i, j) for j in np.flatnonzero(_lanes(unsure & ~members[find(me)], n)).tolist()]
+
+
+def _lanes(mask: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(mask.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little").astype(bool)
+
+
+def _bits(mask: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(mask, bitorder="little").tobytes(), "little")
+
+
+class Overlap:
+    """How many values the sketch of a row has in common with each lane's, by lists of the lanes that have a value."""
+
+    def __init__(self, lanes: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in lanes])
+        flat = np.concatenate(lanes) if lanes else np.empty(0, np.uint32)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.lane = flat[order], np.repeat(np.arange(len(lanes)), self.sizes)[order]
+
+    def common(self, row: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.flat, row, "left"), np.searchsorted(self.flat, row, "right")
+        hit = np.flatnonzero(b > a)
+        if not len(hit):
+            return np.zeros(len(self.sizes), np.int64)
+        size = b[hit] - a[hit]
+        at = np.repeat(a[hit] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.bincount(self.lane[at], minlength=len(self.sizes))
 
 
 # ---------------------------------------------------------------- blocks, edges, components
@@ -190,14 +226,15 @@ def exact_blocks(vertices: DataFrame, bits: int, radius: int) -> DataFrame:
 def similar_blocks(vertices: DataFrame, radius: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """(blocks, star edges): v, key, far, n_near, n_far of blocks in which vertices with a common minimum meet.
 
-    In a block of more than TILE, ``far`` tells those that link to its pivot: they are not compared with each other.
+    In a block of more than STAR_TILES tiles, ``far`` tells those that link to its pivot: they are not compared with each other.
     """
     spark = vertices.sparkSession
     keyed = vertices.select("v", F.explode("keys").alias("key"))
     sizes = scratch(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("v").alias("h"), "v"))["v"].alias("pivot")).where("n > 1"), "blocks")
     none = F.lit(0).cast("long")
-    plain = keyed.join(sizes.where(F.col("n") <= TILE), "key").select("v", "key", F.lit(False).alias("far"), F.col("n").alias("n_near"), none.alias("n_far"))
-    hot = sizes.where(F.col("n") > TILE)
+    most = TILE * STAR_TILES
+    plain = keyed.join(sizes.where(F.col("n") <= most), "key").select("v", "key", F.lit(False).alias("far"), F.col("n").alias("n_near"), none.alias("n_far"))
+    hot = sizes.where(F.col("n") > most)
     n_hot = hot.count()
     if not n_hot:
         return plain, None
@@ -223,9 +260,9 @@ def similar_blocks(vertices: DataFrame, radius: int, similarity: float) -> tuple
     left = scratch(told.groupBy("key").agg(*counts).where("n_near > 0"), "left")
     n_left = left.count()
     # The rest of a block is small: it meets the whole block.
-    first = join_spread(told, left.where(F.col("n_near") <= TILE), ["key"], F.col("v"), n_left).select("v", "key", "far", "n_near", "n_far")
+    first = join_spread(told, left.where(F.col("n_near") <= most), ["key"], F.col("v"), n_left).select("v", "key", "far", "n_near", "n_far")
     # It is large: it meets those that share another minimum as well.
-    wide = join_spread(told, left.where(F.col("n_near") > TILE).select("key"), ["key"], F.col("v"), n_left).join(vertices.select("v", "keys"), "v")
+    wide = join_spread(told, left.where(F.col("n_near") > most).select("key"), ["key"], F.col("v"), n_left).join(vertices.select("v", "keys"), "v")
     pair = F.explode(F.transform(F.filter("keys", lambda k: k != F.col("key")), lambda k: F.concat("key", k))).alias("key")
     wide = wide.select("v", "far", pair)
     second = wide.join(wide.groupBy("key").agg(*counts).where("n_near > 0 AND n_near + n_far > 1"), "key").select("v", "key", "far", "n_near", "n_far")
@@ -273,26 +310,27 @@ def forest(vertices: DataFrame, blocks: DataFrame, radius: int, similarity: floa
         second = first if own else [r for r in group if r["far"] == mixed and r["tile"] == hi]
         if not first or not second or len(group) < 2:
             return
-        agree = None
-        doubts: list[tuple[bytes, bytes]] = []
+        agree, doubts = None, []
         if checked:
-            sets: dict[bytes, np.ndarray] = {}
-
-            def sketch(r: dict) -> np.ndarray:
-                if r["v"] not in sets:
-                    sets[r["v"]] = np.frombuffer(r["sketch"], np.uint32)
-                return sets[r["v"]]
-
-            def agree(i: int, j: int) -> bool:
-                says = verdict(sketch(first[i]), sketch(second[j]), similarity)
-                if says == 2:
-                    doubts.append((first[i]["v"], second[j]["v"]))
-                return says == 1
+            mine = [np.frombuffer(r["sketch"], np.uint32) for r in first]
+            others = mine if own else [np.frombuffer(r["sketch"], np.uint32) for r in second]
+            overlap, most = Overlap(others), STAGE["sketch"]
+
+            def agree(i: int) -> np.ndarray:
+                a, common = mine[i], overlap.common(mine[i])
+                alike = common / np.maximum(1, len(a) + overlap.sizes - common)
+                out = (alike >= similarity).astype(np.int8)  # exact for whole sets
+                cut = (len(a) >= most) | (overlap.sizes >= most)
+                out[cut] = 0
+                for j in np.flatnonzero(cut & (alike >= STAGE["hopeless"])).tolist():
+                    out[j] = verdict(a, others[j], similarity)
+                return out
 
         sure = (True,) if checked else ()
-        for i, j in compare([r["fp"] for r in first], None if own else [r["fp"] for r in second], radius, agree):
+        for i, j in compare([r["fp"] for r in first], None if own else [r["fp"] for r in second], radius, agree, doubts):
             yield first[i]["v"], second[j]["v"], *sure
-        for a, b in doubts:
+        for i, j in doubts:
+            a, b = first[i]["v"], second[j]["v"]
             yield min(a, b), max(a, b), False
 
     kinds = {"a": pa.binary(), "b": pa.binary()} | ({"sure": pa.bool_()} if checked else {})

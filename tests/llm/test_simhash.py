@@ -97,10 +97,11 @@ def test_hot_blocks_break_into_smaller_ones(spark, monkeypatch):
     assert {(i, min(g)) for g in groups.values() for i in g} == want
 
 
-@pytest.mark.parametrize("tile", [4, 12])
-def test_large_blocks_are_starred(spark, docs_schema, monkeypatch, tile):
+@pytest.mark.parametrize("tile, stars", [(4, 1), (12, 1), (3, 4)])
+def test_large_blocks_are_starred(spark, docs_schema, monkeypatch, tile, stars):
     """Many near copies of one text, and many texts that share a passage: against all pairs."""
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "STAR_TILES", stars)
     rng = random.Random(9)
     words = ["w%d" % i for i in range(3000)]
     base, passage, texts = rng.choices(words, k=120), rng.choices(words, k=60), []
@@ -185,5 +186,27 @@ def test_long_texts_near_the_bound_are_told_exactly(spark, docs_schema):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == want
 
 
+def test_overlap_counts_common_values():
+    rng = np.random.default_rng(5)
+    lanes = [np.unique(rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint32)) for _ in range(40)]
+    overlap = simhash.Overlap(lanes)
+    for row in lanes:
+        assert overlap.common(row).tolist() == [len(np.intersect1d(row, x)) for x in lanes]
+
+
+def test_no_long_pair_at_the_bound_is_hopeless():
+    """Cut sketches of sets at a similarity of 0.8, of all proportions of sizes."""
+    rng, k = np.random.default_rng(6), simhash.STAGE["sketch"]
+    least = 1.0
+    for _ in range(300):
+        n = int(rng.integers(k, 4000))
+        both, left = int(0.8 * n), int(rng.integers(0, n - int(0.8 * n) + 1))
+        h = rng.permutation(rng.choice(1 << 31, n, replace=False))
+        a, b = np.sort(h[: both + left])[:k], np.sort(np.concatenate([h[:both], h[both + left :]]))[:k]
+        c = len(np.intersect1d(a, b))
+        least = min(least, c / (len(a) + len(b) - c))
+    assert least > simhash.STAGE["hopeless"] + 0.05
+
+
 def test_enough_block_keys():
     assert (1 - simhash.STAGE["similarity"]) ** simhash.STAGE["keys"] < 2e-7
