@@ -502,9 +502,10 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows = join_spread(signed.select("doc_id", "text_md5", "v"), classes, ["v"], F.struct("doc_id", "text_md5"), classes.count())
     rows = rows.select("doc_id", "text_md5", F.coalesce(F.col("component_id").cast("string"), F.hex("v")).alias("gid"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
-    first = rows.groupBy("gid").agg(F.min(order).alias("w"))
+    first = scratch(rows.groupBy("gid").agg(F.min(order).alias("w")), "first")
     stays = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("text_md5") == F.col("w.text_md5"))
-    gone = scratch(rows.join(first, "gid").where(~stays).select(_row_key(F.col("doc_id"), F.col("text_md5")).alias(key)).distinct(), "gone")
+    held = join_spread(rows, first, ["gid"], F.struct("doc_id", "text_md5"), first.count())
+    gone = scratch(held.where(~stays).select(_row_key(F.col("doc_id"), F.col("text_md5")).alias(key)).distinct(), "gone")
     again = scratch(signed.groupBy(_row_key(F.col("doc_id"), F.col("text_md5")).alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "again")
     keyed = docs.withColumn(key, _row_key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))))
     kept = keyed.join(hint_small(gone, gone.count()), key, "left_anti")
