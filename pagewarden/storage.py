@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: Tables of the catalog that stand for bucketed files, by session.
+_named: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +41,11 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     if by:
         table = "pagewarden_" + label.replace("-", "_")
         df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+        if not _named:
+            atexit.register(_forget)
+        _named.append((spark, table))
         out = spark.table(table)
+        out._pagewarden_table = table
     else:
         df.write.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
@@ -48,10 +55,21 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def _forget() -> None:
+    """Take the names of bucketed tables out of catalogs that outlive the application."""
+    while _named:
+        spark, table = _named.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialized tables that nothing will read again."""
+    """Delete the files of materialized tables that nothing will read again, and the names of bucketed ones."""
     for df in tables:
         spark = df.sparkSession
+        if table := getattr(df, "_pagewarden_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _named.remove((spark, table))
         where = spark._jvm.org.apache.hadoop.fs.Path(df._pagewarden_path)
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
