@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, ogg, quality, simhash, spiece, urlfilter, warc
+from . import ann, chat, divergence, langid, mixing, ogg, quality, simhash, spiece, urlfilter, warc
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled table: the documents that labels lists, with their language as domain."""
     return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality, op2_url_filter, op3_ann_forest, op4_chat_format, op5_ogg_media, op6_sentencepiece, op7_warc_archive, op8_language_id, op9_simhash, op10_soft_mixing, pipeline]
+    found = [op1_quality, op2_url_filter, op3_ann_forest, op4_chat_format, op5_ogg_media, op6_sentencepiece, op7_warc_archive, op8_language_id, op9_simhash, op10_soft_mixing, op12_divergence, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -150,6 +154,37 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, arr
 FROM rows
 """
 
+_OP12 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all({_lower("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS whole FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.LEAST_DOCS}
+), counts AS (
+  SELECT lang, source, term, count(*) AS c FROM words GROUP BY lang, source, term
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.whole, count(*) OVER w AS v, sum(coalesce(c.c, 0)) OVER w AS n, sum(k.whole) OVER w AS n_lang
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  WINDOW w AS (PARTITION BY g.lang, g.source)
+), shares AS MATERIALIZED (
+  SELECT lang, source, term, c, 1 + {divergence.SCALE}::HUGEINT * (c + {divergence.ADD}) // (n + {divergence.ADD} * v) AS p,
+         1 + {divergence.SCALE}::HUGEINT * (whole + {divergence.ADD}) // (n_lang + {divergence.ADD} * v) AS q
+  FROM cells
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2, "op4_chat_format": _OP4, "op7_warc_archive": _OP7}
+    return {"op12_divergence": _OP12, "op2_url_filter": _OP2, "op4_chat_format": _OP4, "op7_warc_archive": _OP7}
