@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, divergence, langid, mixing, ogg, quality, simhash, spiece, urlfilter, warc
+from . import ann, chat, divergence, jaccard, langid, mixing, ogg, quality, simhash, spiece, urlfilter, warc
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled table: the documents that labels lists, with their language as domain."""
     return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality, op2_url_filter, op3_ann_forest, op4_chat_format, op5_ogg_media, op6_sentencepiece, op7_warc_archive, op8_language_id, op9_simhash, op10_soft_mixing, op12_divergence, pipeline]
+    found = [op1_quality, op2_url_filter, op3_ann_forest, op4_chat_format, op5_ogg_media, op6_sentencepiece, op7_warc_archive, op8_language_id, op9_simhash, op10_soft_mixing, op12_divergence, op13_jaccard_join, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -185,6 +189,25 @@ WITH docs AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
 """
 
+_OP13 = rf"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex({_lower("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                                  WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS s FROM docs
+), sizes AS MATERIALIZED (SELECT id, count(*) AS n FROM shingles GROUP BY id
+), common AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.id <> b.id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * c >= {jaccard.PERCENT} * (x.n + y.n - c)
+), reach(id, other) AS (
+  SELECT id, id FROM docs UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a
+), roots AS (
+  SELECT r.id, min(d.doc_id) AS component_id FROM reach r JOIN docs d ON d.id = r.other GROUP BY r.id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM docs d JOIN roots r ON r.id = d.id LEFT JOIN sizes s ON s.id = d.id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_divergence": _OP12, "op2_url_filter": _OP2, "op4_chat_format": _OP4, "op7_warc_archive": _OP7}
+    return {"op13_jaccard_join": _OP13, "op12_divergence": _OP12, "op2_url_filter": _OP2, "op4_chat_format": _OP4, "op7_warc_archive": _OP7}
