@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, divergence, jaccard, langid, mixing, ogg, quality, simhash, spiece, urlfilter, warc
+from . import ann, chat, collocations, divergence, jaccard, langid, mixing, ogg, quality, simhash, spiece, urlfilter, warc
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -90,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality, op2_url_filter, op3_ann_forest, op4_chat_format, op5_ogg_media, op6_sentencepiece, op7_warc_archive, op8_language_id, op9_simhash, op10_soft_mixing, op12_divergence, op13_jaccard_join, pipeline]
+    found = [op1_quality, op2_url_filter, op3_ann_forest, op4_chat_format, op5_ogg_media, op6_sentencepiece, op7_warc_archive, op8_language_id, op9_simhash, op10_soft_mixing, op11_collocations, op12_divergence, op13_jaccard_join, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -158,6 +162,35 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, arr
 FROM rows
 """
 
+_OP11 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS MATERIALIZED (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, range(1, {collocations.LONGEST + 1}) t(k) WHERE len(w) >= k
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {collocations.LEAST}
+), absorbed AS (
+  SELECT DISTINCT c.lang, c.phrase FROM f c JOIN f longer ON c.lang = longer.lang AND longer.k > c.k AND c.k >= 2
+    AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * longer.a >= {collocations.ABSORB} * c.a
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, array_to_string(string_split(c.phrase, ' ')[1:cut], ' ') AS head, array_to_string(string_split(c.phrase, ' ')[cut + 1:c.k], ' ') AS tail
+  FROM f c, range(1, {collocations.LONGEST}) t(cut) WHERE c.k >= 2 AND cut < c.k
+), scored AS (
+  SELECT c.*, l.a AS l, r.a AS r, t.n, CAST(1000::HUGEINT * c.a * t.n // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.tail JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS j FROM scored
+), ranked AS (
+  SELECT s.*, CAST(row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS INTEGER) AS rank
+  FROM lowest s ANTI JOIN absorbed x ON x.lang = s.lang AND x.phrase = s.phrase WHERE j = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {collocations.TOP}
+"""
+
 _OP12 = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
@@ -210,4 +243,4 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM docs d JOIN roo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_jaccard_join": _OP13, "op12_divergence": _OP12, "op2_url_filter": _OP2, "op4_chat_format": _OP4, "op7_warc_archive": _OP7}
+    return {"op11_collocations": _OP11, "op13_jaccard_join": _OP13, "op12_divergence": _OP12, "op2_url_filter": _OP2, "op4_chat_format": _OP4, "op7_warc_archive": _OP7}
