@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..storage import materialize
 
 TITLE = "(?s)<title>(.*?)</title>"
 H1 = "(?s)<h1>(.*?)</h1>"
@@ -30,8 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """site_id, page_ord (from 1, by page_id), page_id, url, final_url, title, h1_text, lang, status, html."""
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site_id, page_id, page_ord (from 1, by page_id): nothing else of a site meets in one task."""
+    p = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site_id"), "page_id")
+    return p.withColumn("page_ord", F.row_number().over(W.partitionBy("site_id").orderBy("page_id")))
+
+
+def crawl(spark: SparkSession, sf_dir: str, ordered: bool = True, html: bool = False) -> DataFrame:
+    """site_id, page_id, url, final_url, title, h1_text, lang, status; page_ord and html if they are asked for."""
     p = table(spark, sf_dir, "pages")
     site = U.host(F.col("url"))
     decoded = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
@@ -39,9 +46,9 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         site.alias("site_id"), "page_id", "url",
         F.when(F.col("page_id") % 7 == 3, U.strip_locale(F.col("url"))).otherwise(F.col("url")).alias("final_url"),
         decoded(F.regexp_extract("html", TITLE, 1)).alias("title"), decoded(F.regexp_extract("html", H1, 1)).alias("h1_text"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"),
-        F.when(F.col("page_id") % 23 == 5, 404).when(F.col("page_id") % 29 == 7, 503).otherwise(200).alias("status"), "html",
+        F.when(F.col("page_id") % 23 == 5, 404).when(F.col("page_id") % 29 == 7, 503).otherwise(200).alias("status"), *["html"] * html,
     )
-    return rows.withColumn("page_ord", F.row_number().over(W.partitionBy("site_id").orderBy("page_id")))
+    return rows.join(numbered(spark, sf_dir), ["site_id", "page_id"]) if ordered else rows
 
 
 CRAWL_SQL = f"""
@@ -61,21 +68,22 @@ crawl0 AS (
 )"""
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """site_id, page_id, url, k (from 0), href, text, rel, internal, target of each link of the crawl view.
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site_id, page_id, url, k (from 0), href, text, rel, internal, target of each link of the crawl view, written once.
 
     Every third link points at another page of its site, every seventh leaves the site, the others
     keep the address in the HTML.
     """
     href, text = F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), F.regexp_extract_all("html", F.lit(LINK), F.lit(2))
-    each = pages.select("site_id", "page_id", "page_ord", "url", F.posexplode(F.arrays_zip(href.alias("h"), text.alias("t"))).alias("k", "x"))
-    sizes = pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
-    each = each.join(sizes, "site_id").withColumn("to", (F.col("page_ord") + F.col("k")) % F.col("n") + 1)
-    other = pages.select("site_id", F.col("page_ord").alias("to"), F.col("url").alias("to_url"))
-    rows = each.join(other, ["site_id", "to"])
+    found = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site_id"), "page_id", "url", F.posexplode(F.arrays_zip(href.alias("h"), text.alias("t"))).alias("k", "x"))
+    order = materialize(numbered(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id"), "page-order")
+    sizes = order.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+    each = found.join(order.select("page_id", "page_ord"), "page_id").join(sizes, "site_id").withColumn("to", (F.col("page_ord") + F.col("k")) % F.col("n") + 1)
+    rows = each.join(order.select("site_id", F.col("page_ord").alias("to"), F.col("url").alias("to_url")), ["site_id", "to"])
     mix = (F.col("page_id") + F.col("k")) % 21
     target = F.when(mix % 3 == 0, F.col("to_url")).when(mix % 7 == 1, F.lit("https://elsewhere.example/")).otherwise(F.concat(U.origin(F.col("url")), F.col("x.h")))
-    return rows.select("site_id", "page_id", "url", "k", F.col("x.h").alias("href"), F.col("x.t").alias("text"), F.when(mix % 5 == 2, "nofollow").otherwise("").alias("rel"), ((mix % 3 == 0) | (mix % 7 != 1)).alias("internal"), target.alias("target"))
+    out = rows.select("site_id", "page_id", "url", "k", F.col("x.h").alias("href"), F.col("x.t").alias("text"), F.when(mix % 5 == 2, "nofollow").otherwise("").alias("rel"), ((mix % 3 == 0) | (mix % 7 != 1)).alias("internal"), target.alias("target"))
+    return materialize(out, "links")
 
 
 LINKS_SQL = f"""
@@ -112,7 +120,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AUDITS_SQL = """
-audits AS (
+audits AS MATERIALIZED (
   SELECT event_id AS audit_id, user_id AS site_id, 's' || CAST(user_id AS VARCHAR) || '.example.com/a' AS nurl, ts AS created_at,
          CASE WHEN event_id % 11 <> 0 THEN 13 + event_id // 4000 END AS engine_version, 6 + event_id % 17 AS pages_analyzed, 40 + (event_id * 7) % 61 AS overall, event_id % 37 = 0 AS render_failed
   FROM events
@@ -124,5 +132,5 @@ findings AS MATERIALIZED (
   FROM events, spec WHERE (event_id + k) % 9 <> 4
 )"""
 PREVIOUS_SQL = """
-moments AS (SELECT nurl, created_at, max(audit_id) AS last FROM audits GROUP BY nurl, created_at),
-previous AS (SELECT a.*, m.prev_id FROM audits a JOIN (SELECT nurl, created_at, lag(last) OVER (PARTITION BY nurl ORDER BY created_at) AS prev_id FROM moments) m ON a.nurl = m.nurl AND a.created_at = m.created_at)"""
+moments AS MATERIALIZED (SELECT nurl, created_at, max(audit_id) AS last FROM audits GROUP BY nurl, created_at),
+previous AS MATERIALIZED (SELECT a.*, m.prev_id FROM audits a JOIN (SELECT nurl, created_at, lag(last) OVER (PARTITION BY nurl ORDER BY created_at) AS prev_id FROM moments) m ON a.nurl = m.nurl AND a.created_at = m.created_at)"""

@@ -155,11 +155,15 @@ GRADES = f"{_with(FINDINGS_SQL, _SCORES, _SITES)} SELECT grade, count(*) AS audi
 PREVIOUS = f"{_with(AUDITS_SQL, PREVIOUS_SQL)} SELECT audit_id, prev_id FROM previous"
 LATEST = f"{_with(AUDITS_SQL)} SELECT audit_id, site_id, overall FROM (SELECT *, row_number() OVER (PARTITION BY nurl ORDER BY created_at DESC, audit_id DESC) AS r FROM audits) WHERE r = 1"
 HISTORY = f"{_with(AUDITS_SQL)} SELECT audit_id, overall, overall - lag(overall) OVER (PARTITION BY nurl ORDER BY created_at, audit_id) AS trend FROM audits"
-_DELTA = f"""pairs AS (
+_DELTA = f"""pairs AS MATERIALIZED (
   SELECT p.audit_id, p.prev_id, abs(p.pages_analyzed - o.pages_analyzed) > greatest(4.0, o.pages_analyzed * 0.2) AS moved, coalesce(p.engine_version, 0) <> coalesce(o.engine_version, 0) AS engine
   FROM previous p JOIN audits o ON o.audit_id = p.prev_id
+), each AS MATERIALIZED (
+  SELECT audit_id, id, max(f) AS f, max(t) AS t FROM (
+    SELECT audit_id, id, NULL AS f, status AS t FROM findings
+    UNION ALL SELECT p.audit_id, n.id, n.status, NULL FROM findings n JOIN pairs p ON p.prev_id = n.audit_id) GROUP BY audit_id, id
 ), joined AS (
-  SELECT p.*, n.id, b.status AS f, n.status AS t FROM pairs p JOIN findings n ON n.audit_id = p.audit_id LEFT JOIN findings b ON b.audit_id = p.prev_id AND b.id = n.id
+  SELECT p.*, e.id, e.f, e.t FROM each e JOIN pairs p ON p.audit_id = e.audit_id WHERE e.t IS NOT NULL
 ), judged AS (
   SELECT *, f IS NULL AND t IN ('fail', 'warn') AS fresh, (f IN ('fail', 'warn') AND t NOT IN ('fail', 'warn')) OR (f = 'fail' AND t = 'warn') AS better, (f NOT IN ('fail', 'warn') AND t IN ('fail', 'warn')) OR (f = 'warn' AND t = 'fail') AS worse FROM joined
 ), delta AS (
@@ -169,9 +173,11 @@ _DELTA = f"""pairs AS (
   FROM judged WHERE fresh OR coalesce(better OR worse, false)
 )"""
 DELTA = f"{_with(AUDITS_SQL, PREVIOUS_SQL, FINDINGS_SQL, _DELTA)} SELECT * FROM delta"
-CAT_DELTA = f"""{_with(AUDITS_SQL, PREVIOUS_SQL, FINDINGS_SQL, _SCORES)}, p AS (SELECT audit_id, prev_id FROM previous WHERE prev_id IS NOT NULL),
-n AS (SELECT p.audit_id, category, score FROM p JOIN cats USING (audit_id)), b AS (SELECT p.audit_id, category, score FROM p JOIN cats c ON c.audit_id = p.prev_id)
-SELECT audit_id, category, coalesce(n.score, 0) - coalesce(b.score, 0) AS delta FROM n FULL JOIN b USING (audit_id, category)"""
+CAT_DELTA = f"""{_with(AUDITS_SQL, PREVIOUS_SQL, FINDINGS_SQL, _SCORES)}, scores AS MATERIALIZED (SELECT * FROM cats),
+p AS MATERIALIZED (SELECT audit_id, prev_id FROM previous WHERE prev_id IS NOT NULL)
+SELECT audit_id, category, CAST(sum(score) AS INTEGER) AS delta FROM (
+  SELECT p.audit_id, c.category, c.score FROM scores c JOIN p ON p.audit_id = c.audit_id
+  UNION ALL SELECT p.audit_id, c.category, -c.score FROM scores c JOIN p ON p.prev_id = c.audit_id) GROUP BY audit_id, category"""
 ALERTS = f"""{_with(AUDITS_SQL, PREVIOUS_SQL, FINDINGS_SQL, _DELTA)}, c AS (SELECT audit_id, count(*) FILTER (change = 'regressed') AS regressed, count(*) FILTER (change = 'new') AS new FROM delta GROUP BY audit_id)
 SELECT * FROM (SELECT p.audit_id, o.overall AS prev_score, p.overall AS score, coalesce(regressed, 0) AS regressed, coalesce(new, 0) AS new FROM previous p JOIN audits o ON o.audit_id = p.prev_id LEFT JOIN c ON c.audit_id = p.audit_id)
 WHERE score < prev_score - 3 OR regressed + new > 0"""
@@ -197,12 +203,13 @@ TOPK = f"""{_with(FINDINGS_SQL)} SELECT audit_id, rank, id, effective FROM (SELE
 GUARD = f"""{_with(FINDINGS_SQL)}, named AS (SELECT event_id AS audit_id, rank, id FROM events, (VALUES (0, 'title-missing'), (1, 'made-up'), (2, 'og-tags'), (3, 'spa-shell'), (4, 'img-alt')) v(rank, id))
 SELECT audit_id, id, rank, fate, CASE WHEN fate = 'kept' THEN row_number() OVER (PARTITION BY audit_id, fate ORDER BY rank) END AS new_rank FROM (
   SELECT n.audit_id, n.id, n.rank, CASE WHEN f.status IS NULL THEN 'unknown' WHEN f.status IN ('fail', 'warn') THEN 'kept' ELSE 'non_issue' END AS fate FROM named n LEFT JOIN findings f ON f.audit_id = n.audit_id AND f.id = n.id)"""
-_PROF = "profile AS (SELECT audit_id, " + ", ".join(f"max(CASE WHEN id = '{i}' THEN status END) AS {n}" for n, i in PROFILE.items()) + " FROM findings GROUP BY audit_id)"
+_PROF = "profile AS MATERIALIZED (SELECT audit_id, " + ", ".join(f"max(CASE WHEN id = '{i}' THEN status END) AS {n}" for n, i in PROFILE.items()) + " FROM findings GROUP BY audit_id)"
 PROFILES = f"{_with(FINDINGS_SQL, _PROF)} SELECT * FROM profile"
 _RANK = "CASE {0} WHEN 'pass' THEN 0 WHEN 'info' THEN 1 WHEN 'warn' THEN 2 WHEN 'fail' THEN 3 END"
-VERDICTS = f"""{_with(FINDINGS_SQL, _PROF)}, long AS ({" UNION ALL ".join(f"SELECT audit_id, '{n}' AS flag, {n} AS status FROM profile" for n in PROFILE)})
-SELECT a.audit_id, a.flag, a.status AS ours, b.status AS theirs, CASE WHEN a.status IS NULL OR b.status IS NULL THEN '–' WHEN {_RANK.format("a.status")} < {_RANK.format("b.status")} THEN 'win' WHEN {_RANK.format("a.status")} > {_RANK.format("b.status")} THEN 'lose' ELSE 'tie' END AS verdict
-FROM long a JOIN long b ON b.audit_id = a.audit_id + 1 AND b.flag = a.flag"""
+VERDICTS = f"""{_with(FINDINGS_SQL, _PROF)}, long AS MATERIALIZED ({" UNION ALL ".join(f"SELECT audit_id, '{n}' AS flag, {n} AS status FROM profile" for n in PROFILE)}),
+faced AS (SELECT audit_id, flag, max(ours) AS ours, max(theirs) AS theirs FROM (
+  SELECT audit_id, flag, status AS ours, NULL AS theirs FROM long UNION ALL SELECT audit_id - 1, flag, NULL, status FROM long) GROUP BY audit_id, flag HAVING count(*) = 2)
+SELECT audit_id, flag, ours, theirs, CASE WHEN ours IS NULL OR theirs IS NULL THEN '–' WHEN {_RANK.format("ours")} < {_RANK.format("theirs")} THEN 'win' WHEN {_RANK.format("ours")} > {_RANK.format("theirs")} THEN 'lose' ELSE 'tie' END AS verdict FROM faced"""
 WATCH = """WITH last AS (SELECT user_id, max(ts) AS t, arg_max(event_type, ts) AS kind FROM events GROUP BY user_id)
 SELECT 'https://s' || user_id || '.example.com/' AS url, user_id % 3 + 1 AS interval_days, CASE WHEN user_id % 10 <> 0 THEN t END AS last_run FROM last
 WHERE kind <> 'error' AND (user_id % 10 = 0 OR epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(t) > (user_id % 3 + 1) * 86400000000)"""

@@ -37,7 +37,7 @@ ROBOTS = (
 
 
 def page_extract_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.crawl(spark, sf_dir)
+    c = C.crawl(spark, sf_dir, ordered=False, html=True)
     return c.select("page_id", "site_id", "title", "h1_text", "lang", "status", F.regexp_count("html", F.lit("<a href=")).cast("long").alias("links"), F.length("html").cast("long").alias("html_chars"), F.col("html").startswith("<!DOCTYPE html>").alias("doctype"))
 
 
@@ -60,7 +60,7 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.crawl(spark, sf_dir)
+    c = C.crawl(spark, sf_dir, ordered=False)
     t = F.col("title")
     px, n = T.text_px(t, 20), T.grapheme_count(t)
     return c.select("page_id", px.cast("long").alias("px"), n.cast("long").alias("graphemes"), F.when((px > T.TITLE_MAX_PX) | n.between(1, 14), "warn").otherwise("pass").alias("title_length"))
@@ -97,14 +97,14 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trailing_slash_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the crawl view with every third URL's copy that has, or lacks, the last slash."""
-    c = C.crawl(spark, sf_dir).where("status = 200").select("site_id", (F.col("page_id") * 2).alias("page_ord"), "url")
+    c = C.crawl(spark, sf_dir, ordered=False).where("status = 200").select("site_id", (F.col("page_id") * 2).alias("page_ord"), "url")
     key = F.concat(U.origin(F.col("url")), U.path(F.col("url")))
     more = c.where("page_ord % 3 = 0").select("site_id", (F.col("page_ord") + 1).alias("page_ord"), F.when(key.endswith("/"), F.regexp_replace(key, "/$", "")).otherwise(F.concat(key, F.lit("/"))).alias("url"))
     return K.trailing_slash_twins(c.union(more))
 
 
 def inlink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.inlinks(C.links(C.crawl(spark, sf_dir)))
+    return L.inlinks(C.links(spark, sf_dir))
 
 
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,20 +114,20 @@ def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def health_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.crawl(spark, sf_dir)
-    return L.health_orphans(c, C.links(c))
+    return L.health_orphans(c, C.links(spark, sf_dir))
 
 
 def broken_link_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.crawl(spark, sf_dir)
-    return L.uncrawled_targets(C.links(c).where("internal"), c)
+    return L.uncrawled_targets(C.links(spark, sf_dir).where("internal"), c)
 
 
 def anchor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.top_anchors(C.links(C.crawl(spark, sf_dir)))
+    return L.top_anchors(C.links(spark, sf_dir))
 
 
 def link_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.link_health(C.links(C.crawl(spark, sf_dir)))
+    return L.link_health(C.links(spark, sf_dir))
 
 
 def heading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,21 +148,21 @@ def final_url_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bot_access_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.crawl(spark, sf_dir)
+    c = C.crawl(spark, sf_dir, ordered=False)
     site = c.select("site_id").distinct().withColumn("robots_txt", F.element_at(F.array(*[F.lit(r) for r in ROBOTS]), F.length("site_id") % 5 + 1))
     paths = c.select("site_id", U.path(F.col("url")).alias("path")).union(site.select("site_id", F.lit("/")))
     return R.access(R.parse_robots(site), paths)
 
 
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.crawl(spark, sf_dir).select("site_id").distinct().withColumn("robots_txt", F.element_at(F.array(*[F.lit(r) for r in ROBOTS]), F.length("site_id") % 5 + 1))
+    c = C.crawl(spark, sf_dir, ordered=False).select("site_id").distinct().withColumn("robots_txt", F.element_at(F.array(*[F.lit(r) for r in ROBOTS]), F.length("site_id") % 5 + 1))
     return R.parse_robots(c).select("site_id", "group_ord", F.array_join("agents", ",").alias("agents"), "type", "path")
 
 
 def audit_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(pages, site): the crawl view parsed for the rules; pages are in the order of their ids."""
     # No number within the site: that would take all HTML of a site through one task.
-    raw = C.crawl(spark, sf_dir).select("site_id", F.col("page_id").alias("page_ord"), "url", "status", "html")
+    raw = C.crawl(spark, sf_dir, ordered=False, html=True).select("site_id", F.col("page_id").alias("page_ord"), "url", "status", "html")
     pages = materialize(conform(parse_pages(raw).withColumns({"is_html": F.lit(True), "blocked": F.lit(False), "headers": F.create_map().cast("map<string,string>"), "elapsed": F.lit(0)}), PAGE), "pages")
     first = raw.groupBy("site_id").agg(F.min_by("url", "page_ord").alias("start_url"))
     first = first.withColumns({"origin": U.origin(F.col("start_url")), "https": U.scheme(F.col("start_url")) == "https"})
@@ -344,7 +344,7 @@ WORDS = ("", "home", "contact-us", "faq", "our-team", "blog/first-post", "news",
 
 def site_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.element_at(F.array(*[F.lit(w) for w in ("shop", "solutions", "blog", "x")]), (F.length("site_id") % 4 + 1).cast("int"))
-    c = C.crawl(spark, sf_dir).withColumn("url", F.concat(U.origin(F.col("url")), F.lit("/"), word, F.col("page_id").cast("string")))
+    c = C.crawl(spark, sf_dir, ordered=False).withColumn("url", F.concat(U.origin(F.col("url")), F.lit("/"), word, F.col("page_id").cast("string")))
     kinds = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("k"), F.lit(i).alias("v")) for i, (n, _) in enumerate((*U.SITE_KINDS, ("corporate", "")))]))
     # The first kind in order that any page shows: a minimum, so that no site is gathered.
     each = c.withColumn("kind", U.site_kind(F.array("url"))).groupBy("site_id").agg(F.min_by("kind", F.element_at(kinds, F.col("kind"))).alias("kind"), F.count(F.lit(1)).alias("pages"))
