@@ -18,8 +18,9 @@ A document's set holds the hashes of its distinct shingles.  Two sets link if
    in a signature.  The number of subclasses follows from a band of set sizes, and a set is indexed in
    each band that a partner can be in.
 3. **Verification.**  The sets of a signature are first compared with one of them.  Those that are not in
-   one component then are compared with all: few of them as distinct pairs, many in tiles of a
-   signature's sets, where each set is sent once for a tile.  Every comparison is of whole sets.
+   one component then are compared with all: few of them as distinct pairs, many in tiles of the sets
+   of a signature, or of signatures that have sets in common, where each set is sent once for a tile.
+   Every comparison is of whole sets.
 
 Defined results: null text is an empty text; an empty text has no set and links with nothing; fewer
 words than a shingle's are one shingle, which equals no longer one.  Tokens are 48 bits of a hash of the
@@ -420,26 +421,55 @@ def star_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return verified(cells_of_pairs(pairs.withColumn("root_a", F.col("a")).withColumn("root_b", F.col("b"))), sets, percent)
 
 
+def with_main(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, id, root) with the size of its key, the key's largest component (main) and that one's size (most)."""
+    kinds = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("m"))
+    of = kinds.groupBy(key).agg(F.sum("m").alias("size"), F.max(F.struct("m", "root")).alias("main"))
+    return rows.join(of.select(key, "size", F.col("main.root").alias("main"), F.col("main.m").alias("most")), key)
+
+
+def tiles(n: F.Column) -> F.Column:
+    return F.ceil(n / F.lit(float(TILE)))
+
+
+def copies(size: F.Column, most: F.Column) -> F.Column:
+    """Rows that the cells of a key of so many sets take, of which ``most`` are in one component."""
+    return (size - most) * tiles(size) + size * tiles(size - most)
+
+
+def tiled(rows: DataFrame, key: str) -> DataFrame:
+    """Cells of rows(key, id, root, size, main, most): those outside of the main component ask, tile by tile, all of the key."""
+    tile = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), tiles(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    rest = F.col("size") - F.col("most")
+    asks = rows.where(F.col("root") != F.col("main")).select(key, tile(rest).alias("i"), F.explode(upto(tiles(F.col("size")))).alias("j"), "id", "root", F.lit(True).alias("asks"))
+    told = rows.where(rest > 0).select(key, F.explode(upto(tiles(rest))).alias("i"), tile(F.col("size")).alias("j"), "id", "root", F.lit(False).alias("asks"))
+    cells = asks.union(told).groupBy(key, "i", "j", "id", "root").agg(F.max("asks").alias("asks"))
+    return cells.select(F.xxhash64(F.lit(key), key, "i", "j").alias("cell"), "id", "root", "asks")
+
+
 def rest_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that meet in a signature of met(sig, id, n, root), not known yet."""
-    kinds = met.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = kinds.groupBy("sig").agg(F.sum("m").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("main")).where(F.col("roots") > 1)
-    open_ = scratch(met.join(main.select("sig", "size", F.col("main.root").alias("main"), F.col("main.m").alias("most")), "sig"), "open-signatures")
+    """Links between components that meet in a signature of met(sig, id, n, root), not known yet.
 
+    A set of a group of near copies meets the same sets in many large signatures.  Large signatures that
+    have sets in common are one group then, in which each set is sent once for a tile, unless that takes more rows
+    than tile by tile of each signature.
+    """
+    open_ = scratch(with_main(met, "sig").where(F.col("most") < F.col("size")), "open-signatures")
     few = open_.where(F.col("size") <= FEW)
     a, b = (few.select("sig", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
     pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & similar("n_a", "n_b", percent)).select("a", "b", "root_a", "root_b").distinct()
 
-    # many sets: those outside of the largest component ask, tile by tile, all of the signature
-    tiles = lambda n: F.ceil(n / F.lit(float(TILE)))
-    tile = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), tiles(n))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     many = open_.where(F.col("size") > FEW)
-    rest = F.col("size") - F.col("most")
-    asks = many.where(F.col("root") != F.col("main")).select("sig", tile(rest).alias("i"), F.explode(upto(tiles(F.col("size")))).alias("j"), "id", "root", F.lit(True).alias("asks"))
-    told = many.select("sig", F.explode(upto(tiles(rest))).alias("i"), tile(F.col("size")).alias("j"), "id", "root", F.lit(False).alias("asks"))
-    cells = asks.union(told).groupBy("sig", "i", "j", "id", "root").agg(F.max("asks").alias("asks")).select(F.xxhash64(F.lit("tiles"), "sig", "i", "j").alias("cell"), "id", "root", "asks")
-    return verified(cells_of_pairs(pairs).union(cells), sets, percent)
+    firsts = many.groupBy("sig", "size", "most").agg(F.min("id").alias("first"))
+    edges = many.join(firsts.select("sig", "first"), "sig").where(F.col("id") != F.col("first")).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    groups = components(edges).select(F.col("v").alias("id"), F.col("root").alias("group"))
+    grouped = scratch(with_main(many.select("id", "root").distinct().join(groups, "id"), "group"), "groups")
+    apart = firsts.join(groups.withColumnRenamed("id", "first"), "first").groupBy("group").agg(F.sum(copies(F.col("size"), F.col("most"))).alias("apart"))
+    together = grouped.select("group", copies(F.col("size"), F.col("most")).alias("rows")).distinct().join(apart, "group").where(F.col("rows") <= F.col("apart")).select("group")
+    alone = many.join(groups.join(together, "group", "left_anti").select("id"), "id", "left_semi")  # a signature's sets are of one group
+    cells = cells_of_pairs(pairs).union(tiled(grouped.join(together, "group"), "group")).union(tiled(alone, "sig"))
+    return verified(cells, sets, percent)
 
 
 # ---------------------------------------------------------------- the operator
