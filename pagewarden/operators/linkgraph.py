@@ -1,7 +1,9 @@
-"""The internal link graph: in-links, orphans, anchors, health, targets that were not crawled, breadth-first crawls."""
+"""The internal link graph: in-links, orphans, anchors, health, targets that were not crawled, crawls with a budget, redirects."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,25 +68,77 @@ def parameter_cap(urls: DataFrame, k: int = 3) -> DataFrame:
     return urls.withColumn("_k", F.row_number().over(w)).where(~has | (F.col("_k") <= k)).drop("_k")
 
 
-def bfs_crawl(start: DataFrame, links: DataFrame, budget: int, persist) -> DataFrame:
-    """(site_id, url, level) in the order of a crawl: levels by path depth, URLs in order, ``budget`` pages a site.
+def bfs_crawl(start: DataFrame, links: DataFrame, budget: int, persist, params: int | None = None) -> DataFrame:
+    """(site_id, url, depth, level) of the pages that a crawl takes, ``budget`` of each site at most.
+
+    start(site_id, url); links(site_id, url, target) is the known link table.  In every round a site
+    takes all URLs that it has found of the least path depth, in the order of URLs, and finds their
+    targets; of the URLs of a path with a query only the first ``params`` are found (None: all).
 
-    start(site_id, url); links(site_id, url, target) is the known link table.  ``persist`` writes a
-    table and reads it back (a checkpoint); the driver holds only the loop.
+    A round appends what it found and what it took; nothing is written again.  ``persist`` writes a
+    table and reads it back; the driver holds only the loop and one table for each round.
     """
-    seen = persist(start.select("site_id", "url").distinct())
-    done = persist(seen.limit(0).withColumn("level", F.lit(0)))
-    queue = seen
+    key = ["site_id", "url"]
+    links = links.where(F.col("target").isNotNull()).select("site_id", "url", "target").distinct()
+    found: list[DataFrame] = []
+    taken: list[DataFrame] = []
+    every = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    fresh = start.select(*key).distinct()
     while True:
-        level = queue.withColumn("depth", U.url_depth(F.col("url"))).withColumn("least", F.min("depth").over(W.partitionBy("site_id"))).where("depth = least")
-        used = done.groupBy("site_id").agg(F.count(F.lit(1)).alias("used"), F.max("level").alias("at"))
+        if params is not None:
+            fresh = _first_with_query(fresh, every(found) if found else None, params)
+        found.append(persist(fresh.withColumn("depth", U.url_depth(F.col("url")).cast("long"))))
+        open_ = every(found)
+        if taken:
+            used = every(taken).groupBy("site_id").agg(F.count(F.lit(1)).alias("used"))
+            open_ = open_.join(every(taken).select(*key), key, "left_anti").join(used, "site_id", "left").fillna(0, ["used"])
+        else:
+            open_ = open_.withColumn("used", F.lit(0).cast("long"))
+        least = open_.groupBy("site_id").agg(F.min("depth").alias("depth"))
         order = W.partitionBy("site_id").orderBy("url")
-        ranked = level.withColumn("k", F.row_number().over(order)).join(used, "site_id", "left").fillna(0, ["used", "at"])
-        taken = persist(ranked.where(F.col("k") + F.col("used") <= budget).select("site_id", "url", (F.col("at") + 1).alias("level")))
-        if taken.isEmpty():
-            return done
-        done = persist(done.union(taken))
-        found = links.join(taken.select("site_id", "url"), ["site_id", "url"], "left_semi").where(F.col("target").isNotNull()).select("site_id", F.col("target").alias("url")).distinct()
-        fresh = persist(found.join(seen, ["site_id", "url"], "left_anti"))
-        seen = persist(seen.union(fresh))
-        queue = persist(queue.join(taken, ["site_id", "url"], "left_anti").union(fresh))
+        ranked = open_.where(F.col("used") < budget).join(least, ["site_id", "depth"]).withColumn("k", F.row_number().over(order))
+        taken.append(persist(ranked.where(F.col("k") + F.col("used") <= budget).select("site_id", "url", "depth", F.lit(len(taken) + 1).alias("level"))))
+        if taken[-1].isEmpty():
+            return every(taken)
+        fresh = links.join(taken[-1].select(*key), key, "left_semi").select("site_id", F.col("target").alias("url")).distinct().join(every(found).select(*key), key, "left_anti")
+
+
+def _first_with_query(fresh: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
+    """fresh without the URLs with a query that come after k others of their path, of those found before and of these in order."""
+    path = F.concat(U.origin(F.col("url")), U.path(F.col("url")))
+    rows = fresh.withColumns({"path": path, "asks": U.search(F.col("url")) != ""})
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("site_id", "path", "asks").orderBy("url")))
+    if found is None:
+        return rows.where(~F.col("asks") | (F.col("k") <= k)).select("site_id", "url")
+    before = found.where(U.search(F.col("url")) != "").groupBy("site_id", path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(before, ["site_id", "path"], "left").where(~F.col("asks") | (F.col("k") + F.coalesce("n", F.lit(0)) <= k)).select("site_id", "url")
+
+
+def redirect_outcomes(hops: DataFrame, persist, most: int = 8) -> DataFrame:
+    """(url, hops, final_url, status, outcome) of every URL of hops(url, status, location), which has a row for each URL.
+
+    A URL moves if its status is 3xx and it has a location.  Pointers are doubled: after round k a URL
+    knows where 2^k moves lead, so a chain of n moves ends in log2(n) rounds.  A round in which no URL
+    reaches an end has left only cycles and what leads to them, as the last open URLs of a chain that
+    ends do reach it.  Ends are appended, only open URLs are joined again.
+
+    outcome: ``ok``; ``too_many`` (an end exists, beyond ``most`` moves); ``loop`` (no end);
+    ``no_location`` (a 3xx that leads nowhere); ``unknown`` (an address that was not asked).
+    """
+    moves = F.col("status").between(300, 399) & F.col("location").isNotNull()
+    ends = hops.where(~F.coalesce(moves, F.lit(False))).select(F.col("url").alias("end"), F.col("status").cast("int").alias("status"), F.when(F.col("status").between(300, 399), "no_location").otherwise("ok").alias("kind"))
+    moving = hops.where(moves).select("url", F.col("location").alias("end"))
+    first = persist(moving.join(moving.select(F.col("url").alias("end"), F.lit(True).alias("open")), "end", "left").select("url", F.lit(1).cast("long").alias("hops"), "end", F.coalesce("open", F.lit(False)).alias("open")))
+    done = [first.where("NOT open")]
+    left, before = first.where("open"), -1
+    while (n := left.count()) not in (0, before):
+        known = functools.reduce(DataFrame.unionByName, [*done, left])
+        on = known.select(F.col("url").alias("end"), F.col("hops").alias("more"), F.col("end").alias("next"), F.col("open").alias("still"))
+        jumped = persist(left.join(on, "end").select("url", (F.col("hops") + F.col("more")).alias("hops"), F.col("next").alias("end"), F.col("still").alias("open")))
+        done.append(jumped.where("NOT open"))
+        left, before = jumped.where("open"), n
+    loops = left.select("url", F.lit(None).cast("long").alias("hops"), F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("int").alias("status"), F.lit("loop").alias("outcome"))
+    at_end = hops.where(~F.coalesce(moves, F.lit(False))).select("url", F.lit(0).cast("long").alias("hops"), F.col("url").alias("end"))
+    ended = functools.reduce(DataFrame.unionByName, [at_end, *[d.drop("open") for d in done]]).join(ends, "end", "left")
+    outcome = F.when(F.col("hops") > most, "too_many").otherwise(F.coalesce("kind", F.lit("unknown")))
+    return ended.select("url", "hops", F.col("end").alias("final_url"), "status", outcome.alias("outcome")).unionByName(loops)

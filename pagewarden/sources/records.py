@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +37,33 @@ def sitemap_urls(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
     return first.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= SITEMAP_URLS).drop("_k", "at")
 
 
+def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, persist) -> DataFrame:
+    """(site_id, url, lastmod, depth) of all pages that the sitemaps of roots(site_id, url) lead to, each once.
+
+    sitemaps(url, xml) is what was fetched.  Indices are followed to any depth; what a site has opened is
+    not opened again, so an index that names itself or one above it ends.  A round appends what it opened
+    and what that lists; ``persist`` writes a table and reads it back.  ``sitemap_urls`` is the same within limits.
+    """
+    both = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    locs = F.transform(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1)), _unescaped)
+    docs = sitemaps.select("url", locs.alias("locs"), F.col("xml").rlike("(?i)<sitemapindex").alias("index"), F.col("xml").rlike("(?i)<lastmod>").alias("lastmod")).dropDuplicates(["url"])
+    opened, listed = [persist(roots.select("site_id", "url").distinct())], []
+    while not opened[-1].isEmpty():
+        each = opened[-1].join(docs, "url").select("site_id", "index", "lastmod", F.explode("locs").alias("url"))
+        listed.append(persist(each.withColumn("depth", F.lit(len(listed) + 1))))
+        new = listed[-1].where("index").select("site_id", "url").distinct()
+        opened.append(persist(new.join(both(opened), ["site_id", "url"], "left_anti")))
+    if not listed:
+        return opened[0].select("site_id", "url", F.lit(False).alias("lastmod"), F.lit(0).alias("depth"))
+    return both(listed).where("NOT index").groupBy("site_id", "url").agg(F.bool_or("lastmod").alias("lastmod"), F.min("depth").alias("depth"))
+
+
+def _unescaped(loc: F.Column) -> F.Column:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        loc = F.replace(loc, F.lit(name), F.lit(char))
+    return loc
+
+
 def llms_txt(text: F.Column) -> F.Column:
     """The file's first 5000 characters, or null if it is an HTML page in its place."""
     return F.when(~F.substring(F.trim(text), 1, 200).rlike(r"(?i)<!doctype|<html") & (F.trim(text) != ""), F.substring(text, 1, 5000))
@@ -83,3 +112,28 @@ def audit_tables(stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = stored.select(F.col("id").alias("audit_id"), F.posexplode("checks").alias("emit_ord", "c")).select("audit_id", "emit_ord", "c.id", "c.category", "c.severity", "c.status", "c.title", F.col("c.affectedCount").alias("affected_count"))
     k = stored.select(F.col("id").alias("audit_id"), F.explode("score.categoryScores").alias("category", "score"))
     return a, c, k
+
+
+def typed_documents(df: DataFrame, text: str, versions: dict[int, dict[str, tuple[str | None, str]]], key: str = "version", first: int = 1) -> DataFrame:
+    """df with version, the fields of its JSON documents by that version's paths, and fault, without the text.
+
+    ``versions`` names for each version every field's path (None: not in it) and type.  The text is
+    parsed once, to a variant.  A document without ``key`` has version ``first``.  fault is null, or
+    ``unreadable`` (no JSON object) or ``unknown_version``; the fields of such a row are null.  A value that does
+    not fit its type is null.
+    """
+    v = F.try_parse_json(text)
+    rows = df.withColumn("_v", v)
+    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    rows = rows.withColumn("version", F.when(is_object, F.coalesce(F.try_variant_get("_v", f"$.{key}", "int"), F.lit(first))))
+    fields = list(dict.fromkeys(f for paths in versions.values() for f in paths))
+    columns = {}
+    for f in fields:
+        out = F.lit(None)
+        for n, paths in versions.items():
+            path, kind = paths[f]
+            if path:
+                out = F.when(F.col("version") == n, F.try_variant_get("_v", path, kind)).otherwise(out)
+        columns[f] = out
+    fault = F.when(~is_object, "unreadable").when(~F.col("version").isin(*versions), "unknown_version")
+    return rows.withColumns({**columns, "fault": fault}).drop("_v", text)

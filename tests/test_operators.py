@@ -26,7 +26,7 @@ def test_crawl_order_and_budget(spark):
     df = spark.createDataFrame([("s", base + a, base + b if b else None) for a, b in links], "site_id string, url string, target string")
     start = spark.createDataFrame([("s", base + "/")], "site_id string, url string")
     persist = lambda d: materialize(d, "crawl")
-    out = L.bfs_crawl(start, df, 4, persist).collect()
+    out = L.bfs_crawl(start, df, 4, persist).select("level", "url").collect()
     # The root, then paths of one segment in order (also /d, found on the way), before deeper ones.
     assert sorted((r.level, r.url[len(base) :]) for r in out) == [(1, "/"), (2, "/c"), (2, "/z"), (3, "/d")]
     assert L.bfs_crawl(start, df, 99, persist).count() == 6
