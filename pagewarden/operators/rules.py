@@ -31,6 +31,7 @@ DEPRECATED_TOKENS = ("noodp", "noydir")
 UTILITY = r"(?i)/(login|signin|sign-in|logout|register|signup|sign-up|cart|checkout|basket|account|profile|dashboard|admin|wp-admin|wp-login|thank-?you|thanks|confirm(ation)?|search|results?|preview|print|staging|tag/|author/|filter|compare|wishlist|unsubscribe|404|error)"
 UTILITY_QUERY = r"(?i)[?&](page|year|sort|filter|q|s|tag|ref)="
 REPEAT_QUERY = r"(?i)[?&](page|p|start|offset|sort|filter|q|s|search|tag|year|ref)="
+# Link texts that say nothing, headings that ask, errors of a host that is not there, Open Graph fields, headers.
 GENERIC_ANCHOR = r"(?i)^(คลิกที่นี่|อ่านต่อ|ดูเพิ่มเติม|click here|read more|learn more|more|here)$"
 QUESTION = r"(?i)(\?|คืออะไร|คือ\s|ทำไม|อย่างไร|ยังไง|เท่าไหร่|ที่ไหน|เมื่อไหร่|^(what|how|why|when|where|who)\b)"
 DEAD_VARIANT = r"(?i)ENOTFOUND|getaddrinfo|ECONNREFUSED|ERR_TLS|CERT|SELF_SIGNED|UNABLE_TO_|DEPTH_ZERO|altname"
