@@ -5,7 +5,7 @@ becomes ``&amp;`` and ``<|`` becomes ``&lt;|``, so ``<|`` occurs in the output o
 template put it.  A role's line feed becomes ``&#10;``.
 
 Defined results: a null text or role is empty; rows of one conversation are ordered by turn, role
-and text (a null turn first), and repeated rows are repeated turns; rows with a null conv_id form
+and parts (a null turn first), and repeated rows are repeated turns; rows with a null conv_id form
 one conversation.  A conversation is one output value, so it has to fit in one record.
 """
 
@@ -43,6 +43,17 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in none.items()]))
 
 
+def made_parts(text: Column, turn: Column) -> Column:
+    """Typed parts made of a text: an image amid it, an audio before it, or a document behind it, by its length."""
+    t = F.coalesce(text, F.lit(""))
+    n, half = F.length(t), F.floor(F.length(t) / F.lit(2)).cast("int")
+    none = {"text": "string", "ref": "string", "width": "int", "height": "int", "millis": "bigint", "pages": "int"}
+    part = lambda kind, **has: F.struct(F.lit(kind).alias("kind"), *[has.get(c, F.lit(None)).cast(k).alias(c) for c, k in none.items()])
+    image = F.array(part("text", text=F.substring(t, F.lit(1), half)), part("image", ref=F.md5(t), width=n * 3, height=F.coalesce(turn, F.lit(0)) + 15), part("text", text=F.substring(t, half + 1, n)))
+    audio = F.array(part("audio", ref=F.md5(t), millis=n * 10), part("text", text=t))
+    return F.when(n % 3 == 0, image).when(n % 3 == 1, audio).otherwise(F.array(part("text", text=t), part("document", ref=F.md5(t), pages=n % 7)))
+
+
 def expanded_tokens(part: Column) -> Column:
     """Tokens that an attachment stands for: image patches, audio frames, document pages; 0 for text."""
     per = lambda c, n: F.ceil(F.coalesce(c, F.lit(0)) / F.lit(float(n)))
@@ -55,30 +66,26 @@ def expanded_tokens(part: Column) -> Column:
     )
 
 
-def visit_parts(df: DataFrame, parts: str = "parts") -> DataFrame:
-    """Add ``raw`` (the texts), ``content`` (escaped), ``attachments`` and ``expanded`` to rows with an array of parts.
+def visit(parts: Column) -> Column:
+    """The visitor: struct(content, attachments, expanded) of an array of parts, taken in order.
 
     A text part gives its escaped text; another kind gives ``<|kind:n|>``, n counting that message's
     attachments from 1 in order, and a reference (n, kind, ref, tokens).  Unknown kinds count as
     attachments of no tokens; a null array is an empty message, a null part an empty text.
     """
-    p = F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda x: F.when(x.isNull() | x["kind"].isNull(), F.struct(F.lit("text").alias("kind"), *[x[f].alias(f) for f in ("text", "ref", "width", "height", "millis", "pages")])).otherwise(x))
+    fields = ("text", "ref", "width", "height", "millis", "pages")
+    p = F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda x: F.when(x.isNull() | x["kind"].isNull(), F.struct(F.lit("text").alias("kind"), *[x[f].alias(f) for f in fields])).otherwise(x))
     media = F.filter(p, lambda x: x["kind"] != "text")
-    zero = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
-    raw = F.array_join(F.transform(p, lambda x: F.coalesce(x["text"], F.lit(""))), "")
     # A control string may come about where two texts meet.
     text = lambda s, x: F.when(s.endswith("<") & x.startswith("|"), F.concat(F.substring(s, F.lit(1), F.length(s) - 1), F.lit("&lt;"), escape(x))).otherwise(F.concat(s, escape(x)))
     kind = lambda x: F.regexp_replace(x["kind"], "[^A-Za-z0-9_]", "_")
     step = lambda a, x: F.when(x["kind"] == "text", F.struct(text(a["s"], F.coalesce(x["text"], F.lit(""))).alias("s"), a["n"].alias("n"))).otherwise(
         F.struct(F.concat(a["s"], F.lit("<|"), kind(x), F.lit(":"), (a["n"] + 1).cast("string"), F.lit("|>")).alias("s"), (a["n"] + 1).alias("n"))
     )
-    return df.withColumns(
-        {
-            "raw": raw,
-            "content": F.when(F.size(media) == 0, escape(raw)).otherwise(F.aggregate(p, zero, step)["s"]),
-            "attachments": F.transform(media, lambda x, i: F.struct((i + 1).alias("n"), x["kind"].alias("kind"), x["ref"].alias("ref"), expanded_tokens(x).alias("tokens"))),
-            "expanded": F.aggregate(media, F.lit(0).cast("long"), lambda a, x: a + expanded_tokens(x)),
-        }
+    return F.struct(
+        F.aggregate(p, F.struct(F.lit("").alias("s"), F.lit(0).alias("n")), step)["s"].alias("content"),
+        F.transform(media, lambda x, i: F.struct((i + 1).alias("n"), x["kind"].alias("kind"), x["ref"].alias("ref"), expanded_tokens(x).alias("tokens"))).alias("attachments"),
+        F.aggregate(media, F.lit(0).cast("long"), lambda a, x: a + expanded_tokens(x)).alias("expanded"),
     )
 
 
@@ -86,24 +93,21 @@ def format_chat(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, mask, attachments, expanded_tokens for messages(conv_id, turn, role, parts).
 
     ``mask`` holds the (start, length) in code points of each assistant content: the text under the loss.
+    Every turn goes through the visitor, once the turns of its conversation are in order.
     """
-    rows = visit_parts(messages).select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), "raw", "content", "attachments", "expanded")
-    # What has no attachment is escaped after the turns are in order, so that each text is shuffled once.
-    marked = F.when(F.size("attachments") > 0, F.col("content")).alias("marked")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "raw", marked, "attachments", "expanded")))
-    told = lambda t: F.struct(t["role"].alias("role"), F.coalesce(t["marked"], escape(t["raw"])).alias("content"), t["attachments"].alias("attachments"), t["expanded"].alias("expanded"))
-    one = rows.groupBy("conv_id").agg(turns.alias("turns")).withColumn("turns", F.transform("turns", told))
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), "parts")))
+    one = messages.groupBy("conv_id").agg(turns.alias("turns")).withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), visit(t["parts"]).alias("v"))))
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
-    full = lambda t: F.concat(head(t), t["content"], F.lit(END))
+    full = lambda t: F.concat(head(t), t["v"]["content"], F.lit(END))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask"))
-    span = lambda a, t: F.array(F.struct((a["at"] + F.length(head(t))).alias("start"), F.length(t["content"]).cast("long").alias("length")))
+    span = lambda a, t: F.array(F.struct((a["at"] + F.length(head(t))).alias("start"), F.length(t["v"]["content"]).cast("long").alias("length")))
     walk = lambda a, t: F.struct((a["at"] + F.length(full(t))).alias("at"), F.when(t["role"] == "assistant", F.concat(a["mask"], span(a, t))).otherwise(a["mask"]).alias("mask"))
     return one.select(
         "conv_id",
         F.array_join(F.transform("turns", full), "").alias("formatted"),
         F.aggregate("turns", begin, walk)["mask"].alias("mask"),
-        F.flatten(F.transform("turns", lambda t, i: F.transform(t["attachments"], lambda x: F.struct(i.alias("turn"), x["n"].alias("n"), x["kind"].alias("kind"), x["ref"].alias("ref"), x["tokens"].alias("tokens"))))).alias("attachments"),
-        F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["expanded"]).alias("expanded_tokens"),
+        F.flatten(F.transform("turns", lambda t, i: F.transform(t["v"]["attachments"], lambda x: F.struct(i.alias("turn"), x["n"].alias("n"), x["kind"].alias("kind"), x["ref"].alias("ref"), x["tokens"].alias("tokens"))))).alias("attachments"),
+        F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["v"]["expanded"]).alias("expanded_tokens"),
     )
 
 

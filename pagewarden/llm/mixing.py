@@ -8,6 +8,7 @@ step from 1, max(least, 1 + a . m), along multipliers m, one for each domain; Ne
 m.  A pass needs only sums over all documents, one small row, so the documents stay where they are
 and each has its rate from m alone.
 
+Targets of domains that were not learned are left out; if no wanted tokens are left, every rate is ``least``.
 Targets default to the domains' own shares raised to ``ALPHA`` (smoothing), the total to the corpus's
 own tokens; a target of 0 is a target.  With ``least`` 1, as in the pipeline, no document is lost: the
 total is then the least at which no domain has to shrink.  A document with rate r is taken floor(r)
@@ -15,7 +16,7 @@ times and once more with the rest as its probability, by a hash of its id.
 
 Defined results: a null or empty text has no tokens and rate 1; with no labelled rows there is one
 domain and every rate is 1; equal rows get equal rates; a null doc_id hashes like any value.  Targets
-that no rates meet are met as nearly as least squares can.
+that no rates meet are met as nearly as least squares can; a fit that has not settled gives its last rates.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .ngrams import fit_softmax, softmax, trigram_counts, unit
 #: Documented bound of the labelled sample that the classifier learns from.
 SAMPLE_ROWS = 4000
 ALPHA = 0.7
-#: Passes at most; ten to forty are needed.  A fit that has not settled by then fails.
-ROUNDS = 500
+#: Passes of the start at most (ten to forty are needed), and projected gradient steps after it.
+ROUNDS, STEPS = 500, 20
 #: Of each domain's own wanted tokens, to stop.
 TOLERANCE = 1e-6
 #: Of the ridge, in the largest eigenvalue of the Gram matrix.
@@ -84,9 +85,36 @@ def membership(docs: DataFrame, model, fitted: tuple | None = None) -> DataFrame
     return docs.withColumn("__mix", posteriors.asNondeterministic()(F.col("text")))
 
 
-def rates(a: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
-    """The rates of rows a: a gradient step from 1 along the multipliers, projected on what is allowed."""
-    return np.maximum(least, 1.0 + a @ np.array(m))
+def rates(a: np.ndarray, m: np.ndarray | None, least: float) -> np.ndarray:
+    """The rates of rows a: where they begin, and each projected gradient step after it.
+
+    m has a row for the start and for each step: one number for each domain, and the pull towards 1.
+    None: nothing is wanted, so that every rate is the least.
+    """
+    if m is None:
+        return np.full(len(a), float(least))
+    m = np.atleast_2d(m)
+    k = a.shape[1]
+    r = np.maximum(least, 1.0 + a @ m[0, :k])
+    for row in m[1:]:
+        r = np.maximum(least, r - a @ row[:k] - row[k] * (r - 1.0))
+    return r
+
+
+def gradient_sums(rows: DataFrame, m: np.ndarray, whole: float, least: float, k: int) -> np.ndarray:
+    """The tokens of each domain that the rates of rows(tokens, p) give, in units of ``whole``."""
+    small_batches(rows.sparkSession)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(k)
+        for batch in batches:
+            t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            a = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * t[:, None] / whole
+            out += a.T @ rates(a, m, least)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(out)], ["i", "x"])
+
+    found = dict(rows.select("tokens", "p").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x")).collect())
+    return np.array([found.get(i, 0.0) for i in range(k)])
 
 
 def newton_sums(rows: DataFrame, m: np.ndarray, whole: float, least: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -126,6 +154,8 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | N
     q /= whole**2
     share = now / whole
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains]) if targets else np.where(share > 0, share**alpha, 0.0)
+    if want.sum() <= 0:
+        return None, least, whole, want, now
     want = want / want.sum()
     if total is None:
         total = whole * (max(1.0, least * (share[want > 0] / want[want > 0]).max()) if least else 1.0)
@@ -142,19 +172,27 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | N
     m = np.linalg.solve(q + ridge, goal - share)
     value, g, curve = at(m)
     passes = 1
-    while (np.abs(g) > small).any():
+    while (np.abs(g) > small).any() and passes < ROUNDS:
         d, part = -np.linalg.solve(curve, g), 1.0
         while True:
-            if passes >= ROUNDS:
-                raise RuntimeError(f"mixing: rates have not settled after {ROUNDS} passes, residuals {g.tolist()}")
             passes += 1
             next_value, next_g, next_curve = at(m + part * d)
             # Near the end the value is too flat to tell; a smaller residual will do.
-            if next_value <= value + 1e-4 * part * (g @ d) or np.abs(next_g / small).max() < np.abs(g / small).max() / 2:
+            if next_value <= value + 1e-4 * part * (g @ d) or np.abs(next_g / small).max() < np.abs(g / small).max() / 2 or passes >= ROUNDS:
                 break
             part /= 2
         m, value, g, curve = m + part * d, next_value, next_g, next_curve
-    return m, least, whole, want, now
+
+    step = 1.0 / (top + RIDGE * top)
+    path = np.zeros((1, k + 1))
+    path[0, :k] = m
+    sums = gradient_sums(rows, path, whole, least, k)
+    for _ in range(STEPS):
+        path = np.vstack([path, [*(step * (sums - goal)), step * RIDGE * top]])
+        before, sums = sums, gradient_sums(rows, path, whole, least, k)
+        if (np.abs(sums - before) <= small).all():
+            break
+    return path, least, whole, want, now
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA, least: float = 0.0) -> tuple[DataFrame, list[str]]:

@@ -33,7 +33,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     forged = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(FORGED).alias("text"))
     rows = said.unionByName(forged).withColumn("parts", chat.text_parts(F.col("text")))
-    return chat.chat_digests(chat.format_chat(rows))
+    typed = chat.format_chat(rows.withColumn("parts", chat.made_parts(F.col("text"), F.col("turn"))))
+    told = typed.select(
+        F.col("conv_id").alias("typed_id"), F.size("attachments").cast("long").alias("attachments"), "expanded_tokens", F.sha2(F.array_join(F.transform("attachments", lambda x: F.concat_ws(":", x["turn"], x["n"], x["kind"], x["ref"], x["tokens"])), " "), 256).alias("refs_sha256"),
+        F.sha2("formatted", 256).alias("typed_sha256"),
+    )
+    return chat.chat_digests(chat.format_chat(rows)).join(told, F.col("conv_id").eqNullSafe(F.col("typed_id"))).drop("typed_id")
 
 
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,17 +139,28 @@ FROM named n LEFT JOIN fits f ON n.page_id = f.page_id AND f.k = 1 LEFT JOIN lis
 """
 
 _ESC = "replace(replace({0}, '&', '&amp;'), '<|', '&lt;|')"
+_ROLE = f"replace({_ESC.format('role')}, chr(10), '&#10;')"
 _OP4 = f"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{FORGED}' UNION ALL SELECT -1, 1, 'assistant', '{FORGED}'
+), typed AS (
+  SELECT *, length(text) AS n, substr(text, 1, CAST(length(text) // 2 AS INTEGER)) AS a, substr(text, CAST(length(text) // 2 + 1 AS INTEGER)) AS b,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k FROM said
+), parts AS (
+  SELECT *, CASE n % 3 WHEN 0 THEN {_ESC.format("a")} || '<|image:1|>' || {_ESC.format("b")} WHEN 1 THEN '<|audio:1|>' || {_ESC.format("text")} ELSE {_ESC.format("text")} || '<|document:1|>' END AS content,
+         CASE n % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'document' END AS kind,
+         CAST(CASE n % 3 WHEN 0 THEN ((n * 3 + {chat.PATCH - 1}) // {chat.PATCH}) * ((coalesce(turn, 0) + 15 + {chat.PATCH - 1}) // {chat.PATCH}) WHEN 1 THEN (n * 10 * {chat.AUDIO_TOKENS_PER_SECOND} + 999) // 1000 ELSE n % 7 * {chat.TOKENS_PER_PAGE} END AS BIGINT) AS tokens
+  FROM typed
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
-       CAST(sum(length('{chat.START}') + length(replace({_ESC.format("role")}, chr(10), '&#10;')) + 1 + length({_ESC.format("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
-FROM said GROUP BY conv_id
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+       CAST(sum(length('{chat.START}') + length({_ROLE}) + 1 + length({_ESC.format("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+       count(*) AS attachments, CAST(sum(tokens) AS BIGINT) AS expanded_tokens, sha256(string_agg(k || ':1:' || kind || ':' || md5(text) || ':' || tokens, ' ' ORDER BY k)) AS refs_sha256,
+       sha256(string_agg('{chat.START}' || {_ROLE} || chr(10) || content || '<|im_end|>' || chr(10), '' ORDER BY k)) AS typed_sha256
+FROM parts GROUP BY conv_id
 """
 
 _DIGITS = "list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha1(encode(coalesce(html, ''))), 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31 AS INTEGER), 1))"

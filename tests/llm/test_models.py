@@ -159,7 +159,7 @@ def test_quality_of_odd_rows(spark, docs_schema):
 def fitted(spark, p, t, domains, targets=None, **more):
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
     m, least, whole, want, now = mixing.fit_rates(rows, domains, targets, **more)
-    a = p * t[:, None] / whole
+    a = p * np.array(t)[:, None] / whole
     r = mixing.rates(a, m, least)
     assert (r >= least).all()
     return a, r, a.T @ r, want
@@ -199,6 +199,38 @@ def test_rates_meet_rare_targets(spark):
             assert np.abs(got / got.sum() / want - 1).max() < 1e-3  # of each domain's own target
 
 
+def test_targets_that_want_nothing(spark):
+    rng = np.random.default_rng(4)
+    p, t = rng.dirichlet([0.5, 0.5], 50), rng.integers(1, 9, 50)
+    for targets in ({"a": 0.0, "b": 0.0}, {"none": 1.0}, {"a": -1.0}):
+        for least in (0.0, 0.5):
+            _, r, _, _ = fitted(spark, np.vstack([p, [[1.0, 0.0]]]), [*t, 0], ["a", "b"], targets, least=least)
+            assert (r == least).all()
+    _, _, got, want = fitted(spark, p, t, ["a", "b"], {"a": 0.5, "b": 0.5, "none": 9.0})
+    assert np.allclose(want, 0.5) and np.abs(got - want).max() < 1e-4
+
+
+def test_steps_alone_go_down_and_end(spark, monkeypatch):
+    """Without the start, projected gradient steps are those of plain loops; a fit that has not settled gives its last rates."""
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    rng = np.random.default_rng(6)
+    p, t = rng.dirichlet([0.3, 0.3, 0.3], 300), rng.integers(1, 500, 300)
+    lost = []
+    for steps in (0, 5, 30):
+        monkeypatch.setattr(mixing, "STEPS", steps)
+        rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>")
+        m, least, whole, want, _ = mixing.fit_rates(rows, list("abc"), {"a": 0.9, "b": 0.05, "c": 0.05}, least=0.3)
+        a = p * t[:, None] / whole
+        r = np.maximum(least, 1 + a @ m[0, :3])
+        goal = want * (r.size and (np.maximum(1.0, 0.3 * (a.sum(axis=0) / want).max())))
+        q = np.linalg.eigvalsh(a.T @ a)[-1]
+        for _ in range(len(m) - 1):
+            r = np.maximum(least, r - (a @ (a.T @ r - goal) + mixing.RIDGE * q * (r - 1)) / (q * (1 + mixing.RIDGE)))
+        assert np.allclose(r, mixing.rates(a, m, least), atol=1e-9)
+        lost.append(((a.T @ r - goal) ** 2).sum())
+    assert lost[0] > lost[1] > lost[2]
+
+
 def test_mixing_keeps_every_document(spark, docs_schema):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = mixing.mixed(docs, labelled_domains(docs, labels))
