@@ -2,12 +2,13 @@
 
 Texts are cut into blocks (Arrow batches).  Every place of a word in a block has a number; pieces and
 documents are a number apart.  A list holds the places of one phrase in one block, so the lengths of its
-lists sum to the exact frequency of the phrase.  Words whose lists are long enough get an id.  Phrases of
+lists sum to the exact frequency of the phrase.  Words whose lists are long enough get a number.  Phrases of
 k words come from those of k - 1: a block merges its lists of phrases with the lists of the adjacent
 words, that is of the places one further on.  From the second step on, an adjacent word's list is taken
 from the phrases of k - 1 words that begin there and end in the word, as no other place of the word can
-end a frequent phrase.  The merged lists' lengths are summed over the blocks, the frequent phrases get
-ids, and their lists go to the next step.
+end a frequent phrase.  The block tells every range of the space of such pairs the lengths of its merged
+lists, in one packed row; the range sums them over the blocks, numbers the frequent ones and answers
+which of the block's lists these are.  Blocks are bucketed, so only pairs and answers move.
 
 A candidate's cuts need the frequencies of its first and last words, which are frequent phrases too: each
 phrase carries those of all its heads and tails, taken over from the two phrases that it was made of.
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, discard, join_spread, scratch, tidy
+from .jaccard import gaps, ungaps
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: A candidate inside a longer one goes if the longer one has at least this percentage of its frequency.
 ABSORB = 100
 #: Rows and bytes of a block.
 BLOCK_ROWS, BLOCK_BYTES = 65_536, 8 << 20
-#: Bytes of a row of two ids and a phrase's id in a broadcast.
-PAIR_BYTES = 80
+#: Places in blocks for each range of the space of pairs.
+RANGE_PLACES = 1 << 21
 
 #: A-Z become a-z, every mark that ends a piece a full stop, tab a space.
 _MARKS = bytes(c + 32 if 65 <= c <= 90 else 46 if chr(c) in ".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
@@ -98,8 +100,13 @@ def word_lists(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(split, "lang string, word string, block long, n long, gaps binary")
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("short", pa.binary()), ("two", pa.binary()), ("four", pa.binary())])
-BLOCK_SQL = "block long, ids binary, ends binary, short binary, two binary, four binary"
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("short", pa.binary()), ("two", pa.binary()), ("four", pa.binary()), ("places", pa.int64())])
+BLOCK_SQL = "block long, ids binary, ends binary, short binary, two binary, four binary, places long"
+
+
+def block_row(block: int, ids: np.ndarray, n: np.ndarray, short: np.ndarray, two: bytes, four: bytes) -> pa.RecordBatch:
+    row = {"block": block, "ids": ids.astype(np.int64).tobytes(), "ends": np.cumsum(n).astype(np.int64).tobytes(), "short": short.tobytes(), "two": two, "four": four, "places": int(n.sum())}
+    return pa.RecordBatch.from_pylist([row], BLOCK)
 
 
 def gathered(lists: DataFrame) -> DataFrame:
@@ -111,8 +118,7 @@ def gathered(lists: DataFrame) -> DataFrame:
         def row() -> pa.RecordBatch:
             n = np.concatenate(sizes)
             short = np.array([len(g) for g in gaps]) == 2 * n
-            parts = [b"".join(itertools.compress(gaps, pick)) for pick in (short, ~short)]
-            return pa.RecordBatch.from_pylist([{"block": now, "ids": np.concatenate(ids).tobytes(), "ends": np.cumsum(n).tobytes(), "short": short.tobytes(), "two": parts[0], "four": parts[1]}], BLOCK)
+            return block_row(now, np.concatenate(ids), n, short, *[b"".join(itertools.compress(gaps, pick)) for pick in (short, ~short)])
 
         for b in batches:
             blocks = b["block"].to_numpy()
@@ -154,42 +160,146 @@ def merged(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return ids, at[next_to], which[next_to], which[next_to + 1]
 
 
-def pair_counts(blocks: DataFrame) -> DataFrame:
-    """(pre, suf, n): how often a listed phrase is followed, one word on, by another."""
+class Space:
+    """Pairs of numbers below ``size`` as numbers of an even count of bits, dealt out evenly, without loss."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ODD = 0x9E3779B97F4A7C15
+
+    def __init__(self, size: int) -> None:
+        self.half = max(1, (size - 1).bit_length())
+        self.mask = np.uint64((1 << 2 * self.half) - 1)
+
+    def key(self, pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
+        x = (pre.astype(np.uint64) << np.uint64(self.half)) | suf.astype(np.uint64)
+        for _ in range(2):
+            x = (x * np.uint64(self.ODD)) & self.mask
+            x ^= x >> np.uint64(self.half)
+        return x
+
+    def pair(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        back = np.uint64(pow(self.ODD, -1, 1 << 64))
+        for _ in range(2):
+            x = x ^ (x >> np.uint64(self.half))
+            x = (x * back) & self.mask
+        return (x >> np.uint64(self.half)).astype(np.int64), (x & np.uint64((1 << self.half) - 1)).astype(np.int64)
+
+
+def least_bytes(n: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs."""
+    return n.astype(np.uint8 if n.max() < 1 << 8 else np.uint16 if n.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
+
+
+def range_sums(blocks: DataFrame, size: int, least: int) -> DataFrame:
+    """What the ranges of pairs say of blocks whose phrases are numbered below ``size``.
+
+    Rows without a block hold a range's frequent pairs (keys) and their frequencies (counts); the others
+    tell a block which of its pairs of a range, from number ``at`` on, are frequent (hits), and their
+    places among the range's frequent ones (ranks).
+    """
+    space, ranges = Space(size), 1
+    while ranges * RANGE_PLACES < (blocks.agg(F.sum("places")).first()[0] or 0) and ranges < 1 << 2 * space.half:
+        ranges *= 2
+    low = np.uint64(2 * space.half - ranges.bit_length() + 1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 ids, _, left, right = merged(row)
-                pairs, n = np.unique(left * len(ids) + right, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.array(n)], ["pre", "suf", "n"])
+                pairs, n = np.unique(space.key(ids[left], ids[right]), return_counts=True)
+                cut = np.r_[np.searchsorted(pairs, np.arange(ranges, dtype=np.uint64) << low), len(pairs)]
+                some = [(r, i, j) for r, (i, j) in enumerate(itertools.pairwise(cut.tolist())) if j > i]
+                cells = [[r for r, _, _ in some], [row["block"]] * len(some), [i for _, i, _ in some], [j - i for _, i, j in some], [gaps(pairs[i:j] - (np.uint64(r) << low)) for r, i, j in some], [least_bytes(n[i:j]) for _, i, j in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(),) * 4 + (pa.binary(),) * 2, strict=True)], ["range", "block", "at", "n", "keys", "times"])
+
+    names = ["range", "block", "at", "keys", "counts", "hits", "ranks"]
+    kinds = (pa.int64(),) * 3 + (pa.binary(),) * 4
+
+    def answer(r: int, rows: list[tuple]) -> pa.RecordBatch | None:
+        keys = [ungaps(x[3], x[2]) for x in rows]
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        every, times = every[order], np.concatenate([numbers(x[4], x[2]) for x in rows])[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        sums = np.add.reduceat(times, first)
+        often = sums >= least
+        known = every[first][often]
+        if not len(known):
+            return None
+        out = [(r, None, None, (known + (np.uint64(r) << low)).tobytes(), sums[often].astype(np.int64).tobytes(), None, None)]
+        for k, x in zip(keys, rows, strict=True):
+            rank = np.searchsorted(known, k)
+            hit = np.flatnonzero(known[np.minimum(rank, len(known) - 1)] == k)
+            if len(hit):
+                out.append((r, x[0], x[1], None, None, hit.astype(np.uint32).tobytes(), rank[hit].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+        for b in batches:
+            for r, *row in zip(*(b[c].to_pylist() for c in ("range", "block", "at", "n", "keys", "times")), strict=True):
+                if r != now and held:
+                    if out := answer(now, held):
+                        yield out
+                    held = []
+                now = r
+                held.append(tuple(row))
+        if held and (out := answer(now, held)):
+            yield out
         tidy()
 
-    return blocks.mapInArrow(count, "pre long, suf long, n long")
+    asked = blocks.mapInArrow(ask, "range long, block long, at long, n long, keys binary, times binary")
+    return asked.repartition("range").sortWithinPartitions("range").mapInArrow(count, "range long, block long, at long, keys binary, counts binary, hits binary, ranks binary")
+
+
+def frequent_pairs(said: DataFrame, size: int) -> DataFrame:
+    """(range, rank, pre, suf, a) of what range_sums says."""
+    space = Space(size)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r, keys, counts in zip(b["range"].to_pylist(), b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                pre, suf = space.pair(np.frombuffer(keys, np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pre), r)), pa.array(np.arange(len(pre))), pa.array(pre), pa.array(suf), pa.array(np.frombuffer(counts, np.int64))], ["range", "rank", "pre", "suf", "a"])
+
+    return said.where("block IS NULL").select("range", "keys", "counts").mapInArrow(rows, "range long, rank long, pre long, suf long, a long")
 
 
-def pair_lists(blocks: DataFrame) -> DataFrame:
-    """(block, pre, suf, n, gaps): the lists of those places."""
+def next_blocks(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Blocks of the lists of the frequent pairs: answers(block, at, offset, hits, ranks) tell which these are."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 ids, at, left, right = merged(row)
-                if not len(at):
-                    continue
-                key = left * len(ids) + right
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                ends = np.r_[np.flatnonzero(np.diff(key)) + 1, len(key)]
-                n, key = np.diff(np.r_[0, ends]), key[ends - 1]
-                short, two, four = packed(at[order], ends)
-                for pick, gaps in ((short, two), (~short, four)):
-                    m = int(pick.sum())
-                    if m:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row["block"])), pa.array(ids[key[pick] // len(ids)]), pa.array(ids[key[pick] % len(ids)]), pa.array(n[pick]), gaps], ["block", "pre", "suf", "n", "gaps"])
+                space = Space(row["size"])
+                pairs, place = np.unique(space.key(ids[left], ids[right]), return_inverse=True)
+                number = np.full(len(pairs), -1, np.int64)
+                for t in row["told"]:
+                    number[t["at"] + np.frombuffer(t["hits"], np.uint32).astype(np.int64)] = t["offset"] + np.frombuffer(t["ranks"], np.uint32).astype(np.int64)
+                own = number[place]
+                on = np.flatnonzero(own >= 0)
+                on = on[np.argsort(own[on], kind="stable")]
+                own = own[on]
+                ends = np.r_[np.flatnonzero(np.diff(own)) + 1, len(own)]
+                short, two, four = packed(at[on], ends)
+                order = np.r_[np.flatnonzero(short), np.flatnonzero(~short)]
+                n = np.diff(np.r_[0, ends])
+                yield block_row(row["block"], own[ends - 1][order], n[order], short[order], b"".join(two.to_pylist()), b"".join(four.to_pylist()))
         tidy()
 
-    return blocks.mapInArrow(emit, "block long, pre long, suf long, n long, gaps binary")
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("at", "hits", "ranks", "offset")).alias("told"), F.max("size").alias("size"))  # an entry for each range
+    return blocks.join(told, "block").mapInArrow(keep, BLOCK_SQL)
+
+
+def offsets(rows: DataFrame, key: str, n: F.Column) -> DataFrame:
+    """(key, offset): how many there are before each key, of a table of few rows (ranges or partitions)."""
+    sums = rows.groupBy(key).agg(F.sum(n).alias("n"))
+    return sums.select(key, (F.sum("n").over(Window.orderBy(key)) - F.col("n")).alias("offset"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -202,32 +312,38 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     told = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     with batches_of(spark, BLOCK_ROWS, BLOCK_BYTES):
         lists = scratch(word_lists(told), "word-lists")
-    counts = scratch(lists.groupBy("lang", "word").agg(F.sum("n").alias("a")).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "a"), "words")
+    counts = scratch(lists.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
     totals = counts.groupBy("lang").agg(F.sum("a").alias("total"))
     none, no = F.lit(None).cast("long"), F.array().cast("array<long>")
-    words = counts.where(F.col("a") >= least).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("pre"), none.alias("suf"), no.alias("heads"), no.alias("tails"))
+    raw = scratch(counts.where(F.col("a") >= least).select("lang", "word", "a", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("rank")), "frequent-words")
+    words = raw.join(offsets(raw, "part", F.lit(1)), "part").select((F.col("rank") + F.col("offset")).alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("pre"), none.alias("suf"), no.alias("heads"), no.alias("tails"))
     levels = [scratch(words, "phrases")]
-    known = join_spread(lists, levels[0].select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"], F.col("block"), levels[0].count())
+    size = levels[0].count()
+    known = join_spread(lists, levels[0].select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"], F.col("block"), size)
     with batches_of(spark, BLOCK_ROWS, BLOCK_BYTES):
-        blocks = scratch(gathered(known), "lists")
-        discard(lists)
+        blocks = scratch(gathered(known), "lists", "block")
+    discard(lists, raw)
+    with batches_of(spark, 64):
         for k in range(2, longest + 1):
-            found = scratch(pair_counts(blocks).groupBy("pre", "suf").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), "pairs")
-            rows = found.count()
+            said = scratch(range_sums(blocks, size, least), "ranges")
+            found = frequent_pairs(said, size)
+            before = offsets(said.where("block IS NULL"), "range", F.octet_length("counts") / 8).withColumn("offset", F.col("offset").cast("long"))
             a, b = (levels[-1].select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("lang", "phrase", "last", "a", "heads", "tails")]) for x in ("pre", "suf"))
-            whole = found.join(a, "pre").join(b, "suf").select(
-                "id", F.col("pre_lang").alias("lang"), F.concat_ws(" ", "pre_phrase", "suf_last").alias("phrase"), F.col("suf_last").alias("last"), "a", "pre", "suf",
+            whole = found.join(before, "range").join(a, "pre").join(b, "suf").select(
+                (F.col("rank") + F.col("offset")).alias("id"), F.col("pre_lang").alias("lang"), F.concat_ws(" ", "pre_phrase", "suf_last").alias("phrase"), F.col("suf_last").alias("last"), "a", "pre", "suf",
                 F.concat("pre_heads", F.array("pre_a")).alias("heads"), F.concat(F.array("suf_a"), "suf_tails").alias("tails"),
             )
             levels.append(scratch(whole, "phrases"))
+            rows = levels[-1].count()
             if k < longest and rows:
-                listed = join_spread(pair_lists(blocks), found.select("pre", "suf", "id"), ["pre", "suf"], F.col("block"), rows, row_bytes=PAIR_BYTES)
-                before, blocks = blocks, scratch(gathered(listed), "lists")
-                discard(before)
-            discard(found)
+                answers = said.where("block IS NOT NULL").join(before, "range").select("block", "at", "hits", "ranks", "offset", F.lit(size).alias("size"))
+                old, blocks = blocks, scratch(next_blocks(blocks, answers), "lists", "block")
+                discard(old)
+            discard(said)
+            size = rows
             if not rows:
                 break
-        discard(blocks)
+    discard(blocks)
     return levels, totals
 
 

@@ -71,3 +71,19 @@ def test_long_gaps_take_four_bytes():
 
 def test_no_documents(spark):
     assert mined(spark, []) == [] and mined(spark, [(None, None), ("...", "en")]) == []
+
+
+def test_pairs_are_numbers_and_back():
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 1000, 2**20 + 1, 2**32):
+        space = collocations.Space(size)
+        pre, suf = rng.integers(0, size, 2000), rng.integers(0, size, 2000)
+        keys = space.key(pre, suf)
+        assert (keys <= space.mask).all() and all((a == b).all() for a, b in zip(space.pair(keys), (pre, suf), strict=True))
+
+
+@pytest.mark.parametrize("span", [50, 700])
+def test_many_ranges(spark, monkeypatch, span):
+    monkeypatch.setattr(collocations, "RANGE_PLACES", span)
+    rows = texts(span)
+    assert mined(spark, rows, least=4) == slow_phrases(rows, 4, 5, 100, 2000)
