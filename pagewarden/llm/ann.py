@@ -34,11 +34,12 @@ K = 20
 TREES = 8
 #: Documented bound of the sample on which the trees are fitted.
 SAMPLE_ROWS = 20_000
-#: Vectors in a leaf, about.
-LEAF = 1024
-#: Vectors that a query looks at, about, counted in every tree: the larger of a number and a share of
-#: the index.  The share is what recall 0.9 takes on vectors without any structure; it is a parameter.
-SEARCH_ROWS, SEARCH_SHARE = 40_000, 0.9
+#: Vectors in a leaf, about: a share of the index between these.
+LEAST_LEAF, LEAF, LEAF_SHARE = 16, 1024, 1 / 64
+#: Of the nearest vectors of TUNE_QUERIES vectors of the sample, within it, how many the search has to
+#: find; this sets how many vectors a query looks at (a share of the index, counted in every tree).  In
+#: the whole index the nearest are nearer than in the sample, and found with fewer.
+RECALL, TUNE_QUERIES = 0.95, 64
 #: Of the product of two lengths: by how much a product of matrices can be off.
 _ROUNDING = 1e-12
 
@@ -109,6 +110,29 @@ def fit_forest(sample: np.ndarray, n: int, top: float, trees: int = TREES, leaf:
     return shell
 
 
+def leaf_size(n: int) -> int:
+    return int(min(LEAF, max(LEAST_LEAF, n * LEAF_SHARE)))
+
+
+def tuned_share(forest: Forest, sample: np.ndarray, n: int, k: int = K, recall: float = RECALL, queries: int = TUNE_QUERIES) -> float:
+    """The share of the n vectors that a query has to look at, by the sample: that many of its queries' nearest are in the leaves opened by then."""
+    if len(sample) < 3:
+        return float(len(forest.planes))
+    leaves, first = forest.leaves(sample), 2**forest.depth - 1
+    needed = []
+    for i in range(min(queries, len(sample))):
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        near = np.argpartition(-score, min(k, len(sample) - 2))[: min(k, len(sample) - 1)]
+        order = forest.search(sample[i], np.inf)
+        before = np.cumsum([0.0, *(forest.sizes[t, node - first] for t, node in order)])
+        opened = np.empty((len(forest.planes), first + 1))
+        for held, (t, node) in zip(before, order, strict=False):
+            opened[t, node - first] = held
+        needed += [opened[np.arange(len(opened)), leaves[j] - first].min() for j in near]
+    return (float(np.quantile(needed, recall)) + 1.0) / n
+
+
 def best_of(x: np.ndarray, y: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of y, row of x, exact product) of the m rows of x with the largest products, of equal ones the first, for each row of y.
 
@@ -148,8 +172,12 @@ def valid_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (usual[0]["d"] if usual else 0)).distinct()
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, least: int = SEARCH_ROWS, share: float = SEARCH_SHARE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best found for each of queries(id, v) among vectors(id, v), not counting itself."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaf: int | None = None, least: int = 0, share: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best found for each of queries(id, v) among vectors(id, v), not counting itself.
+
+    A query looks at ``least`` vectors or a ``share`` of them, whichever is more; without a share, at what
+    tuned_share says.
+    """
     spark = vectors.sparkSession
     small_batches(spark)
     same = W.partitionBy("v").orderBy("id")
@@ -161,8 +189,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
         return spark.createDataFrame([], schema)
     taken = classes.where(hash_unit(F.col("c"), F.lit("forest")) < min(1.0, SAMPLE_ROWS / n)).select("c", "v").collect()
     sample = np.array([r["v"] for r in sorted(taken)] or [classes.first()["v"]], np.float64)
+    leaf = leaf or leaf_size(n)
     forest = fit_forest(sample, n, top, trees, leaf)
-    enough = max(least, share * n)
+    enough = max(least, (tuned_share(forest, sample, n, k) if share is None else share) * n)
     shared = spark.sparkContext.broadcast(forest)  # trees x sample / 4 nodes at most
     # Where the sample allows no more leaves, a leaf is dealt over parts, so that no task's memory grows with the index.
     parts = max(1, int(np.ceil(n / 2**forest.depth / (4 * leaf))))

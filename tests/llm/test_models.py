@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagewarden.llm import ann, langid, mixing, ogg, quality, simhash
@@ -273,6 +274,28 @@ def test_neighbours_recall_and_scores(spark):
     assert ann.search(vectors.where("id < 0"), vectors).count() == 0
 
 
+@pytest.mark.parametrize("n, spread", [(500, None), (2000, None), (12000, None), (2000, 0.3), (12000, 0.3)])
+def test_recall_and_work_at_the_querys_own_parameters(n, spread):
+    """Vectors without structure, and around centres: the leaves of a query hold 0.9 of its nearest, and are not all leaves."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64)) if spread is None else rng.standard_normal((40, 64))[rng.integers(0, 40, n)] + spread * rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.fit_forest(x[:12000], n, 1.0, leaf=ann.leaf_size(n))
+    share, leaves = ann.tuned_share(forest, x, n), forest.leaves(x)
+    found, seen, opened = [], [], []
+    for i in range(n - 50, n):  # none of the queries that the share was set by
+        s = x @ x[i]
+        s[i] = -9
+        order = forest.search(x[i], share * n)
+        here = np.zeros(n, bool)
+        for t, node in order:
+            here |= leaves[:, t] == node
+        found.append(here[np.argsort(-s)[:20]].mean())
+        seen.append(here.mean())
+        opened.append(len(order) / (len(forest.planes) << forest.depth))
+    assert np.mean(found) >= 0.9 and np.mean(opened) < 0.3 and np.mean(seen) < (0.9 if spread is None else 0.35), (np.mean(found), np.mean(seen), np.mean(opened))
+
+
 def test_ties_in_a_leaf_go_to_the_smaller_id(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((700, 8))
