@@ -7,7 +7,8 @@ serial number, and derives timestamps from granule positions.
 
 Defined results: a null text is empty; a payload is padded with zero bytes to a positive multiple
 of 64; equal payloads give equal files.  ``read_ogg`` raises ValueError for a wrong checksum, a
-missing page, a page out of sequence or an unfinished packet.
+missing page, a page out of sequence or an unfinished packet, ``decode_payload`` also for a file without
+one of the two streams or without a packet in one.  A null file is read as null in every column.
 """
 
 from __future__ import annotations
@@ -130,6 +131,8 @@ def decode_payload(media: bytes) -> tuple[bytes, list[float]]:
     of that page end as many samples before as the later ones hold.
     """
     streams = read_ogg(media)
+    if len(streams.get(PCM, ())) < 2 or not streams.get(META):
+        raise ValueError("a stream of samples or its header text is missing")
     (_, *packets), meta = streams[PCM], streams[META]
     payload = b"".join(p for p, _ in packets)
     times, end, page = [0.0] * len(packets), 0, None
@@ -199,6 +202,9 @@ def decode_media(df: DataFrame) -> DataFrame:
         rows = []
         for f in files:
             media = f.as_py()
+            if media is None:
+                rows.append((None,) * 6)
+                continue
             payload, times = decode_payload(media)
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, times)))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

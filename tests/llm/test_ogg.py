@@ -64,3 +64,15 @@ def test_columns(spark):
     same = [r for r in out if r.doc_id == 3]
     assert same[0].media_sha256 == same[1].media_sha256 and same[0].feature == same[1].feature
     assert ogg.decode_media(ogg.encode_media(df.where(F.lit(False)))).count() == 0
+
+
+def test_null_files_and_missing_streams(spark):
+    df = spark.createDataFrame([(1, None), (2, bytearray(ogg.write_ogg(bytes(64))))], "doc_id long, media binary")
+    out = {r.doc_id: r for r in ogg.decode_media(df).collect()}
+    assert out[1].asDict() == {"doc_id": 1, "media": None, **dict.fromkeys(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))}
+    assert out[2].payload_bytes == 64
+    pcm, meta = ogg._Stream(ogg.PCM), ogg._Stream(ogg.META)
+    samples, texts = b"".join(pcm.pages([(b"head", 0), (b"x" * 64, 64)], True, True)), b"".join(meta.pages([(b"{}", 0)], True, True))
+    for media in (b"", samples, texts, b"".join(ogg._Stream(ogg.PCM).pages([(b"head", 0)], True, True)) + texts):
+        with pytest.raises(ValueError, match="missing"):
+            ogg.decode_payload(media)
