@@ -242,22 +242,18 @@ def trailing_slash_twins(rows: DataFrame) -> DataFrame:
     return p.withColumn("alt", alt).join(twins, ["site_id", "alt"]).where(F.col("twin") != F.col("url")).select("site_id", "page_ord", "url", "twin")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.85, first: int | None = 60) -> DataFrame:
-    """(site_id, a, b, url_a, url_b, similarity) of a site's first pages whose token sets are more alike than ``least``.
+def _token_rows(rows: DataFrame) -> DataFrame:
+    """site_id, page_ord, url, t (distinct words with their hashes, in the hashes' order) of the pages that are compared."""
+    c = rows.where((F.col("word_count") > 100) & ~F.coalesce("empty_root", F.lit(False)))
+    return c.select("site_id", "page_ord", "url", F.array_sort(F.transform(T.token_set(F.col("text_sample")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))).alias("t")).where(F.size("t") >= 30)
+
+
+def _alike(c: DataFrame, least: float) -> DataFrame:
+    """(site_id, a, b, url_a, url_b, similarity) of c(site_id, page_ord, url, t) whose words in t are more alike than ``least``.
 
-    Pairs come from a join on their rarer tokens: a pair over the bound shares one of the first
-    (1 - least) n + 1 tokens of each, in a fixed order.  With ``first`` None all pages are compared,
-    and the order is from the site's rarest token to its most frequent.
+    Pairs come from a join on the words that come first in t: a pair over the bound shares one of the
+    first (1 - least) n + 1 of each, in an order that is the same for a whole site.
     """
-    order = W.partitionBy("site_id").orderBy("page_ord")
-    c = rows.where((F.col("word_count") > 100) & ~F.coalesce("empty_root", F.lit(False)))
-    if first is not None:
-        c = c.withColumn("k", F.row_number().over(order)).where(F.col("k") <= first)
-    c = c.select("site_id", "page_ord", "url", F.array_sort(F.transform(T.token_set(F.col("text_sample")), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))).alias("t")).where(F.size("t") >= 30)
-    if first is None:
-        words = c.select("site_id", "page_ord", "url", F.explode("t").alias("x")).select("site_id", "page_ord", "url", "x.h", "x.w")
-        seen = words.groupBy("site_id", "w").agg(F.count(F.lit(1)).alias("n"))
-        c = words.join(seen, ["site_id", "w"]).groupBy("site_id", "page_ord", "url").agg(F.array_sort(F.collect_list(F.struct("n", "h", "w"))).alias("t"))
     prefix = F.slice("t", F.lit(1), F.floor(F.size("t") * (1 - least)).cast("int") + 1)
     keys = c.select("site_id", "page_ord", F.size("t").alias("size"), F.explode(F.transform(prefix, lambda x: x["w"])).alias("w"))
     fits = F.least("x.size", "y.size") > F.greatest("x.size", "y.size") * least
@@ -267,6 +263,28 @@ def near_duplicates(rows: DataFrame, least: float = 0.85, first: int | None = 60
     return both.withColumn("similarity", T.jaccard(F.col("t_a"), F.col("t_b"))).where(F.col("similarity") > least).drop("t_a", "t_b")
 
 
+def near_duplicates(rows: DataFrame, least: float = 0.85, first: int = 60) -> DataFrame:
+    """(site_id, a, b, url_a, url_b, similarity) of a site's ``first`` pages whose token sets are more alike than ``least``: the audit's rule."""
+    order = W.partitionBy("site_id").orderBy("page_ord")
+    return _alike(_token_rows(rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= first)), least)
+
+
+def near_duplicate_classes(rows: DataFrame, persist, least: float = 0.85) -> DataFrame:
+    """(site_id, a, b, similarity) of all pages of all sites: each page with the first of its class, and pairs of classes.
+
+    Pages with one set of words are a class, named by its first page, so copies take one row each.  Words are
+    ordered from the site's rarest to its most frequent, counted over its classes; what Spark joins by a word that every page
+    has is split at run time.  ``persist`` writes a table and reads it back.
+    """
+    pages = persist(_token_rows(rows).withColumn("key", F.sha2(F.array_join(F.transform("t", lambda x: x["w"]), " "), 256)))
+    classes = persist(pages.groupBy("site_id", "key").agg(F.min("page_ord").alias("page_ord")).join(pages.select("site_id", "page_ord", "url", "t"), ["site_id", "page_ord"]))
+    words = classes.select("site_id", "page_ord", "url", F.explode("t").alias("x")).select("site_id", "page_ord", "url", "x.h", "x.w")
+    seen = words.groupBy("site_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    ordered = persist(words.join(seen, ["site_id", "w"]).groupBy("site_id", "page_ord", "url").agg(F.array_sort(F.collect_list(F.struct("n", "h", "w"))).alias("t")))
+    copies = pages.select("site_id", "key", F.col("page_ord").alias("b")).join(classes.select("site_id", "key", F.col("page_ord").alias("a")), ["site_id", "key"]).where(F.col("a") != F.col("b"))
+    return copies.select("site_id", "a", "b", F.lit(1.0).alias("similarity")).unionByName(_alike(ordered, least).select("site_id", "a", "b", "similarity"))
+
+
 def page_links(rows: DataFrame) -> DataFrame:
     """(site_id, page_ord, url, target, text, rel) of each link, its target resolved; null if it is no http(s) URL."""
     each = rows.select("site_id", "page_ord", "url", F.coalesce("final_url", "url").alias("base"), F.explode("links").alias("link"))

@@ -68,10 +68,12 @@ DUP_TITLES = _crawl(f"""SELECT site_id, language, key, count(*) AS n, arg_min(ti
 DUP_DOCS = f"""SELECT lang, md5(key) AS key, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc
   FROM (SELECT lang, doc_id, {NORM.format("text").replace("nfc_normalize(text)", "text")} AS key FROM documents) GROUP BY lang, key HAVING count(*) > 1"""
 
-NEAR_DOCS = """WITH every AS (SELECT source, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)) AS t FROM documents),
-pairs AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.t, y.t)) AS common, len(x.t) + len(y.t) AS total FROM every x JOIN every y ON x.source = y.source AND x.doc_id < y.doc_id
-  WHERE len(x.t) >= 30 AND len(y.t) >= 30 AND len(x.t) > len(y.t) * 0.85 AND len(y.t) > len(x.t) * 0.85)
-SELECT source, a, b, round(common / (total - common), 6) AS similarity FROM pairs WHERE common / (total - common) > 0.85"""
+NEAR_DOCS = """WITH every AS MATERIALIZED (SELECT source, doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3))) AS t FROM documents),
+named AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY source, t) AS rep FROM every WHERE len(t) >= 30),
+pairs AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.t, y.t)) AS common, len(x.t) + len(y.t) AS total FROM named x JOIN named y ON x.source = y.source AND x.doc_id < y.doc_id
+  WHERE x.rep = x.doc_id AND y.rep = y.doc_id AND len(x.t) > len(y.t) * 0.85 AND len(y.t) > len(x.t) * 0.85)
+SELECT source, a, b, round(common / (total - common), 6) AS similarity FROM pairs WHERE common / (total - common) > 0.85
+UNION ALL SELECT source, rep, doc_id, 1.0 FROM named WHERE rep <> doc_id"""
 
 TWINS = f"""{_with(CRAWL_SQL)}, base AS (
   SELECT site_id, page_id * 2 AS page_ord, url, scheme || '://' || site_id || path AS key FROM crawl WHERE status = 200

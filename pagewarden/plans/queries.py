@@ -88,10 +88,10 @@ def dup_docs_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all documents of each source: token sets of the whole texts that are more than 85 % alike."""
+    """Of all documents of each source: token sets of the whole texts that are more than 85 % alike, by classes of equal sets."""
     d = C.table(spark, sf_dir, "documents")
     rows = d.select(F.col("source").alias("site_id"), F.col("doc_id").alias("page_ord"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("text_sample"), F.lit(999).alias("word_count"), F.lit(False).alias("empty_root"))
-    p = K.near_duplicates(rows, first=None)
+    p = K.near_duplicate_classes(rows, lambda df: materialize(df, "words"))
     return p.select(F.col("site_id").alias("source"), "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
