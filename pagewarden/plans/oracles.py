@@ -8,7 +8,7 @@ from ..operators.confidence import DETERMINISTIC, DIMENSION, JUDGED, RULE
 from ..operators.fixes import FIX_FOR_CHECK
 from ..operators.robots import AI_BOTS
 from ..operators.scoring import CATEGORY
-from . import repairs, reports
+from . import pieces, repairs, reports
 from .crawl import AUDITS_SQL, CRAWL_SQL, FINDINGS_SQL, LINKS_SQL, PREVIOUS_SQL
 from .made import EXTRACT_SQL, FLAGS_SQL, HEADINGS_SQL, INPUTS_SQL, ORPHANS_SQL, checks_sql
 from .queries import PROFILE, SQL_CHECKS, WORDS
@@ -250,7 +250,7 @@ NEEDS = f"WITH judged AS ({CONFIDENCE}) SELECT id, count(*) AS n FROM judged WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | repairs.SQL | reports.board_sql(_VERIFY, _METRICS) | {
+    return reports.SQL | repairs.SQL | pieces.SQL | reports.board_sql(_VERIFY, _METRICS) | {
         "needs_verify": NEEDS,
         "page_extract_basic": PAGE_BASIC, "url_functions": URLS, "url_normalize": NORMALIZED, "text_widths": WIDTHS, "title_h1_similarity": SIMILARITY, "title_duplicate_groups": DUP_TITLES, "dup_docs_by_lang": DUP_DOCS, "near_duplicate_pairs": NEAR_DOCS,
         "trailing_slash_twins": TWINS, "inlink_counts": INLINKS, "orphan_pages": ORPHANS_SQL, "health_orphans": HEALTH_ORPHANS, "broken_link_sample": BROKEN, "anchor_topk": ANCHORS, "link_health": HEALTH, "heading_order": HEADINGS_SQL, "parameter_cap": PARAMS,

@@ -23,7 +23,7 @@ from ..sources.html_page import parse_pages
 from ..storage import materialize
 from . import crawl as C
 from . import made as M
-from . import repairs, reports
+from . import pieces, repairs, reports
 
 AS_OF = datetime.date(2026, 1, 1)
 #: robots.txt of the site, by the length of its host modulo 5.
@@ -376,4 +376,4 @@ def queries() -> dict:
         category_delta, score_drop_alerts, cross_check, confusion_matrix, label_confusion, work_items, effective_rank_topk, guardrail_partition, flag_profile, flag_verdicts, watch_due, serp_rank, usd_costs,
         page_issues, needed_fixes, page_types, site_kinds, breadcrumbs, origin_variants, sitemap_fix, check_confidence,
     ]
-    return {f.__name__: f for f in (*found, *reports.QUERIES, *repairs.QUERIES)}
+    return {f.__name__: f for f in (*found, *reports.QUERIES, *repairs.QUERIES, *pieces.QUERIES)}

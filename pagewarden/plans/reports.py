@@ -207,15 +207,17 @@ SELECT 'https://r.example/' || n AS url, CASE WHEN n % 11 = 0 THEN NULL WHEN n %
 
 
 def check_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field and effort of every check that has a standard."""
-    rows = spark.createDataFrame([(k, len(k)) for k in B.STANDARDS], "id string, n int")
-    return rows.select("id", V.focus(F.col("id")).alias("focus"), V.page_effort(F.col("id"), F.when(F.col("id").contains("spa"), "rendering").otherwise("onpage"), F.col("n") * 4 - 40).alias("minutes"))
+    """Field and effort of every finding of the audit view, with up to forty affected pages."""
+    f = C.findings(spark, sf_dir)
+    category = F.when(F.col("id").contains("spa"), "rendering").otherwise(F.col("category"))
+    return f.select("audit_id", "id", V.focus(F.col("id")).alias("focus"), V.page_effort(F.col("id"), category, (F.col("audit_id") * 7 + F.col("emit_ord")) % 41).alias("minutes"))
 
 
-CHECK_FOCUS = f"""SELECT id, CASE WHEN starts_with(id, 'title') THEN 'title' WHEN starts_with(id, 'h1') OR starts_with(id, 'heading') OR id = 'empty-headings' THEN 'h1' WHEN contains(id, 'desc') THEN 'desc' WHEN contains(id, 'canonical') THEN 'canonical'
+CHECK_FOCUS = f"""WITH {FINDINGS_SQL.strip()}, a AS (SELECT *, (audit_id * 7 + emit_ord) % 41 AS n FROM findings)
+SELECT audit_id, id, CASE WHEN starts_with(id, 'title') THEN 'title' WHEN starts_with(id, 'h1') OR starts_with(id, 'heading') OR id = 'empty-headings' THEN 'h1' WHEN contains(id, 'desc') THEN 'desc' WHEN contains(id, 'canonical') THEN 'canonical'
   WHEN contains(id, 'noindex') OR contains(id, 'robots') THEN 'robots' WHEN starts_with(id, 'img') OR contains(id, 'image') THEN 'images' WHEN contains(id, 'schema') OR contains(id, 'jsonld') THEN 'schema' WHEN id IN ('content-thin', 'text-ratio') THEN 'content' WHEN contains(id, 'lang') THEN 'lang' ELSE '' END AS focus,
-  CASE WHEN id IN ('h1-missing', 'title-missing', 'title-duplicate', 'desc-missing', 'desc-duplicate', 'canonical-missing', 'image-alt') THEN CAST(greatest(15, floor(CASE WHEN length(id) * 4 - 40 > 0 THEN length(id) * 4 - 40 ELSE 1 END * 1.5 + 0.5)) AS INTEGER) WHEN contains(id, 'spa') THEN 1440 ELSE 30 END AS minutes
-FROM (VALUES {", ".join(f"('{k}')" for k in B.STANDARDS)}) v(id)"""
+  CASE WHEN id IN ('h1-missing', 'title-missing', 'title-duplicate', 'desc-missing', 'desc-duplicate', 'canonical-missing', 'image-alt') THEN CAST(greatest(15, floor(greatest(n, 1) * 1.5 + 0.5)) AS INTEGER) WHEN contains(id, 'spa') OR category = 'rendering' THEN 1440 ELSE 30 END AS minutes
+FROM a"""
 
 
 # ---------------------------------------------------------------- pages of the made-up crawl
