@@ -249,6 +249,37 @@ def test_mixing_keeps_every_document(spark, docs_schema):
     assert mixing.mixed(odd.limit(0), empty).count() == 0
 
 
+def test_the_language_query_against_plain_loops(spark):
+    """Every document's prediction again, trigram by trigram and bit by bit, with the weights that were learned."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    bits = model.w.shape[1].bit_length() - 1
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        raw = (r.text or "").lower().encode()
+        kept = [32, *(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in raw), 32]
+        counts = {}
+        for a, b, c in zip(kept, kept[1:], kept[2:]):
+            if (a, b, c) != (32, 32, 32):
+                h = (a * 65599 * 65599 + b * 65599 + c) * 2654435761 % 2**32 >> (32 - bits)
+                counts[h] = counts.get(h, 0) + 1
+        space = (32 * 65599 * 65599 + 32 * 65599 + 32) * 2654435761 % 2**32 >> (32 - bits)
+        counts.pop(space, None)
+        n = sum(counts.values())
+        margins = [bias + sum(math.sqrt(k / n) * w[h] for h, k in counts.items()) for w, bias in zip(model.w, model.b, strict=True)]
+        loss = [sum(t * math.log1p(math.exp(-c * m)) for c, m, t in zip(code, margins, trust, strict=True)) for code, trust in zip(model.codes.tolist(), model.trust.tolist(), strict=True)]
+        low = min(loss)
+        p = [math.exp(low - x) for x in loss]
+        best = min(range(len(p)), key=lambda i: (loss[i], i))
+        letters = any(map(str.isalpha, r.text or ""))
+        want[r.doc_id] = (model.langs[best], p[best] / sum(p)) if letters else ("und", 0.0)
+    got = {r.doc_id: r for r in op8_language_id(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, (lang, score) in want.items():
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-6 and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
 def test_neighbours_recall_and_scores(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((30, 16))
