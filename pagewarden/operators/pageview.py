@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -156,3 +157,18 @@ def page_effort(id_: Column, category: Column, affected: Column) -> Column:
     """Minutes of work: by pages where there is code to copy, three days for rendering, else half an hour."""
     pages = F.when(F.coalesce(affected, F.lit(0)) > 0, affected).otherwise(1)
     return F.when(id_.isin(*PER_PAGE), F.greatest(F.lit(15), js_round(pages * 1.5))).when(category == "rendering", 3 * 8 * 60).otherwise(30).cast("int")
+
+
+def site_socials(pages: DataFrame, most: int = 10) -> DataFrame:
+    """(site_id, rank, url) of pages(site_id, page_ord, url, final_url, socials): a site's profiles, the first on each host, ``most`` of them.
+
+    The first page whose path is a root comes first, then all pages in their order; a page's profiles in its own.
+    """
+    root = U.path(F.coalesce("final_url", "url")) == "/"
+    home = pages.where(root).groupBy("site_id").agg(F.min("page_ord").alias("home"))
+    each = pages.select("site_id", "page_ord", F.posexplode("socials").alias("at", "profile")).join(home, "site_id", "left")
+    place = F.struct((~F.coalesce(F.col("page_ord") == F.col("home"), F.lit(False))).alias("later"), "page_ord", "at", F.col("profile").alias("url"))
+    host = F.regexp_replace(U.host(F.col("profile")), r"^www\.", "")
+    first = each.where(host != "").groupBy("site_id", host.alias("host")).agg(F.min(place).alias("p"))
+    order = W.partitionBy("site_id").orderBy("p")
+    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("site_id", "rank", "p.url")

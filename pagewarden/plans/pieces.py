@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import formats as X
 from ..functions import urls as U
 from ..operators.glossary import annotate_terms
+from ..operators.pageview import site_socials
 from ..operators.schema import schema_blocks, validated
-from ..sources.html_page import decode_column
+from ..sources.html_page import decode_column, parse_pages
 from ..sources.places import LOCATORS, element_places
 from ..sources.records import lighthouse, pagespeed
 from . import crawl as C
@@ -94,6 +95,27 @@ def glossary_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["term"], t["first"], t["n"])), "|").alias("terms"), F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
+# ---------------------------------------------------------------- profiles of a site
+
+#: Hosts of the profiles that pages are given; the last is none.
+HOSTS = ("www.facebook.com", "x.com", "linkedin.com", "www.tiktok.com", "news.example")
+
+
+def social_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all pages with two links to profiles each; every thirteenth page is its site's root."""
+    i, hosts = F.col("page_id"), F.array(*[F.lit(h) for h in HOSTS])
+    link = lambda k: F.concat(F.lit('<a href="https://'), F.element_at(hosts, ((i * 3 + k * (i % 4 + 1)) % len(HOSTS) + 1).cast("int")), F.lit("/page"), (i % 9).cast("string"), F.lit('">p</a>'))
+    html = F.replace("html", F.lit("<nav>"), F.concat(F.lit("<nav>"), link(0), link(1)))
+    p = C.table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site_id"), i.alias("page_ord"), F.when(i % 13 == 7, F.concat(U.origin(F.col("url")), F.lit("/"))).otherwise(F.col("url")).alias("url"), html.alias("html"))
+    return site_socials(parse_pages(p).withColumn("final_url", F.lit(None).cast("string")), 3)
+
+
+SOCIALS = f"""WITH {CRAWL_SQL.strip()}, p AS (SELECT site_id, page_id AS i, page_id % 13 = 7 OR path = '/' AS root FROM crawl), home AS (SELECT site_id, min(i) AS home FROM p WHERE root GROUP BY site_id),
+l AS (SELECT p.site_id, i, k, coalesce(i <> home, true) AS later, regexp_replace([{", ".join(f"'{h}'" for h in HOSTS)}][CAST((i * 3 + k * (i % 4 + 1)) % {len(HOSTS)} + 1 AS INTEGER)], '^www[.]', '') AS host FROM p LEFT JOIN home h ON h.site_id = p.site_id, range(2) t(k)),
+first AS (SELECT *, row_number() OVER (PARTITION BY site_id, host ORDER BY later, i, k) AS r FROM l WHERE host <> 'news.example')
+SELECT * FROM (SELECT site_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY later, i, k) AS INTEGER) AS rank, 'https://' || host || '/page' || i % 9 AS url FROM first WHERE r = 1) WHERE rank <= 3"""
+
+
 # ---------------------------------------------------------------- inputs of other tools
 
 
@@ -139,5 +161,5 @@ def search_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TARGETS = "SELECT page_id, url AS target, CAST(CASE page_id % 3 WHEN 0 THEN page_id % 500 * 1000 WHEN 1 THEN page_id % 10 * 60000 + 30000 ELSE 0 END AS BIGINT) AS wait_ms FROM pages"
 
-QUERIES = (schema_fixes, source_places, glossary_marks, decoded_pages, check_results_of_tools, search_targets)
-SQL = {"schema_fixes": SCHEMAS, "source_places": PLACES, "decoded_pages": DECODED, "check_results_of_tools": TOOLS, "search_targets": TARGETS}
+QUERIES = (schema_fixes, source_places, glossary_marks, social_profiles, decoded_pages, check_results_of_tools, search_targets)
+SQL = {"schema_fixes": SCHEMAS, "source_places": PLACES, "social_profiles": SOCIALS, "decoded_pages": DECODED, "check_results_of_tools": TOOLS, "search_targets": TARGETS}

@@ -42,7 +42,7 @@ def page_extract_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dom_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parse_pages(C.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    p = parse_pages(C.table(spark, sf_dir, "pages").select("page_id", "url", "html"), most=None)
     return p.select("page_id", "title", "lang", "charset", F.size("links").alias("links"), F.size("headings").alias("headings"), "word_count", "text_length", "inline_script_bytes", "inline_style_bytes", "has_doctype", "list_count", "canonical_count")
 
 
