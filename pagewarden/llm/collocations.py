@@ -2,13 +2,14 @@
 
 Texts are cut into blocks (Arrow batches).  Every place of a word in a block has a number; pieces and
 documents are a number apart.  A list holds the places of one phrase in one block, so the lengths of its
-lists sum to the exact frequency of the phrase.  Words whose lists are long enough get a number.  Phrases of
+lists sum to the exact frequency of the phrase.  Phrases of
 k words come from those of k - 1: a block merges its lists of phrases with the lists of the adjacent
 words, that is of the places one further on.  From the second step on, an adjacent word's list is taken
 from the phrases of k - 1 words that begin there and end in the word, as no other place of the word can
 end a frequent phrase.  The block tells every range of the space of such pairs the lengths of its merged
 lists, in one packed row; the range sums them over the blocks, numbers the frequent ones and answers
-which of the block's lists these are.  Blocks are bucketed, so only pairs and answers move.
+which of the block's lists these are; words are told so too.  Blocks are bucketed, so only words, pairs
+and answers move, and lists never do.
 
 A candidate's cuts need the frequencies of its first and last words, which are frequent phrases too: each
 phrase carries those of all its heads and tails, taken over from the two phrases that it was made of.
@@ -20,7 +21,7 @@ occur; a language without candidates has no rows.  Arithmetic is exact, in decim
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, join_spread, scratch, tidy
-from .jaccard import gaps, ungaps
+from .common import batches_of, discard, scratch, tidy
+from .jaccard import gaps, ungaps, word_hashes
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: A candidate inside a longer one goes if the longer one has at least this percentage of its frequency.
 ABSORB = 100
 #: Rows and bytes of a block.
 BLOCK_ROWS, BLOCK_BYTES = 65_536, 8 << 20
-#: Places in blocks for each range of the space of pairs.
-RANGE_PLACES = 1 << 21
+#: Places in blocks for each range of the space of pairs, words of blocks for each range of hashes.
+RANGE_PLACES, RANGE_WORDS = 1 << 21, 1 << 19
 
 #: A-Z become a-z, every mark that ends a piece a full stop, tab a space.
 _MARKS = bytes(c + 32 if 65 <= c <= 90 else 46 if chr(c) in ".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
@@ -62,8 +63,12 @@ def packed(places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array,
     return short, *parts
 
 
-def word_lists(docs: DataFrame) -> DataFrame:
-    """(lang, word, block, n, gaps): a list for each word and block of docs(text, lang)."""
+WORDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("ends", pa.binary()), ("short", pa.binary()), ("two", pa.binary()), ("four", pa.binary()), ("places", pa.int64())])
+WORDS_SQL = "block long, lang string, words array<string>, ends binary, short binary, two binary, four binary, places long"
+
+
+def word_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of docs(text, lang): the words of a language in an Arrow batch, in the order of their hashes, and a list for each."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = itertools.count(TaskContext.get().partitionId() << 32)
@@ -79,85 +84,154 @@ def word_lists(docs: DataFrame) -> DataFrame:
                     words.append(b".")
                 coded = pa.array(words, pa.binary()).dictionary_encode()
                 del words
-                code = coded.indices.to_numpy()
-                mark = coded.dictionary.index(b".").as_py()
-                order = np.argsort(code, kind="stable")
-                order = order[code[order] != mark]
-                if not len(order):
+                names = coded.dictionary.to_pylist()
+                rank = np.empty(len(names), np.int64)  # of each word by its hash; the mark is no word
+                order = np.argsort(word_hashes(b" ".join(names))[1], kind="stable")
+                order = order[order != names.index(b".")]
+                rank[:] = -1
+                rank[order] = np.arange(len(order))
+                which = rank[coded.indices.to_numpy()]
+                at = np.argsort(which, kind="stable")
+                at = at[np.searchsorted(which[at], 0) :]
+                if not len(at):
                     continue
-                which = code[order]
-                ends = np.r_[np.flatnonzero(np.diff(which)) + 1, len(which)]
-                n = np.diff(np.r_[0, ends])
-                names = coded.dictionary.take(pa.array(which[ends - 1])).cast(pa.string())
-                short, two, four = packed(order, ends)
-                block = next(number)
-                for pick, gaps in ((short, two), (~short, four)):
-                    m = int(pick.sum())
-                    if m:
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), names.filter(pa.array(pick)), pa.array(np.full(m, block)), pa.array(n[pick], pa.int64()), gaps], ["lang", "word", "block", "n", "gaps"])
+                ends = np.searchsorted(which[at], np.arange(len(order)), "right")
+                row = {"block": next(number), "lang": lang, "words": [names[i].decode() for i in order.tolist()]} | lists_row(at, ends)
+                yield pa.RecordBatch.from_pylist([row], WORDS)
         tidy()
 
-    return docs.mapInArrow(split, "lang string, word string, block long, n long, gaps binary")
+    return docs.mapInArrow(split, WORDS_SQL)
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("short", pa.binary()), ("two", pa.binary()), ("four", pa.binary()), ("places", pa.int64())])
-BLOCK_SQL = "block long, ids binary, ends binary, short binary, two binary, four binary, places long"
+def lists_row(places: np.ndarray, ends: np.ndarray) -> dict:
+    """The columns that hold lists, one after another, ending at ends."""
+    short, two, four = packed(places, ends)
+    return {"ends": ends.astype(np.int64).tobytes(), "short": short.tobytes(), "two": b"".join(two.to_pylist()), "four": b"".join(four.to_pylist()), "places": len(places)}
+
+
+def lists_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a row's lists, one list after another, and the lists' lengths."""
+    ends, short = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["short"], bool)
+    n = np.diff(np.r_[0, ends])
+    d = np.empty(int(ends[-1]), np.int64)
+    each = np.repeat(short, n)
+    d[each] = np.frombuffer(row["two"], np.uint16)
+    d[~each] = np.frombuffer(row["four"], np.uint32)
+    run = np.cumsum(d)
+    first = ends - n
+    return run - np.repeat(run[first] - d[first], n), n
 
 
-def block_row(block: int, ids: np.ndarray, n: np.ndarray, short: np.ndarray, two: bytes, four: bytes) -> pa.RecordBatch:
-    row = {"block": block, "ids": ids.astype(np.int64).tobytes(), "ends": np.cumsum(n).astype(np.int64).tobytes(), "short": short.tobytes(), "two": two, "four": four, "places": int(n.sum())}
-    return pa.RecordBatch.from_pylist([row], BLOCK)
+def word_sums(blocks: DataFrame, least: int) -> DataFrame:
+    """What the ranges of words' hashes say of word_blocks, as range_sums does of pairs.
 
+    Rows without a block hold a range's frequent words with languages and frequencies.
+    """
+    bits = 0
+    while RANGE_WORDS << bits < (blocks.agg(F.sum(F.size("words"))).first()[0] or 0):
+        bits += 1
+    strings, low = pa.list_(pa.string()), np.uint64(64 - bits)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, lang, words, ends in zip(*(b[c].to_pylist() for c in ("block", "lang", "words", "ends")), strict=True):
+                n = np.diff(np.r_[0, np.frombuffer(ends, np.int64)])
+                hashes = word_hashes(" ".join(words).encode())[1]
+                cut = np.r_[np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << low) if bits else [0], len(words)]
+                some = [(r, i, j) for r, (i, j) in enumerate(itertools.pairwise(cut.tolist())) if j > i]
+                cells = [[r for r, _, _ in some], [block] * len(some), [i for _, i, _ in some], [lang] * len(some), [words[i:j] for _, i, j in some], [least_bytes(n[i:j]) for _, i, j in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.string(), strings, pa.binary()), strict=True)], ["range", "block", "at", "lang", "words", "times"])
+
+    names = ["range", "block", "at", "langs", "words", "counts", "hits", "ranks"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), strings, strings, pa.list_(pa.int64()), pa.binary(), pa.binary())
+
+    def answer(r: int, rows: list[tuple]) -> pa.RecordBatch | None:
+        sums: dict[str, dict[str, int]] = {}
+        for _, _, lang, words, times in rows:
+            of = sums.setdefault(lang, {})
+            for w, n in zip(words, numbers(times, len(words)).tolist(), strict=True):
+                of[w] = of.get(w, 0) + n
+        often = [(lang, w, n) for lang, of in sums.items() for w, n in of.items() if n >= least]
+        if not often:
+            return None
+        rank = {(lang, w): k for k, (lang, w, _) in enumerate(often)}
+        out = [(r, None, None, *map(list, zip(*often, strict=True)), None, None)]
+        for block, at, lang, words, _ in rows:
+            hits = [(k, i) for k, w in enumerate(words) if (i := rank.get((lang, w))) is not None]
+            if hits:
+                out.append((r, block, at, None, None, None, *(np.array(c, np.uint32).tobytes() for c in zip(*hits, strict=True))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-def gathered(lists: DataFrame) -> DataFrame:
-    """One row for each block of lists(block, id, n, gaps): ids, where the lists end, and their gaps."""
+    asked = blocks.select("block", "lang", "words", "ends").mapInArrow(ask, "range long, block long, at long, lang string, words array<string>, times binary")
+    by_range = grouped(("block", "at", "lang", "words", "times"), answer)
+    return asked.repartition("range").sortWithinPartitions("range").mapInArrow(by_range, "range long, block long, at long, langs array<string>, words array<string>, counts array<long>, hits binary, ranks binary")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sizes, gaps = None, [], [], []
 
-        def row() -> pa.RecordBatch:
-            n = np.concatenate(sizes)
-            short = np.array([len(g) for g in gaps]) == 2 * n
-            return block_row(now, np.concatenate(ids), n, short, *[b"".join(itertools.compress(gaps, pick)) for pick in (short, ~short)])
+def grouped(names: tuple[str, ...], answer: Callable[[int, list[tuple]], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows that come range by range: what ``answer`` makes of the rows of each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
         for b in batches:
-            blocks = b["block"].to_numpy()
-            cut = np.r_[0, np.flatnonzero(np.diff(blocks)) + 1, len(blocks)]
-            for i, j in itertools.pairwise(cut.tolist()):
-                if j == i:
-                    continue
-                if ids and now != blocks[i]:
-                    yield row()
-                    ids, sizes, gaps = [], [], []
-                now = int(blocks[i])
-                ids.append(b["id"].to_numpy()[i:j])
-                sizes.append(b["n"].to_numpy()[i:j])
-                gaps += b["gaps"].slice(i, j - i).to_pylist()
-        if ids:
-            yield row()
+            for r, *row in zip(*(b[c].to_pylist() for c in ("range", *names)), strict=True):
+                if r != now and held:
+                    if out := answer(now, held):
+                        yield out
+                    held = []
+                now = r
+                held.append(tuple(row))
+        if held and (out := answer(now, held)):
+            yield out
         tidy()
 
-    ordered = lists.select("block", "id", "n", "gaps").repartition("block").sortWithinPartitions("block")
-    return ordered.mapInArrow(gather, BLOCK_SQL)
+    return run
+
+
+def first_blocks(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Blocks of the lists of frequent words."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                places, n = lists_of(row)
+                number = told_numbers(row["told"], len(n))
+                on = number >= 0
+                yield block_row(row["block"], number[on], places[np.repeat(on, n)], np.cumsum(n[on]))
+        tidy()
+
+    return blocks.select("block", "ends", "short", "two", "four").join(told(answers), "block").mapInArrow(keep, BLOCK_SQL)
+
+
+def told(answers: DataFrame) -> DataFrame:
+    """The answers(block, at, hits, ranks, offset) of each block together: an entry for each range."""
+    return answers.groupBy("block").agg(F.collect_list(F.struct("at", "hits", "ranks", "offset")).alias("told"))
+
+
+def told_numbers(entries: list[dict], n: int) -> np.ndarray:
+    """The number of each of a block's n phrases, -1 for those that are not frequent."""
+    number = np.full(n, -1, np.int64)
+    for t in entries:
+        number[t["at"] + np.frombuffer(t["hits"], np.uint32).astype(np.int64)] = t["offset"] + np.frombuffer(t["ranks"], np.uint32).astype(np.int64)
+    return number
+
+
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("short", pa.binary()), ("two", pa.binary()), ("four", pa.binary()), ("places", pa.int64())])
+BLOCK_SQL = "block long, ids binary, ends binary, short binary, two binary, four binary, places long"
+
+
+def block_row(block: int, ids: np.ndarray, places: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"block": block, "ids": ids.astype(np.int64).tobytes()} | lists_row(places, ends)], BLOCK)
 
 
 def merged(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: ids, and the places at which one list is followed by another one place on, with the indices of both."""
-    ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
-    short = np.frombuffer(row["short"], bool)
-    n = np.diff(np.r_[0, ends])
-    places = np.empty(int(ends[-1]), np.int64)
-    each = np.repeat(short, n)
-    places[each] = np.frombuffer(row["two"], np.uint16)
-    places[~each] = np.frombuffer(row["four"], np.uint32)
-    run = np.cumsum(places)
-    first = ends - n
-    places = run - np.repeat(run[first] - places[first], n)
+    places, n = lists_of(row)
     order = np.argsort(places)
     at = places[order]
-    which = np.repeat(np.arange(len(ids)), n)[order]
+    which = np.repeat(np.arange(len(n)), n)[order]
     next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
-    return ids, at[next_to], which[next_to], which[next_to + 1]
+    return np.frombuffer(row["ids"], np.int64), at[next_to], which[next_to], which[next_to + 1]
 
 
 class Space:
@@ -237,23 +311,8 @@ def range_sums(blocks: DataFrame, size: int, least: int) -> DataFrame:
                 out.append((r, x[0], x[1], None, None, hit.astype(np.uint32).tobytes(), rank[hit].astype(np.uint32).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-        for b in batches:
-            for r, *row in zip(*(b[c].to_pylist() for c in ("range", "block", "at", "n", "keys", "times")), strict=True):
-                if r != now and held:
-                    if out := answer(now, held):
-                        yield out
-                    held = []
-                now = r
-                held.append(tuple(row))
-        if held and (out := answer(now, held)):
-            yield out
-        tidy()
-
     asked = blocks.mapInArrow(ask, "range long, block long, at long, n long, keys binary, times binary")
-    return asked.repartition("range").sortWithinPartitions("range").mapInArrow(count, "range long, block long, at long, keys binary, counts binary, hits binary, ranks binary")
+    return asked.repartition("range").sortWithinPartitions("range").mapInArrow(grouped(("block", "at", "n", "keys", "times"), answer), "range long, block long, at long, keys binary, counts binary, hits binary, ranks binary")
 
 
 def frequent_pairs(said: DataFrame, size: int) -> DataFrame:
@@ -269,31 +328,23 @@ def frequent_pairs(said: DataFrame, size: int) -> DataFrame:
     return said.where("block IS NULL").select("range", "keys", "counts").mapInArrow(rows, "range long, rank long, pre long, suf long, a long")
 
 
-def next_blocks(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks of the lists of the frequent pairs: answers(block, at, offset, hits, ranks) tell which these are."""
+def next_blocks(blocks: DataFrame, answers: DataFrame, size: int) -> DataFrame:
+    """Blocks of the lists of the frequent pairs of blocks whose phrases are numbered below ``size``."""
+    space = Space(size)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 ids, at, left, right = merged(row)
-                space = Space(row["size"])
                 pairs, place = np.unique(space.key(ids[left], ids[right]), return_inverse=True)
-                number = np.full(len(pairs), -1, np.int64)
-                for t in row["told"]:
-                    number[t["at"] + np.frombuffer(t["hits"], np.uint32).astype(np.int64)] = t["offset"] + np.frombuffer(t["ranks"], np.uint32).astype(np.int64)
-                own = number[place]
+                own = told_numbers(row["told"], len(pairs))[place]
                 on = np.flatnonzero(own >= 0)
                 on = on[np.argsort(own[on], kind="stable")]
-                own = own[on]
-                ends = np.r_[np.flatnonzero(np.diff(own)) + 1, len(own)]
-                short, two, four = packed(at[on], ends)
-                order = np.r_[np.flatnonzero(short), np.flatnonzero(~short)]
-                n = np.diff(np.r_[0, ends])
-                yield block_row(row["block"], own[ends - 1][order], n[order], short[order], b"".join(two.to_pylist()), b"".join(four.to_pylist()))
+                ends = np.r_[np.flatnonzero(np.diff(own[on])) + 1, len(on)]
+                yield block_row(row["block"], own[on][ends - 1], at[on], ends)
         tidy()
 
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("at", "hits", "ranks", "offset")).alias("told"), F.max("size").alias("size"))  # an entry for each range
-    return blocks.join(told, "block").mapInArrow(keep, BLOCK_SQL)
+    return blocks.join(told(answers), "block").mapInArrow(keep, BLOCK_SQL)
 
 
 def offsets(rows: DataFrame, key: str, n: F.Column) -> DataFrame:
@@ -309,20 +360,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     words but one), heads and tails (frequencies of its first and last words, by the place of the cut).
     """
     spark = docs.sparkSession
-    told = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    told_docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     with batches_of(spark, BLOCK_ROWS, BLOCK_BYTES):
-        lists = scratch(word_lists(told), "word-lists")
-    counts = scratch(lists.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("a").alias("total"))
+        texts = scratch(word_blocks(told_docs), "word-blocks", "block")
+    totals = scratch(texts.groupBy("lang").agg(F.sum("places").alias("total")), "totals")
     none, no = F.lit(None).cast("long"), F.array().cast("array<long>")
-    raw = scratch(counts.where(F.col("a") >= least).select("lang", "word", "a", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("rank")), "frequent-words")
-    words = raw.join(offsets(raw, "part", F.lit(1)), "part").select((F.col("rank") + F.col("offset")).alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("pre"), none.alias("suf"), no.alias("heads"), no.alias("tails"))
-    levels = [scratch(words, "phrases")]
-    size = levels[0].count()
-    known = join_spread(lists, levels[0].select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"], F.col("block"), size)
-    with batches_of(spark, BLOCK_ROWS, BLOCK_BYTES):
-        blocks = scratch(gathered(known), "lists", "block")
-    discard(lists, raw)
+    with batches_of(spark, 64):
+        said = scratch(word_sums(texts, least), "ranges")
+        before = offsets(said.where("block IS NULL"), "range", F.size("words"))
+        each = said.where("block IS NULL").join(before, "range").select("offset", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("rank", "w"))
+        word = F.col("w.words")
+        levels = [scratch(each.select((F.col("rank") + F.col("offset")).alias("id"), F.col("w.langs").alias("lang"), word.alias("phrase"), word.alias("last"), F.col("w.counts").alias("a"), none.alias("pre"), none.alias("suf"), no.alias("heads"), no.alias("tails")), "phrases")]
+        size = levels[0].count()
+        blocks = scratch(first_blocks(texts, said.where("block IS NOT NULL").join(before, "range")), "lists", "block")
+        discard(texts, said)
     with batches_of(spark, 64):
         for k in range(2, longest + 1):
             said = scratch(range_sums(blocks, size, least), "ranges")
@@ -336,8 +387,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             levels.append(scratch(whole, "phrases"))
             rows = levels[-1].count()
             if k < longest and rows:
-                answers = said.where("block IS NOT NULL").join(before, "range").select("block", "at", "hits", "ranks", "offset", F.lit(size).alias("size"))
-                old, blocks = blocks, scratch(next_blocks(blocks, answers), "lists", "block")
+                answers = said.where("block IS NOT NULL").join(before, "range").select("block", "at", "hits", "ranks", "offset")
+                old, blocks = blocks, scratch(next_blocks(blocks, answers, size), "lists", "block")
                 discard(old)
             discard(said)
             size = rows

@@ -85,5 +85,6 @@ def test_pairs_are_numbers_and_back():
 @pytest.mark.parametrize("span", [50, 700])
 def test_many_ranges(spark, monkeypatch, span):
     monkeypatch.setattr(collocations, "RANGE_PLACES", span)
+    monkeypatch.setattr(collocations, "RANGE_WORDS", span // 10)
     rows = texts(span)
     assert mined(spark, rows, least=4) == slow_phrases(rows, 4, 5, 100, 2000)
