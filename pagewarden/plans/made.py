@@ -49,6 +49,13 @@ FEATURES = {
     "huge": has(71, 61), "large": has(72, 20), "bloat": has(73, 25), "slow": has(74, 9), "gzip": f"(g % 4 <> 3 AND {has(80, 3)})", "charset_": pick((has(77, 9), "'windows-874'"), (has(78, 3), "'UTF-8'"), otherwise="''"), "chain": has(79, 10),
     "retitled": has(5, 7), "longer": has(81, 4), "hides_h1": has(82, 7),
 }
+# Whole sites that have, or lack, what a check counts, so that it comes out in all of its states.
+for _k, _all in {
+    "no_alt": ("WHEN 3 THEN false WHEN 4 THEN true"), "empty_alt": ("WHEN 3 THEN false WHEN 4 THEN false"), "gallery": ("WHEN 4 THEN false"), "hreflang": ("WHEN 5 THEN 'none' WHEN 6 THEN 'good'"), "in_table": ("WHEN 7 THEN true"),
+    "ld": ("WHEN 1 THEN 'none' WHEN 2 THEN 'org'"),
+}.items():
+    FEATURES[_k] = f"CASE g % 8 {_all} ELSE {FEATURES[_k]} END"
+
 INPUTS_SQL = f"""made0 AS (SELECT page_id AS i, CAST(floor(page_id / 10.0) AS BIGINT) AS g, page_id % 10 AS j FROM pages),
 made1 AS (SELECT i, g, j, concat('www.g', g, '.example') AS site_id, concat(CASE WHEN g % 6 = 1 THEN 'http' ELSE 'https' END, '://www.g', g, '.example') AS origin, {_PATH} AS path,
   CASE WHEN j = 8 AND g % 5 = 1 THEN '?page=2' WHEN j = 8 AND g % 5 = 3 THEN '?x=1' ELSE '' END AS search FROM made0),
