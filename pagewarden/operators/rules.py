@@ -329,7 +329,8 @@ def flagged_pages(pages: DataFrame, site: DataFrame, as_of_year: int) -> tuple[D
     rows = materialize(with_page_facts(pages.join(site.select("site_id", "origin"), "site_id")), "page-facts")
     flags = page_flags(as_of_year)
     named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
-    own = rows.select("site_id", "page_ord", "url", F.explode(named).alias("flag"))
+    # Written before it is joined with the rest: every further step would analyse all predicates again.
+    own = materialize(rows.select("site_id", "page_ord", "url", F.explode(named).alias("flag")), "own-flags")
     gone = F.col("status").isin(404, 410)
     every = pages.where("status >= 400").select("site_id", "page_ord", "url", F.when(gone, "gone").otherwise("refused").alias("flag"))
     pick = lambda df, flag: df.select("site_id", "page_ord", "url", F.lit(flag).alias("flag"))
@@ -545,7 +546,7 @@ def run_checks(pages: DataFrame, site: DataFrame, as_of: datetime.date) -> DataF
     facts = materialize(site_facts(rows, flagged, pages, site), "site-facts")
     made = decisions()
     each = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(k).alias("emit_ord"), F.lit(a).alias("id"), F.lit(b).alias("category"), c.alias("v"))) for k, (a, b, c) in enumerate(made)]))
-    found = facts.select("site_id", F.explode(each).alias("x")).select("site_id", "x.emit_ord", "x.id", "x.category", "x.v.*")
+    found = materialize(facts.select("site_id", F.explode(each).alias("x")).select("site_id", "x.emit_ord", "x.id", "x.category", "x.v.*"), "decided")
     lists = [(id_, flag) for id_, flags in SHOWS.items() for flag in flags]
     shows = F.map_from_entries(F.array(*[F.struct(F.lit(f).alias("k"), F.array(*[F.lit(a) for a, g in lists if g == f]).alias("v")) for f in dict.fromkeys(f for _, f in lists)]))
     # A Person anywhere on a site stands for the author of all of its pages.
