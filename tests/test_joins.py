@@ -5,7 +5,7 @@ from conftest import SF
 
 from pagewarden.plans import queries
 
-DEALT = ("audit_delta",)
+DEALT = ("audit_delta", "score_drop_alerts")
 
 
 def plan(df):
