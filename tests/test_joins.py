@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF
 
-from pagewarden.plans import queries
+from pagewarden.plans import queries, repairs
 
 DEALT = ("audit_delta", "score_drop_alerts")
 
@@ -15,3 +15,7 @@ def plan(df):
 @pytest.mark.parametrize("name", DEALT)
 def test_sides_that_grow_are_dealt(spark, name):
     assert "BroadcastExchange" not in plan(queries.queries()[name](spark, SF))
+
+
+def test_item_rows_are_dealt(spark):
+    assert "BroadcastExchange" not in plan(repairs._item_rows(spark, SF))
