@@ -5,7 +5,7 @@ from conftest import SF
 
 from pagewarden.plans import queries, repairs
 
-DEALT = ("audit_delta", "score_drop_alerts", "category_delta")
+DEALT = ("audit_delta", "score_drop_alerts", "category_delta", "competitor_categories")
 
 
 def plan(df):
