@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import dealt
 from .scoring import case
 
 # Checks that a parser decides, that a threshold decides, that need judgement; other checks by category.
@@ -35,7 +36,7 @@ def annotate(checks: DataFrame, verified: DataFrame) -> DataFrame:
     """
     rows = checks.withColumns({"type": check_type(F.col("id"), F.col("category")), "_dim": case(F.col("id"), DIMENSION, None)})
     v = verified.select(F.col("audit_id").alias("_a"), F.col("dim").alias("_d"), "agree")
-    both = rows.join(v, (F.col("audit_id") == F.col("_a")) & (F.col("_dim") == F.col("_d")), "left")
+    both = rows.join(dealt(v), (F.col("audit_id") == F.col("_a")) & (F.col("_dim") == F.col("_d")), "left")
     base = case(F.col("type"), BASE, 0.85)
     sure = F.when(F.col("agree").isNull(), base).when(F.col("agree"), F.greatest(base, F.lit(0.99))).otherwise(0.5)
     return both.withColumns({"sure": F.floor(sure * 100 + 0.5).cast("int"), "needs_verify": F.coalesce(~F.col("agree"), F.lit(False))}).drop("_dim", "_a", "_d", "agree")
