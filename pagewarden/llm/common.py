@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-import ctypes
-import sys
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewarden.arrow import ARROW_ROWS, small_batches, tidy  # noqa: F401
 from pagewarden.storage import discard, shared_dir  # noqa: F401
 from pagewarden.storage import materialize as scratch  # noqa: F401
 
@@ -18,16 +16,6 @@ from pagewarden.storage import materialize as scratch  # noqa: F401
 BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 100_000, 32 << 20, 200
 #: Tasks that one key of the other side is dealt over where a side is too large to be broadcast.
 SALTS = 16
-#: Rows in an Arrow batch: texts may be long, so batches are small.
-ARROW_ROWS = 256
-
-_libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 @contextlib.contextmanager
@@ -44,13 +32,6 @@ def batches_of(spark: SparkSession, rows: int, size: int = 16 << 20) -> Iterator
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def tidy() -> None:
-    """Give freed memory back to the system: Python workers outlive their tasks and share an executor's memory."""
-    pa.default_memory_pool().release_unused()
-    if _libc is not None:
-        _libc.malloc_trim(0)
-
-
 def is_small(rows: int, row_bytes: int = ROW_BYTES) -> bool:
     return rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES
 

@@ -15,6 +15,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..arrow import small_batches, tidy
+
 _PART_OF_WORD = set(string.ascii_letters + string.digits)
 
 
@@ -60,6 +62,7 @@ def annotate_terms(df: DataFrame, terms: dict[str, str], text: str = "text") ->
 
     ``terms`` is a glossary, from term to explanation; it goes to every task.
     """
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in (text, "terms")]
     kind = pa.list_(pa.struct([("term", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
 
@@ -70,6 +73,7 @@ def annotate_terms(df: DataFrame, terms: dict[str, str], text: str = "text") ->
             done = [mark(t or "", terms, known) for t in at[text].to_pylist()]
             found = pa.array([[{"term": t, "first": f, "n": n} for t, f, n in used] for _, used in done], kind)
             yield pa.RecordBatch.from_arrays([*[at[c] for c in kept], pa.array([t for t, _ in done], pa.string()), found], [*kept, text, "terms"])
+        tidy()
 
     columns = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
     return df.select(*kept, text).mapInArrow(run, f"{columns}, `{text}` string, terms array<struct<term:string,first:bigint,n:bigint>>")
