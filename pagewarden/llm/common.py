@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.arrow import ARROW_ROWS, small_batches, tidy  # noqa: F401
+from pagewarden.operators.joins import dealt
 from pagewarden.storage import discard, shared_dir  # noqa: F401
 from pagewarden.storage import materialize as scratch  # noqa: F401
 
@@ -48,8 +49,8 @@ def join_spread(big: DataFrame, small: DataFrame, on: list[str], salt: Column, r
     """
     if is_small(rows, row_bytes):
         return big.join(F.broadcast(small), on, how)
-    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS).cast("long"))).join(dealt, [*on, "__salt"], how).drop("__salt")
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS).cast("long"))).join(dealt(salted), [*on, "__salt"], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

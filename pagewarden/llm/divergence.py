@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, hint_small, join_spread, scratch, tidy
+from .common import batches_of, dealt, discard, hint_small, join_spread, scratch, tidy
 
 LEAST_DOCS, ADD, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Rows in an Arrow batch; its bytes are bounded too.  A batch is what terms are counted in first.
@@ -121,7 +121,7 @@ def pair_rows(facts: DataFrame, shares: DataFrame, few: int) -> DataFrame:
     # what is still missing where both have a term
     left, right = (shares.select("lang", "term", F.col("source").alias(f"s_{x}"), F.col("p").alias(f"p_{x}"), F.col("z").alias(f"z_{x}")) for x in "ab")
     more = F.abs(F.col("p_a") - F.col("p_b")) - F.abs(F.col("p_a") - F.col("z_b")) - F.abs(F.col("z_a") - F.col("p_b")) + apart
-    both = left.join(right, ["lang", "term"]).where(F.col("s_a") < F.col("s_b")).select("lang", "s_a", "s_b", more.alias("value")).where(F.col("value") != 0)
+    both = left.join(dealt(right), ["lang", "term"]).where(F.col("s_a") < F.col("s_b")).select("lang", "s_a", "s_b", more.alias("value")).where(F.col("value") != 0)
     both = both.groupBy("lang", "s_a", "s_b").agg(F.sum("value").alias("value"))
 
     turned = lambda df: df.select("lang", F.col("s_b").alias("s_a"), F.col("s_a").alias("s_b"), "value")

@@ -56,3 +56,14 @@ def test_no_documents(spark):
     assert audited(spark, []) == []
     assert audited(spark, [(None, None, None)]) == []
     assert audited(spark, [(None, None, None), ("x", None, "s")]) == [("", "", "pair", "s", 0, 1), ("", "s", "pair", "", 0, 1)]
+
+
+def test_a_side_that_is_repeated_is_not_broadcast(spark, tmp_path):
+    """Its file is small, its rows are many: Spark's own estimate would broadcast all copies of them."""
+    from pagewarden.llm.common import BROADCAST_ROWS, join_spread
+
+    spark.range(50).withColumnRenamed("id", "k").write.parquet(f"{tmp_path}/small")
+    small, big = spark.read.parquet(f"{tmp_path}/small"), spark.range(500).selectExpr("id % 50 as k", "id")
+    out = join_spread(big, small, ["k"], big["id"], BROADCAST_ROWS + 1)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 500
