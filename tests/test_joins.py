@@ -5,7 +5,7 @@ from conftest import SF
 
 from pagewarden.plans import queries, repairs
 
-DEALT = ("audit_delta", "score_drop_alerts", "category_delta", "competitor_categories", "work_items", "guardrail_partition")
+DEALT = ("audit_delta", "score_drop_alerts", "category_delta", "competitor_categories", "work_items", "guardrail_partition", "site_comparison")
 
 
 def plan(df):
