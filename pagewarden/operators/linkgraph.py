@@ -68,9 +68,46 @@ def parameter_cap(urls: DataFrame, k: int = 3) -> DataFrame:
     return urls.withColumn("_k", F.row_number().over(w)).where(~has | (F.col("_k") <= k)).drop("_k")
 
 
-def bfs_crawl(start: DataFrame, links: DataFrame, budget: int, persist, params: int | None = None) -> DataFrame:
+def reached(start: DataFrame, links: DataFrame, persist) -> DataFrame:
+    """(site_id, url) of all URLs to which links(site_id, url, target) lead from start(site_id, url), itself included.
+
+    In every round each URL points at one that is not reached yet and leads on itself, by another hash in each round;
+    pointers are doubled, so that a path of n pages is followed in log2(n) steps.  Then all links of the URLs reached so
+    far are taken, and rounds end when these add none.  So the number of steps does not grow with the length of a site's paths.
+    """
+    key = ["site_id", "url"]
+    every = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    links = persist(links.where(F.col("target").isNotNull()).select("site_id", "url", "target").distinct())
+    names = start.select(*key).union(links.select(*key)).union(links.select("site_id", "target")).distinct()
+    names = persist(names.withColumn("id", F.monotonically_increasing_id()))  # written, so that the ids stay
+    ends = links.join(names.withColumnRenamed("id", "a"), key).join(names.select("site_id", F.col("url").alias("target"), F.col("id").alias("b")), ["site_id", "target"])
+    edges = persist(ends.where(F.col("a") != F.col("b")).select("a", "b"))
+    leads = edges.select(F.col("a").alias("b")).distinct()
+    onward = persist(edges.join(leads, "b", "left_semi").select("a", "b"))
+    known, rounds = persist(start.select(*key).distinct().join(names, key).select("id")), 0
+    while True:
+        open_ = onward.join(known.withColumnRenamed("id", "b"), "b", "left_anti")
+        jump = persist(open_.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(rounds))).alias("b")))
+        got = [known]
+        while True:
+            hit = every(got).join(jump, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+            got.append(persist(hit.join(every(got), "id", "left_anti")))
+            if got[-1].isEmpty():  # what is reached is closed under all further jumps as well
+                break
+            jump = persist(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+        near = edges.join(every(got).withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        fresh = persist(near.join(every(got), "id", "left_anti"))
+        if fresh.isEmpty():
+            return names.join(every(got), "id", "left_semi").select(*key)
+        known, rounds = persist(every([*got, fresh])), rounds + 1
+
+
+def bfs_crawl(start: DataFrame, links: DataFrame, budget: int, persist, params: int | None = None, levels: bool = True) -> DataFrame:
     """(site_id, url, depth, level) of the pages that a crawl takes, ``budget`` of each site at most.
 
+    Without ``levels`` there is no such column; a site whose budget lasts for all that its links lead to is then
+    told without its rounds, of which there are as many as its longest path has pages.
+
     start(site_id, url); links(site_id, url, target) is the known link table.  In every round a site
     takes all URLs that it has found of the least path depth, in the order of URLs, and finds their
     targets; of the URLs of a path with a query only the first ``params`` are found (None: all).
@@ -79,6 +116,16 @@ def bfs_crawl(start: DataFrame, links: DataFrame, budget: int, persist, params:
     table and reads it back; the driver holds only the loop and one table for each round.
     """
     key = ["site_id", "url"]
+    if not levels:
+        if params is not None:
+            return bfs_crawl(start, links, budget, persist, params).drop("level")
+        whole = persist(reached(start, links, persist))
+        over = persist(whole.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > budget).select("site_id"))
+        some = whole.withColumn("depth", U.url_depth(F.col("url")).cast("long"))
+        if over.isEmpty():
+            return some
+        rest = bfs_crawl(start.join(over, "site_id", "left_semi"), links.join(over, "site_id", "left_semi"), budget, persist)
+        return some.join(over, "site_id", "left_anti").unionByName(rest.drop("level"))
     links = links.where(F.col("target").isNotNull()).select("site_id", "url", "target").distinct()
     found: list[DataFrame] = []
     taken: list[DataFrame] = []

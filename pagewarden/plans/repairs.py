@@ -87,7 +87,7 @@ def budgeted_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each site's first page over the links of the crawl view, with a budget that no site uses up."""
     start = C.crawl(spark, sf_dir).where("page_ord = 1").select("site_id", "url")
     links = C.links(spark, sf_dir).where("internal").select("site_id", "url", "target")
-    return L.bfs_crawl(start, links, 1_000_000, lambda df: materialize(df, "crawl")).select("site_id", "url", "depth")
+    return L.bfs_crawl(start, links, 1_000_000, lambda df: materialize(df, "crawl"), levels=False)
 
 
 CRAWLED = f"""WITH RECURSIVE {CRAWL_SQL.strip()}, {LINKS_SQL.strip()}, edges AS MATERIALIZED (SELECT DISTINCT site_id, url, target FROM links WHERE internal AND target IS NOT NULL),

@@ -58,6 +58,30 @@ def test_crawls_with_a_budget(spark, budget, params):
         assert sorted((r.url, r.depth, r.level) for r in out if r.site_id == site) == slow_crawl(urls[0], links, budget, params)
 
 
+def test_a_crawl_without_levels(spark):
+    """A site whose budget lasts takes all that it reaches, in steps that a long path does not multiply."""
+    at = lambda k: f"https://x.example/{k % 3}/{k}"
+    way = [(at(k), at(k + step)) for k in range(120) for step in (1, 2)] + [(at(k), at(k) + "?dead") for k in range(120)] + [(at(900), at(901))]
+    links = spark.createDataFrame([(s, a, b) for s in ("one", "two") for a, b in way] + [("small", at(0), at(1)), ("small", at(0), None)], "site_id string, url string, target string")
+    start = spark.createDataFrame([(s, at(0)) for s in ("one", "two", "small", "alone")], "site_id string, url string")
+    written = []
+
+    def count(df):
+        written.append(1)
+        return persist(df)
+
+    out = L.bfs_crawl(start, links, 1000, count, levels=False).collect()
+    for site, n in (("one", 242), ("two", 242), ("small", 2), ("alone", 1)):
+        mine = {(r.url, r.depth) for r in out if r.site_id == site}
+        assert len(mine) == sum(r.site_id == site for r in out) == n
+        assert all(d == 2 for _, d in mine)
+    assert len(written) < 150
+    first = [link for link in way if link[0] == at(0)]
+    less = L.bfs_crawl(start, spark.createDataFrame([("one", a, b) for a, b in first] + [("two", at(0), at(1))], "site_id string, url string, target string"), 3, persist, levels=False).collect()
+    assert sorted(r.url for r in less if r.site_id == "one") == [u for u, _, _ in slow_crawl(at(0), first, 3, None)]
+    assert sorted(r.url for r in less if r.site_id == "two") == [at(0), at(1)]
+
+
 def test_redirects(spark):
     chain = [(f"c{k}", 301, f"c{k + 1}") for k in range(40)] + [("c40", 200, None)]
     ring = [("r0", 302, "r1"), ("r1", 302, "r2"), ("r2", 302, "r0"), ("to-ring", 301, "r1"), ("self", 301, "self")]
