@@ -186,6 +186,31 @@ def test_long_texts_near_the_bound_are_told_exactly(spark, docs_schema):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == want
 
 
+@pytest.mark.parametrize("tile, values", [(simhash.TILE, simhash.SET_VALUES), (16, 8000)])
+def test_doubtful_pairs_take_a_row_for_each_text(spark, docs_schema, monkeypatch, tile, values):
+    """Long near copies around the bound: a row for each text of a block, and the components of all pairs."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "SET_VALUES", values)
+    rng = random.Random(12)
+    base = ["w%d" % rng.randrange(10**9) for _ in range(700)]
+    texts = []
+    for _ in range(60):
+        near = list(base)
+        for at in rng.sample(range(0, 700, 5), rng.randint(7, 13)):
+            near[at] = "n%d" % rng.randrange(10**9)
+        texts.append(near)
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], docs_schema)
+    vertices = simhash.scratch(simhash.signatures(df).select("v", "fp", "keys", "sketch"), "vertices")
+    blocks, star = simhash.similar_blocks(vertices, simhash.STAGE["radius"], simhash.STAGE["similarity"])
+    links = simhash.forest(vertices, blocks, simhash.STAGE["radius"], simhash.STAGE["similarity"])
+    tiles = -(-60 // tile)
+    assert star is None and 0 < links.where("NOT sure").count() <= tiles * blocks.count()
+    sets = [frozenset(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    want = slow_components(list(enumerate(sets)), lambda a, b: len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
+    assert 1 < len({least for _, least in want}) < 60
+    assert {r.doc_id for r in simhash.keep_one_of_each(df).collect()} == {least for _, least in want}
+
+
 def test_overlap_counts_common_values():
     rng = np.random.default_rng(5)
     lanes = [np.unique(rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint32)) for _ in range(40)]
