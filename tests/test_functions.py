@@ -1,4 +1,5 @@
 import datetime
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewarden.functions import jsonld
 from pagewarden.functions import text as T
 from pagewarden.functions import urls as U
+from pagewarden.sources import html_page
 from pagewarden.sources.html_page import decode_bytes, parse_html
 
 
@@ -144,3 +146,14 @@ def test_headings_images_and_links():
 
 def test_as_of_is_a_parameter():
     assert datetime.date(2026, 1, 1).year == 2026
+
+
+def test_links_that_name_no_social_host_are_not_taken_apart(monkeypatch):
+    joined = []
+    monkeypatch.setattr(html_page, "urljoin", lambda *a: joined.append(a) or urljoin(*a))
+    links = "".join(f'<a href="/p{k}">p</a>' for k in range(50)) + '<a href="https://www.Face\tbook.com/me/">f</a><a href="//x.com/you">x</a>'
+    assert parse_html(links, "https://a.example/")["socials"] == ["https://Facebook.com/me", "https://x.com/you"] and len(joined) < 10
+    assert parse_html('<a href="/me">m</a>', "https://facebook.com/")["socials"] == ["https://facebook.com/me"]
+    years = lambda x: parse_html(f"<p>{x}")["max_copyright_year"]
+    assert [years(x) for x in ("CopyRight 2019", "© A 2020 © 2018", "&amp;COPY; 2021", "in 2022")] == [2019, 2020, 2021, None]
+    assert parse_html("<p>a\u00a0 b\x1f\n\u2003c ")["text_sample"] == "a b c"
